@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import pii_spans, quality_rules
+from ticketloom.llm import pair_rank, pii_spans, quality_rules, toxicity
 from ticketloom.llm.common import table
 
 
@@ -17,6 +17,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _fold(parts: int) -> Column:
+    """Which of ``parts`` folds a document is in."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), _fold(3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op10_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pair_rank.fit(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
+    return pair_rank.score(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_spans.find(docs, pii_spans.fit(docs))
@@ -26,7 +43,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
+    "op10_quality_rank": op10_quality_rank,
 }
 
 ORACLE_SQL: dict[str, str] = {}
