@@ -134,14 +134,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = new.select("class", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
-
-    Rows are linked if their sets of ``words``-word shingles share at least ``percent`` of their union;
-    a component's id is the smallest doc_id in it. Null or blank texts have no shingles and are linked
-    with nothing: their component is their own doc_id. Repeated rows are rows like any other. Null ids are
-    passed over for the smallest, and a row with one is kept only as one that stands alone.
-    """
+def linked(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> DataFrame:
+    """doc_id, _th (hash of the text), n_shingles, class (null without words), component_id and lead (the first row of the component by id and text hash)."""
     rows = written(_searched(docs, words))
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "_th")
     classes = written(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"), F.min(by_id).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
@@ -178,8 +172,31 @@ def near_duplicates(docs: DataFrame, percent: int = MORE_THAN, words: int = WORD
             break
         first += CENTRES
 
-    full = classes.select("class", "low").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    lows = full.groupBy("label").agg(F.min("low").alias("component_id"))
-    ids = full.join(lows, "label").select("class", "component_id")
-    out = rows.join(ids, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("class").isNull().alias("_alone"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("_alone") & F.col("doc_id").isNull(), F.lit(False)).alias("kept"))
+    full = classes.select("class", "low", "rep").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    lows = full.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("lead"))
+    ids = full.join(lows, "label").select("class", "component_id", "lead")
+    return rows.select("doc_id", "_th", "n_shingles", "class").join(ids, "class", "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+
+    Rows are linked if their sets of ``words``-word shingles share at least ``percent`` of their union;
+    a component's id is the smallest doc_id in it. Null or blank texts have no shingles and are linked
+    with nothing: their component is their own doc_id. Repeated rows are rows like any other. Null ids are
+    passed over for the smallest, and a row with one is kept only if it has no words. Columns besides
+    doc_id and text are left out.
+    """
+    alone = F.col("class").isNull()
+    out = linked(docs, percent, words).withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), alone)
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay if one document of each component does; rows without words all stay."""
+    worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    leads = linked(docs, percent, words).where(F.col("class").isNotNull()).select(F.col("lead.doc_id").alias("_lead"), F.col("lead._th").alias("_lead_th")).distinct()
+    some = docs.where(worded).withColumn("_th", F.xxhash64("text"))
+    some = some.join(leads, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_lead")) & (F.col("_th") == F.col("_lead_th")), "left_semi").dropDuplicates(["doc_id", "_th"])
+    return some.select(docs.columns).unionByName(docs.where(~worded))
