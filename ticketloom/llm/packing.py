@@ -11,6 +11,9 @@ offset O". Ranks within a length are given in Spark, salted, so that no length m
 from __future__ import annotations
 
 import bisect
+import re
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,7 +28,9 @@ from ticketloom.llm.common import written
 
 SEQUENCE, END_ID, GRID, SALTS = 4096, 1, 32, 64
 #: Chunks of text whose ids a Python worker remembers.
-CACHE = 300_000
+CACHE = 800_000
+#: A word of letters that normalization only lower-cases, and the punctuation after it.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%$&#|]*)")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,7 +44,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, sequence: int = SE
 
     A document's ids are its text's ids and ``END_ID``; a null text is empty, so it has that id alone. Only
     documents longer than ``sequence`` are cut. The vocabulary drops white space and never joins over it,
-    so chunks between blanks are encoded on their own and their ids remembered.
+    so chunks between blanks are encoded on their own and their ids remembered while the worker lives.
     """
     made = ["piece", "start", "length", "ids_crc32", "ids"]
     kept = docs.drop(*made)
@@ -53,23 +58,35 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, sequence: int = SE
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_file(path or vocabulary_path())
-        known: dict[str, bytes] = {"": b""}
+        worker = sys.modules.setdefault("ticketloom_worker", types.SimpleNamespace(ids={}))
+        known: dict[str, bytes] = worker.ids.setdefault(path, {"": b""})
+        # The byte-level alphabet: printable bytes stand for themselves, others for the characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+        spelled = {c: "".join(letter[x] for x in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+        def encoded(chunk: str) -> bytes:
+            if m := SIMPLE.fullmatch(chunk):
+                word, marks = m[1].lower(), m[2]
+                if word != chunk:
+                    return ids_at(word) + (ids_at(marks) if marks else b"")
+                return np.array([t.id for t in encoder.model.tokenize(word.translate(spelled))], "<u4").tobytes()
+            return np.array(encoder.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def ids_at(chunk: str) -> bytes:
+            got = known.get(chunk)
+            if got is None:
+                got = encoded(chunk)
+                if len(known) < CACHE:
+                    known[chunk] = got
+            return got
 
         def ids_of(text: str | None) -> bytes:
             chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             try:
                 return b"".join([known[c] for c in chunks])
             except KeyError:
-                pass
-            if len(known) > CACHE:
-                known.clear()
-                known[""] = b""
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            for k in range(0, len(new), 2000):
-                part = new[k : k + 2000]
-                for c, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[c] for c in chunks])
+                return b"".join([ids_at(c) for c in chunks])
 
         for b in batches:
             at, out = [], []
