@@ -48,17 +48,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_sample(ids: DataFrame, rows: int, salt: str = "") -> DataFrame:
+    """At most ``rows`` of the distinct ``doc_id`` in ``ids`` (with their other columns), the same ones in each run.
+
+    Hashes below a share of their range are taken before any are sorted, so each task hands on few rows.
+    """
+    share = min(1.0, 1.1 * rows / max(1, ids.count()))
+    hashed = F.xxhash64("doc_id", F.lit(salt))
+    some = ids.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return some.dropDuplicates(["doc_id"]).orderBy(hashed, "doc_id").limit(rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> DataFrame:
     """At most ``rows`` labelled documents (doc_id, text, label), the same ones in each run.
 
-    Rows with a null id or label are left out; of several labels of one id the smallest counts.
-    The labels with the smallest id hashes are taken, so the broadcast side has at most ``rows`` rows
-    of two numbers.
+    Rows with a null id or label are left out; of several labels of one id the smallest counts, of several
+    texts of one id the smallest. The broadcast side has at most ``rows`` rows of two numbers.
     """
-    picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if where is not None:
-        picked = picked.where(where)
-    picked = picked.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        known = known.where(where)
+    picked = id_sample(known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")), rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return found.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
