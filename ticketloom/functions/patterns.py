@@ -54,8 +54,8 @@ class Rule:
             return F.contains(c, F.lit("@"))
         if self.kind == "url":
             return F.contains(c, F.lit("."))
-        if self.kind == "ipv6":
-            return F.contains(c, F.lit(":"))
+        if self.kind in ("ipv6", "mac"):
+            return F.regexp_like(c, F.lit("[:-]"))
         return F.regexp_like(c, F.lit("[0-9]"))
 
 
