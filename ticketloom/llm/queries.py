@@ -85,4 +85,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rank": op10_quality_rank,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_PARTS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH items AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+starts AS (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(ws[s : s + k - 1], ' ') AS gram FROM starts),
+docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+places AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM docs, (SELECT DISTINCT k FROM windows)),
+grams AS (SELECT doc_id, k, s, array_to_string(ws[s : s + k - 1], ' ') AS gram FROM places),
+hits AS (SELECT doc_id, s, grams.k AS k, item_id FROM grams JOIN windows ON windows.gram = grams.gram AND windows.k = grams.k),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words ON words.doc_id = docs.doc_id LEFT JOIN named ON named.doc_id = docs.doc_id""",
+    "op5_near_duplicates": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_PARTS} AS ws FROM documents),
+places AS (SELECT doc_id, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS s FROM docs WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[s : s + k - 1], ' ') AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_shared FROM shingles a JOIN shingles b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * n_shared >= 75 * (a.n + b.n - n_shared)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
+SELECT reach.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, reach.doc_id = min(other) AS kept FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id""",
+}
