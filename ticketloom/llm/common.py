@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ON_ONE_MACHINE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
@@ -17,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ticketloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _ON_ONE_MACHINE.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="ticketloom-")
+        _ON_ONE_MACHINE[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
