@@ -3,9 +3,9 @@
 Every text becomes its set of word shingles; texts with equal sets form a class and only one text of a
 class is searched. One-permutation hashing with optimal densification gives a signature, and bands of it
 give buckets. In each bucket the class with the smallest hash is the centre of a star, so pairs grow with
-the size of a bucket and not with its square. Candidate pairs are confirmed on the full sets. A bucket
-whose classes are not all linked after that takes further members as centres, ``CENTRES`` at a time,
-until each member has been one, so that no pair of a bucket whose link matters stays untested.
+the size of a bucket and not with its square. Candidate pairs are confirmed on the full sets. Where a
+bucket holds classes that are not linked after that, they are joined exactly, by their rare shingles, so
+that no link between components is lost.
 
 With 32 bands of 4, a pair at similarity 0.75 shares no bucket with probability 5e-6, less above.
 """
@@ -13,7 +13,10 @@ With 32 bands of 4, a pair at similarity 0.75 shares no bucket with probability
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm.common import written
 
-WORDS, BANDS, ROWS, CENTRES = 5, 32, 4, 64
+WORDS, BANDS, ROWS, CENTRES, BITS = 5, 32, 4, 64, 2048
 MORE_THAN = 75  # percent
 
 
@@ -73,6 +76,13 @@ def signature(s: np.ndarray, probes: np.ndarray) -> np.ndarray:
     return low[probes[np.arange(bins), has[probes].argmax(1)]]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit for each hash value modulo ``BITS``: two sets differ in at least as many members as their bitmaps in bits."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _searched(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text hash, number of shingles, class (null without words) and band keys of each row."""
     schema = "doc_id bigint, _th bigint, n_shingles bigint, class binary, bands array<bigint>"
@@ -100,17 +110,18 @@ def _searched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class and full set for the representative texts in ``wanted`` (doc_id, _th, class)."""
+    """class, full set and a bitmap of it for the representative texts in ``wanted`` (doc_id, _th, class)."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for b in batches:
-            yield pd.DataFrame({"class": b["class"], "set": [shingles(t, hashes, words).view(np.int64) for t in b["text"]]})
+            found = [shingles(t, hashes, words) for t in b["text"]]
+            yield pd.DataFrame({"class": b["class"], "set": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.xxhash64("text").alias("_h"), "text")
     # A representative may be repeated row by row; one of the equal rows is enough.
     found = rows.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_th")))
-    return found.select("class", "text").mapInPandas(sets, "class binary, set array<bigint>").dropDuplicates(["class"])
+    return found.select("class", "text").mapInPandas(sets, "class binary, set array<bigint>, bits array<bigint>").dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,6 +131,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
+def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """All links between classes of ``left`` (class, label) with different labels.
+
+    Shingles are ordered from rare to frequent. Two sets that are similar enough share one among the first
+    ``n - ceil(percent * n) + 1`` of either, so classes meet in the buckets of those alone; passages that
+    many texts have are frequent and mostly come later. Classes of one bucket take turns as centres,
+    ``CENTRES`` at a time, until each has been one.
+    """
+    sets = sets_of(reps.join(left.select("class"), "class", "left_semi"))
+    rows = sets.select("class", F.size("set").alias("n"), F.explode("set").alias("key"))
+    df = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rare = rows.join(df, "key").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("_s"))
+    need = F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int")
+    keyed = rare.select("class", "n", F.posexplode(F.slice("_s", F.lit(1), F.col("n") - need + 1)).alias("at", "_s")).where("_s.df > 1").select("class", "n", "at", F.col("_s.key").alias("key"))
+    bits = sets.select("class", F.struct(*[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]).alias("bits"))
+    keyed, labels = written(keyed.join(bits, "class")), left
+    links, tested, first, centres = None, None, 0, CENTRES
+    step = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
+    while True:
+        known = keyed.join(labels, "class")
+        mixed = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where((F.col("_lo") != F.col("_hi")) & (F.col("_m") > first + 1)).select("key")
+        ranked = written(known.join(mixed, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("class"))))
+        c = ranked.where((F.col("rank") > first) & (F.col("rank") <= first + centres)).select("key", F.col("class").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("rank").alias("_r"), F.col("at").alias("_at"), F.col("bits").alias("_b"))
+        # Sizes that a partner of a centre can have, given what can be shared from here on, in steps of 5 %.
+        most = F.floor(((100 + percent) * (F.col("_n") - F.col("_at")) - percent * F.col("_n")) / percent)
+        least = F.ceil(F.col("_n") * percent / 100.0 - 1e-9)
+        c = c.where(most >= least).withColumn("step", F.explode(F.sequence(step(least), step(most))))
+        # Bits in which two bitmaps differ bound the members that are not shared from below.
+        apart = reduce(add, [F.bit_count(F.col(f"bits.b{i}").bitwiseXOR(F.col(f"_b.b{i}"))) for i in range(BITS // 64)])
+        fits = (F.col("label") != F.col("_l")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+        # At the first shingle that two sets share, no more than what follows it in either can be shared.
+        fits = fits & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= percent * (F.col("n") + F.col("_n")))
+        fits = fits & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("_n")))
+        pairs = ranked.withColumn("step", step(F.col("n"))).join(c, ["key", "step"]).where((F.col("rank") > F.col("_r")) & fits).select("a", F.col("class").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = written(_confirmed(pairs, sets, percent))
+        tested, links = (pairs, found) if links is None else (tested.union(pairs), links.union(found))
+        first, centres = first + centres, 4 * centres
+        if not ranked.where(F.col("rank") > first).limit(1).count():
+            return links
+        # What is linked by now needs no further test.
+        joined = components(labels.select(F.col("label").alias("class")).distinct(), _between(links, left))
+        labels = written(left.join(joined.select(F.col("class").alias("label"), F.col("label").alias("_new")), "label").select("class", F.col("_new").alias("label")))
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links of classes as links of their labels."""
+    a, b = labels.select(F.col("class").alias("a"), F.col("label").alias("_a")), labels.select(F.col("class").alias("b"), F.col("label").alias("_b"))
+    return links.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """class and label (the smallest class reachable), by passing labels along links and jumping to a label's label."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -154,23 +216,13 @@ def linked(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> Dat
 
     links = confirm(tested)
     labels = components(nodes, links)
-    first = 0
-    while True:
-        # Buckets with classes of several components: more centres, until every member has been one.
-        known = members.select("key", "class", "n").join(labels, "class")
-        mixed = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where((F.col("_lo") != F.col("_hi")) & (F.col("_m") > first + 1)).select("key")
-        ranked = written(known.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("class"))))
-        c = ranked.where((F.col("rank") > first) & (F.col("rank") <= first + CENTRES)).select("key", F.col("class").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("rank").alias("_r"))
-        pairs = ranked.join(c, "key").where((F.col("rank") > F.col("_r")) & (F.col("label") != F.col("_l")) & fits(F.col("n"), F.col("_n"))).select("a", F.col("class").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            tested, more = written(tested.union(pairs)), confirm(pairs)
-            if more.limit(1).count():
-                links = written(links.union(more))
-                labels = components(nodes, links)
-        elif not ranked.where(F.col("rank") > first + CENTRES).limit(1).count():
-            break
-        first += CENTRES
+    # Buckets whose classes aren't all linked by now: their members are joined exactly, by rare shingles.
+    known = members.select("key", "class").join(labels, "class")
+    mixed = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("key")
+    left = known.join(mixed, "key", "left_semi").select("class", "label").distinct()
+    more = _by_rare_shingles(written(left), reps, lambda wanted: written(_sets(docs, wanted, words)), percent)
+    if more.limit(1).count():
+        labels = components(nodes, written(links.union(more)))
 
     full = classes.select("class", "low", "rep").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     lows = full.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("lead"))
