@@ -64,10 +64,8 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
 
 def alignments(index: DataFrame, looked: DataFrame) -> DataFrame:
     """Candidate alignments (doc_id, th, item_id, shift): item word i would be document word shift + i."""
-    pair = index.join(looked.where("next IS NOT NULL"), ["h", "next"])
-    one = index.drop("next").join(looked.where("next IS NULL").drop("next"), "h")
-    cols = ["doc_id", "th", "item_id", (F.col("pos") - F.col("at")).alias("shift")]
-    return pair.select(*cols).union(one.select(*cols)).distinct()
+    found = index.withColumnRenamed("next", "_after").join(looked, "h").where(F.col("next").isNull() | (F.col("next") == F.col("_after")))
+    return found.select("doc_id", "th", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
 
 
 def _runs(words: str, c: Column, window: int) -> Column:
@@ -97,7 +95,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     docs = docs.drop(*made)
     items = written(benchmark_items(benchmark))
     index = build_index(docs, items.select(F.explode("words").alias("h")).distinct())
-    found = alignments(index, anchors(items, index, window)).join(items.select("item_id", "words"), "item_id")
+    # A written table has a known size, so that Spark can send it to the postings instead of dealing those out.
+    looked = written(anchors(items, index, window))
+    found = alignments(index, looked).join(items.select("item_id", "words"), "item_id")
     # An id may have several texts in the benchmark; alignments of the wrong one match nothing.
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "shift", "words")).alias("_c"))
     key = docs.withColumn("_th", F.xxhash64("text"))
