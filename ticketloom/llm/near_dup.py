@@ -27,16 +27,18 @@ from ticketloom.llm.common import written
 
 WORDS, BANDS, ROWS, CENTRES, BITS = 5, 32, 4, 64, 2048
 MORE_THAN = 75  # percent
+#: Words whose hashes a task remembers, and texts whose sets it hands on together; both bound its memory alone.
+REMEMBERED, TOGETHER = 1 << 16, 256
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, remembered for the frequent ones."""
+    """64-bit hashes of words; the first ``REMEMBERED`` are kept, which the frequent words are among."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < REMEMBERED:
             self[word] = value
         return value
 
@@ -114,9 +116,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        for b in batches:
+        for b in (batch[k : k + TOGETHER] for batch in batches for k in range(0, len(batch), TOGETHER)):
             found = [shingles(t, hashes, words) for t in b["text"]]
-            yield pd.DataFrame({"class": b["class"], "set": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
+            yield pd.DataFrame({"class": b["class"].array, "set": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.xxhash64("text").alias("_h"), "text")
     # A representative may be repeated row by row; one of the equal rows is enough.
