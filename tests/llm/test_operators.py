@@ -248,6 +248,22 @@ def test_rare_shingle_join_is_exact(spark):
     assert labels == {c: root(c) for c in cls}
 
 
+def test_rare_shingle_join_keeps_merged_classes_in_later_rounds(spark, monkeypatch):
+    """A first round links the first set with the last but one; many rounds later that one still links with the last."""
+    monkeypatch.setattr(near_dup, "CENTRES", 1)
+    rng = np.random.default_rng(5)
+    words = rng.permutation(rng.integers(1, 1 << 62, 170))
+    sets = [words[:100], *[rng.choice(words, 100, replace=False) for _ in range(150)], words[9:109], words[18:118]]
+    cls = [bytes([k]) for k in range(len(sets))]
+    data = [(c, sorted(s.tolist()), near_dup.bitmap(np.sort(s).astype(np.uint64)).tolist()) for c, s in zip(cls, sets, strict=True)]
+    table = spark.createDataFrame(data, "class binary, set array<bigint>, bits array<bigint>")
+    left = table.select("class", F.col("class").alias("label"))
+    links = near_dup._by_rare_shingles(left, table.select("class"), lambda _: table, 75)
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 7 * len(set(a.tolist()) & set(b.tolist())) >= 6 * 100}
+    assert want == {(0, 151), (151, 152)}
+    assert {tuple(sorted((r.a[0], r.b[0]))) for r in links.collect()} == want
+
+
 # --- 6: quality rules ---
 
 

@@ -173,8 +173,8 @@ def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataF
         first, centres = first + centres, 4 * centres
         if not ranked.where(F.col("rank") > first).limit(1).count():
             return links
-        # What is linked by now needs no further test.
-        joined = components(labels.select(F.col("label").alias("class")).distinct(), _between(links, left))
+        # What is linked by now needs no further test. All links are gone through, so all first labels take part.
+        joined = components(left.select(F.col("label").alias("class")).distinct(), _between(links, left))
         labels = written(left.join(joined.select(F.col("class").alias("label"), F.col("label").alias("_new")), "label").select("class", F.col("_new").alias("label")))
 
 
