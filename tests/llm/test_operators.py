@@ -416,6 +416,21 @@ def test_pii(spark):
     assert pii_spans.find(docs.where("false"), pii_spans.fit(docs.where("false"))).count() == 0
 
 
+def test_long_tokens_are_candidates(spark):
+    """Tokens of any length with a digit anywhere, also in a text that is one long token."""
+    tokens = ["04dbebab91ab85687d33eeaaf9ac699e1188f962" * 5, "a" * 60 + "0" + "b" * 20, "x" * 200000 + "7", "f" * 15 + "1"]
+    docs = rows_of(spark, *[f'token = "{t}" x' for t in tokens], "q" * 200000, "word_" * 9)
+    got = {r.doc_id: [c.match for c in r._c] for r in pii_spans._votes(pii_spans.base_spans(docs)).select("doc_id", "_c").collect()}
+    assert got == {**{i: [t] for i, t in enumerate(tokens)}, 4: [], 5: []}
+
+
+def test_identifiers_of_the_gazetteer_are_found(spark):
+    said = {"ssn": "123-45-6789", "passport": "C01234567", "iban": "DE89 3704 0044 0532 0130 00"}
+    model = pii_spans.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = pii_spans.find(rows_of(spark, *[f'{k}: "{v}" x' for k, v in said.items()]), model)
+    assert [[s.match for s in r.spans] for r in found.orderBy("doc_id").collect()] == [[v] for v in said.values()]
+
+
 def test_votes_are_weighed_by_reliability():
     rng = np.random.default_rng(9)
     truth = rng.random(4000) < 0.3

@@ -27,7 +27,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-CANDIDATE = r"(?<![A-Za-z0-9_])(?:(?=[A-Za-z_]{0,40}[0-9])[A-Za-z0-9_]{16,128}+(?![A-Za-z0-9_])|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9]))"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
+PASSPORT = r"[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9_])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}(?![A-Za-z0-9_])){2,7}(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9_]))?"
+CANDIDATE = r"(?<![A-Za-z0-9_])(?:(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])|" + f"{SSN}|{IBAN}|{PASSPORT}|[0-9]{{9}}(?![A-Za-z0-9_]))"
 GAZETTEER = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "bearer", "credential", "auth", "tel", "phone", "mobile", "fax", "call", "ssn", "iban", "passport", "account")
 VOTES = ("shape", "gazetteer", "assigned", "quoted", "varied")
 FEATURES = (*VOTES, "long", "hex", "digits_half", "number")
@@ -96,9 +99,9 @@ def _votes(df: DataFrame) -> DataFrame:
         left = F.substring(F.col("_t"), (F.greatest(c.start - 40, F.lit(0)) + 1).cast("int"), F.least(c.start, F.lit(40)).cast("int"))
         right = F.substring(F.col("_t"), (c.end + 1).cast("int"), F.lit(1))
         n, d = F.length(m), F.length(_digits(m))
-        number = F.regexp_like(m, F.lit("^[(]?[0-9]{3}[)]?[ .-]"))
+        number = F.regexp_like(m, F.lit("^[(]?[0-9]{3}[)]?[ .-][0-9]{3}"))
         said = {
-            "shape": number | (F.regexp_like(m, F.lit("[A-Za-z]")) & (n >= 20)),
+            "shape": number | F.regexp_like(m, F.lit(f"^(?:{SSN}|{IBAN}|{PASSPORT})$")) | (F.regexp_like(m, F.lit("[A-Za-z]")) & (n >= 20)),
             "gazetteer": F.regexp_like(left, F.lit(r"(?i)(?<![a-z])(?:" + "|".join(GAZETTEER) + r")(?![a-z])[^a-z]{0,12}$")),
             "assigned": F.regexp_like(left, F.lit(r"[=:]\s{0,2}[\"']?$")),
             "quoted": F.regexp_like(left, F.lit("[\"'`]$")) & F.regexp_like(right, F.lit("^[\"'`]")),
