@@ -89,7 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     A document word is hit if it lies in an occurrence of a window of a benchmark item: ``window``
     consecutive words, or all words of an item with fewer. A null or wordless text has no words, an item
-    without words no windows; an empty benchmark leaves every document clean.
+    without words no windows; an empty benchmark leaves every document clean. Benchmark rows with a null
+    item_id are not searched, as in the SQL oracle: documents that hold their passages alone count as clean.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs"]
     docs = docs.drop(*made)
