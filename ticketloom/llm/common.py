@@ -15,21 +15,45 @@ _ON_ONE_MACHINE: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and everything runs in one
+    process (tests) a temporary folder takes its place; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _ON_ONE_MACHINE.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="ticketloom-")
         _ON_ONE_MACHINE[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut and executors may be lost."""
+def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut and executors may be lost.
+
+    ``instead``: a table written before that nothing reads any more once this one is there; it is deleted.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if instead is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(instead._written_at)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return out
+
+
+def boxed(df: DataFrame, reads: list[str], makes: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the columns ``reads`` and one struct of all others, and what gives the caller's columns back in order.
+
+    The struct's name is new each time, so an operator's own columns can't clash with the caller's, whatever
+    those are called. Columns named as one of ``makes``, in any case, are left out: the operator replaces them.
+    """
+    row, gone = f"row_{uuid.uuid4().hex}", {m.lower() for m in makes}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    rest = [c for c in kept if c not in reads]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    box = [F.struct(*[quoted(c) for c in rest]).alias(row)] if rest else []
+    return df.select(*[quoted(c) for c in reads], *box), [F.col(c) if c in reads else F.col(row)[c].alias(c) for c in kept]
 
 
 def held(df: DataFrame, **exprs: Column) -> DataFrame:

@@ -1,10 +1,11 @@
 """Benchmark decontamination: a positional inverted index of the corpus, searched for benchmark passages.
 
 The index is a stored table of postings: for each occurrence of a benchmark term in a document its
-position, and a short hash of the word after it. A passage is searched from its rarest term: the
-occurrences of that term together with its neighbour are shifted by the term's offset in the benchmark
-item, which gives candidate alignments of item and document; the other words of the item are then
-intersected along the alignment, word by word. Nothing but DataFrame expressions runs.
+position, and a short hash of the word after it. A passage is searched from its rarest term: the list of
+that term, with its neighbour, is shifted by the term's offset in the benchmark item, which gives candidate
+alignments of item and document. The lists of all words of the item, shifted by their offsets, are then
+intersected with the alignments in one join on document, position and term, and runs of consecutive words
+that are all there are occurrences. Nothing but DataFrame expressions runs.
 
 Words are compared as 64-bit hashes. A document is known by its id and the hash of its text, so repeated
 ids are told apart and equal rows get equal results.
@@ -15,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import ascii_lower, held, written
+from ticketloom.llm.common import ascii_lower, boxed, held, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words where A-Z are not lower-cased yet.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
+RUNS = "array<struct<item_id:bigint,start:int,end:int>>"
 
 
 def word_hashes(text: Column) -> Column:
@@ -31,21 +35,26 @@ def _short(h: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words (hashes) and n of each distinct item with words; rows without an id are left out."""
+    """item (a key), item_id, words (hashes) and n of each distinct item with words; rows without an id are left out."""
     items = held(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text"), words=word_hashes(F.col("text")))
-    return items.select("item_id", "words", F.size("words").alias("n")).where("n > 0").distinct()
+    return items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n")).where("n > 0").distinct()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds what a document is known by: doc (its id as text, null as empty) and th (the hash of its text)."""
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "th": F.xxhash64("text")})
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored postings (doc_id, th, pos, h, next) of the terms ``h`` in ``terms``."""
-    df = held(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), _h=word_hashes(F.col("text")))
-    df = df.select("doc_id", "th", F.arrays_zip(F.col("_h").alias("h"), F.slice("_h", F.lit(2), F.size("_h")).alias("x")).alias("_z"))
-    df = df.select("doc_id", "th", F.posexplode("_z").alias("pos", "_z")).select("doc_id", "th", "pos", F.col("_z.h").alias("h"), F.col("_z.x").alias("_x"))
-    return written(df.join(terms, "h", "left_semi").select("doc_id", "th", "pos", "h", F.coalesce(_short(F.col("_x")), F.lit(-1)).alias("next")))
+    """The stored postings (doc, th, pos, h, next) of the terms ``h`` in ``terms``."""
+    df = held(_keyed(docs.select("doc_id", "text")), _h=word_hashes(F.col("text")))
+    df = df.select("doc", "th", F.arrays_zip(F.col("_h").alias("h"), F.slice("_h", F.lit(2), F.size("_h")).alias("x")).alias("_z"))
+    df = df.select("doc", "th", F.posexplode("_z").alias("pos", "_z")).select("doc", "th", "pos", F.col("_z.h").alias("h"), F.col("_z.x").alias("_x"))
+    return written(df.join(terms, "h", "left_semi").select("doc", "th", "pos", "h", F.coalesce(_short(F.col("_x")), F.lit(-1)).alias("next")))
 
 
 def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Where to look from: (item_id, at, h, next) with the rarest term of each window and its neighbour.
+    """Where to look from: (item, at, h, next) with the rarest term of each window and its neighbour.
 
     A window with a term that no document holds can't occur and has no anchor. ``next`` is null for a
     window of one word.
@@ -53,35 +62,33 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
     found = index.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     w = F.least(F.col("n"), F.lit(window))
     starts = items.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("s"), w.alias("w"))
-    terms = starts.select("item_id", "words", "s", "w", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("w") - 1)).alias("at"))
+    terms = starts.select("item", "words", "s", "w", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("w") - 1)).alias("at"))
     terms = terms.select("*", F.get(F.col("words"), F.col("at")).alias("h")).join(found, "h", "left")
-    rare = terms.groupBy("item_id", "words", "s", "w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at")).alias("r")).where("r.df > 0")
+    rare = terms.groupBy("item", "words", "s", "w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at")).alias("r")).where("r.df > 0")
     # The last word of a window is looked up as the neighbour of the word before it.
     at = F.when(F.col("w") == 1, F.col("r.at")).otherwise(F.least(F.col("r.at"), F.col("s") + F.col("w") - 2))
-    rare = rare.select("item_id", "words", "w", at.alias("at"))
-    return rare.select("item_id", "at", F.get(F.col("words"), F.col("at")).alias("h"), F.when(F.col("w") > 1, _short(F.get(F.col("words"), F.col("at") + 1))).alias("next")).distinct()
+    rare = rare.select("item", "words", "w", at.alias("at"))
+    return rare.select("item", "at", F.get(F.col("words"), F.col("at")).alias("h"), F.when(F.col("w") > 1, _short(F.get(F.col("words"), F.col("at") + 1))).alias("next")).distinct()
 
 
 def alignments(index: DataFrame, looked: DataFrame) -> DataFrame:
-    """Candidate alignments (doc_id, th, item_id, shift): item word i would be document word shift + i."""
+    """Candidate alignments (doc, th, item, shift): item word i would be document word shift + i."""
     found = index.withColumnRenamed("next", "_after").join(looked, "h").where(F.col("next").isNull() | (F.col("next") == F.col("_after")))
-    return found.select("doc_id", "th", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    return found.select("doc", "th", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
 
 
-def _runs(words: str, c: Column, window: int) -> Column:
-    """Maximal runs (start, end) of at least a window's length in which item and document agree along a shift."""
-    w = F.least(F.size(c["words"]), F.lit(window))
+def occurrences(index: DataFrame, found: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, th, item_id, start, end) of the maximal runs of a window's length or more in which item and document agree.
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(x.same, a.run + 1).otherwise(0)
-        start = x.at - w + 1
-        grown = F.concat(F.slice(a.out, F.lit(1), F.size(a.out) - 1), F.array(F.struct(F.element_at(a.out, -1).start.alias("start"), (x.at + 1).alias("end"))))
-        out = F.when(run == w, F.concat(a.out, F.array(F.struct(start.alias("start"), (x.at + 1).alias("end"))))).when(run > w, grown).otherwise(a.out)
-        return F.struct(run.alias("run"), out.alias("out"))
-
-    same = F.transform(c["words"], lambda x, i: F.struct((c["shift"] + i).alias("at"), F.coalesce(F.get(F.col(words), c["shift"] + i) == x, F.lit(False)).alias("same")))
-    zero = F.struct(F.lit(0).alias("run"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(same, zero, step, lambda a: a.out)
+    Each alignment asks for all words of its item at their shifted places; the join with the postings keeps
+    those that are there, and what stands in a row is a run.
+    """
+    asked = found.join(items, "item").select("doc", "th", "item", "item_id", "shift", F.least("n", F.lit(window)).alias("w"), F.posexplode("words").alias("i", "h"))
+    there = asked.withColumn("pos", F.col("shift") + F.col("i")).join(index.select("doc", "th", "pos", "h"), ["doc", "th", "pos", "h"])
+    # Of documents that are there twice the postings are too, so ranks are dense.
+    order = Window.partitionBy("doc", "th", "item", "shift").orderBy("i")
+    runs = there.withColumn("run", F.col("i") - F.dense_rank().over(order)).groupBy("doc", "th", "item", "item_id", "shift", "w", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    return runs.where(F.col("end") - F.col("start") >= F.col("w")).select("doc", "th", "item_id", "start", "end")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -89,29 +96,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     A document word is hit if it lies in an occurrence of a window of a benchmark item: ``window``
     consecutive words, or all words of an item with fewer. A null or wordless text has no words, an item
-    without words no windows; an empty benchmark leaves every document clean. Benchmark rows with a null
-    item_id are not searched, as in the SQL oracle: documents that hold their passages alone count as clean.
+    without words no windows; an empty benchmark leaves every document clean, and an empty ``docs`` gives no
+    rows. Repeated rows all get their result; ids that share a window are all named. Other columns stay,
+    but those named like an added one, in any case, are replaced. Benchmark rows with a null item_id are
+    not searched, as in the SQL oracle: documents that hold their passages alone count as clean.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs"]
-    docs = docs.drop(*made)
+    rows, own = boxed(docs, ["doc_id", "text"], made)
     items = written(benchmark_items(benchmark))
     index = build_index(docs, items.select(F.explode("words").alias("h")).distinct())
     # A written table has a known size, so that Spark can send it to the postings instead of dealing those out.
     looked = written(anchors(items, index, window))
-    found = alignments(index, looked).join(items.select("item_id", "words"), "item_id")
-    # An id may have several texts in the benchmark; alignments of the wrong one match nothing.
-    by_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "shift", "words")).alias("_c"))
-    key = docs.withColumn("_th", F.xxhash64("text"))
-    df = key.join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left")
-    df = held(df, _h=word_hashes(F.col("text")))
-    runs = F.flatten(F.transform("_c", lambda c: F.transform(_runs("_h", c, window), lambda r: F.struct(c["item_id"].alias("item_id"), r.start.alias("start"), r.end.alias("end")))))
-    df = held(df, runs=F.coalesce(F.array_distinct(runs), F.array().cast("array<struct<item_id:bigint,start:int,end:int>>")))
+    found = occurrences(index, written(alignments(index, looked)), items, window)
+    by_doc = found.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct(F.col("item_id").cast("bigint").alias("item_id"), "start", "end"))).alias("runs"))
+    df = _keyed(rows).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("bigint"))
+    df = df.join(by_doc, ["doc", "th"], "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
     spans = F.sort_array(F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end"))))
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("n")), lambda a, r: F.struct(F.greatest(a.at, r.end).alias("at"), (a.n + F.greatest(r.end - F.greatest(a.at, r.start), F.lit(0))).alias("n")), lambda a: a.n)
-    df = held(df, _items=F.sort_array(F.array_distinct(F.transform("runs", lambda r: r.item_id.cast("string")))), n_hit=covered)
+    df = held(df, n_hit=covered, _items=F.sort_array(F.array_distinct(F.transform("runs", lambda r: r.item_id.cast("string")))))
     return df.select(
-        *docs.columns,
-        F.size("_h").cast("bigint").alias("n_words"),
+        *own,
+        "n_words",
         "n_hit",
         F.size("_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
@@ -121,8 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def proximity_matches(index: DataFrame, terms: DataFrame, span: int) -> DataFrame:
-    """(query_id, doc_id, th, start) where all terms of a query (query_id, h) lie within ``span`` words from ``start``, in any order."""
+    """(query_id, doc, th, start) where all terms of a query (query_id, h) lie within ``span`` words from ``start``, in any order."""
     need = terms.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     hits = index.join(terms.distinct(), "h").join(need, "query_id")
-    near = Window.partitionBy("query_id", "doc_id", "th").orderBy("pos").rangeBetween(0, span - 1)
-    return hits.withColumn("_n", F.size(F.collect_set("h").over(near))).where("_n = need").select("query_id", "doc_id", "th", F.col("pos").alias("start"))
+    near = Window.partitionBy("query_id", "doc", "th").orderBy("pos").rangeBetween(0, span - 1)
+    return hits.withColumn("_n", F.size(F.collect_set("h").over(near))).where("_n = need").select("query_id", "doc", "th", F.col("pos").alias("start"))
