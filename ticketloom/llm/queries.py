@@ -111,4 +111,18 @@ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_shared FROM shingl
 links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * n_shared >= 75 * (a.n + b.n - n_shared)),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
 SELECT reach.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, reach.doc_id = min(other) AS kept FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id""",
+    # The text is that of the whole characters: bytes at either edge of a kept piece that are no whole character go.
+    "op7_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - 399)) AS s FROM d)),
+starts AS (SELECT r, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM starts),
+runs AS (SELECT r, min(s) AS a, max(s) + 400 AS e FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS k FROM marked) GROUP BY r, k),
+ends AS (SELECT r, a, e FROM runs UNION ALL SELECT r, octet_length(b), octet_length(b) FROM d),
+pieces AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a, e), 0) AS x, a AS y FROM ends),
+cut AS (SELECT r, x, hex(array_slice(b, x + 1, y)) AS p FROM pieces JOIN d USING (r)),
+whole AS (SELECT r, x, p, regexp_extract(regexp_replace(p, '^(?:[89AB][0-9A-F])*', ''), '^((?:[0-9A-F]{2})*?)(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})?$', 1) AS c FROM cut),
+kept AS (SELECT r, from_hex(string_agg(p, '' ORDER BY x)) AS bytes, decode(from_hex(string_agg(c, '' ORDER BY x))) AS text FROM whole GROUP BY r),
+gone AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(bytes) AS kept_sha256, kept.text AS text FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
 }

@@ -24,9 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketloom.llm.common import written
 
@@ -74,26 +74,31 @@ def anchors(data: bytes, byte_values: np.ndarray, length: int = LENGTH, gram: in
 def _occurrences(docs: DataFrame) -> DataFrame:
     """One row for each document and class of anchors in it: ref, doc_id, gram, class, lo and hi (least and most distance from a window's start to its anchor), positions."""
     schema = "doc_id bigint, ref binary, gram bigint, class binary, lo int, hi int, at array<int>"
+    kinds = {"gram": pa.int64(), "class": pa.binary(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.list_(pa.int32())}
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         values = _byte_values()
         for b in batches:
-            out = []
-            for doc, ref, text in zip(b["doc_id"], b["ref"], b["text"], strict=True):
-                data, seen = text.encode(), {}
+            row, out = [], []
+            for i, text in enumerate(b.column("text")):
+                data, seen = text.as_py().encode(), {}
                 for a, first, last, gram in anchors(data, values):
                     cls = xxhash.xxh3_128_digest(b"%d,%d:" % (a - last, a - first) + data[first : last + LENGTH])
                     if cls in seen:
                         seen[cls][-1].append(a)
                     else:
-                        seen[cls] = (doc, ref, gram, cls, a - last, a - first, [a])
+                        seen[cls] = (gram, cls, a - last, a - first, [a])
+                row += [i] * len(seen)
                 out += seen.values()
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "ref", "gram", "class", "lo", "hi", "at"]).astype({"doc_id": "Int64"})
+                # Ids stay in Arrow, so that they are exact also next to nulls.
+                at = pa.array(row, pa.int64())
+                found = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("ref").take(at), *found], ["doc_id", "ref", *kinds])
 
-    return docs.where(F.octet_length("text") >= LENGTH).mapInPandas(find, schema)
+    return docs.where(F.octet_length("text") >= LENGTH).mapInArrow(find, schema)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,15 +203,17 @@ def _refined(rows: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and text (its whole characters) for each row of ``docs``.
 
     A null text is empty; texts of fewer than ``LENGTH`` bytes lose nothing. Equal texts, also of equal
-    ids, are occurrences of each other and go whole. Columns besides doc_id and text are left out.
+    or null ids, are occurrences of each other and go whole. A character that loses some of its bytes
+    isn't in ``text``. An empty table gives no rows. Columns besides doc_id and text are left out, so
+    their names don't matter.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).withColumn("ref", F.unhex(F.md5("text")))
     found = written(_occurrences(docs))
     shared = found.groupBy("gram").agg(F.sum(F.size("at")).alias("n")).where("n > 1").select("gram")
-    found = written(found.join(shared, "gram", "left_semi"))
+    found = written(found.join(shared, "gram", "left_semi"), found)
     classes = found.groupBy("class").agg(F.min("gram").alias("gram"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.sum(F.size("at")).alias("n"), F.min(F.struct("ref", "doc_id", F.col("at")[0].alias("a"))).alias("rep"))
     classes = written(classes)
     unsure = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("_classes"), F.min("n").alias("_least")).where("_classes > 1 AND _least = 1").select("gram")
@@ -216,28 +223,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         spans = spans.union(_refined(rows.join(big, "key", "left_anti")))
         halves = written(_halved(rows.join(big, "key", "left_semi").select(rows.columns)))
         pairs = halves.groupBy("key").agg(F.countDistinct("class").alias("_n")).where("_n > 1").select("key")
-        halves = written(halves.join(pairs, "key", "left_semi").select(rows.columns))
+        halves = written(halves.join(pairs, "key", "left_semi").select(rows.columns), halves)
         # A single window that shares its key is repeated, whatever the size of its bucket.
         spans = spans.union(halves.where("node_lo = node_hi").select("class", (-F.col("hi")).alias("from"), (LENGTH - F.col("lo")).alias("to")))
         rows = halves.where("node_lo < node_hi")
     spans = written(spans.union(_refined(rows)))
     covered = found.select("ref", "doc_id", "class", F.explode("at").alias("a")).join(spans, "class").groupBy(F.col("ref").alias("_ref"), F.col("doc_id").alias("_doc"))
     covered = covered.agg(F.sort_array(F.collect_set(F.struct((F.col("a") + F.col("from")).alias("start"), (F.col("a") + F.col("to")).alias("end")))).alias("_spans"))
-    joined = docs.join(covered, (F.col("ref") == F.col("_ref")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "_spans")
-    schema = T.StructType.fromDDL("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, text, found in zip(b["doc_id"], b["text"], b["_spans"], strict=True):
-                data, kept, end, n = text.encode(), [], 0, 0
-                for s in found if found is not None else ():
-                    if s["start"] > end or not n:
-                        kept.append(data[end : s["start"]])
-                        n += 1
-                    end = max(end, s["end"])
-                left = b"".join(kept) + data[end:]
-                out.append((doc, len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left))
-            yield pd.DataFrame(out, columns=schema.names).astype({"doc_id": "Int64"})
-
-    return joined.mapInPandas(cut, schema)
+    joined = docs.join(covered, (F.col("ref") == F.col("_ref")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    starts, ends = F.transform("_spans", lambda s: s.start), F.transform("_spans", lambda s: s.end)
+
+    @F.pandas_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, text string")
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, first, last in zip(texts, starts, ends, strict=True):
+            data, kept, end, n = text.encode(), [], 0, 0
+            for a, b in zip(first, last, strict=True) if first is not None else ():
+                if a > end or not n:
+                    kept.append(data[end:a])
+                    n += 1
+                end = max(end, b)
+            kept.append(data[end:])
+            left = b"".join(kept)
+            out.append((len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left, "".join(k.decode(errors="ignore") for k in kept)))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"])
+
+    return joined.select("doc_id", cut("text", starts, ends).alias("_r")).select("doc_id", "_r.*")
