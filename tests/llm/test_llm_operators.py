@@ -382,10 +382,15 @@ def test_classifiers_on_odd_tables(spark):
 
 
 def test_positive_unlabelled_risk_finds_the_marker():
-    rng = np.random.default_rng(4)
-    say = lambda bad: " ".join(rng.choice(["river", "stone", "cloud", "field"], 20)) + (" vile" if bad else "")
-    model = toxicity.learn([say(True) for _ in range(100)], [say(k % 10 == 0) for k in range(600)], 0.1)
-    assert toxicity.raw(model, "river vile") > 0 > toxicity.raw(model, "river stone")
+    say = lambda bad: [0, 1, *([2] if bad else [])]
+    words = ["river", "stone", "vile"]
+    model = toxicity.learn([say(True) for _ in range(100)], [say(k % 10 == 0) for k in range(600)], words, 0.1)
+    assert toxicity.raw(model, "river vile") > np.log(0.7 / 0.3) > toxicity.raw(model, "river stone")
+
+
+def test_prior_is_bounded_by_the_words_of_positives():
+    in_p, in_u = {"vile": 90, "the": 100, "rare": 4}, {"vile": 1000, "the": 9900, "rare": 4}
+    assert 0.1 <= toxicity.class_prior(in_p, 100, in_u, 10_000) <= 0.13
 
 
 # --- 9: personal data ---
@@ -425,7 +430,7 @@ def test_long_tokens_are_candidates(spark):
     """Tokens of any length with a digit anywhere, also in a text that is one long token."""
     tokens = ["04dbebab91ab85687d33eeaaf9ac699e1188f962" * 5, "a" * 60 + "0" + "b" * 20, "x" * 200000 + "7", "f" * 15 + "1"]
     docs = rows_of(spark, *[f'token = "{t}" x' for t in tokens], "q" * 200000, "word_" * 9)
-    got = {r.doc_id: [c.match for c in r._c] for r in pii_spans._votes(pii_spans.base_spans(docs)).select("doc_id", "_c").collect()}
+    got = {r.doc_id: [c.match for c in r._c] for r in pii_spans._votes(pii_spans.base_spans(docs.select("doc_id", "text"))).select("doc_id", "_c").collect()}
     assert got == {**{i: [t] for i, t in enumerate(tokens)}, 4: [], 5: []}
 
 

@@ -56,6 +56,13 @@ def boxed(df: DataFrame, reads: list[str], makes: list[str] | tuple[str, ...] =
     return df.select(*[quoted(c) for c in reads], *box), [F.col(c) if c in reads else F.col(row)[c].alias(c) for c in kept]
 
 
+def unboxed(df: DataFrame, own: list[Column], **made: Column) -> DataFrame:
+    """The caller's columns and the ``made`` ones, which are worked out before any of the caller's names is back."""
+    out = f"made_{uuid.uuid4().hex}"
+    df = df.select("*", F.struct(*[c.alias(n) for n, c in made.items()]).alias(out))
+    return df.select(*own, *[F.col(out)[n].alias(n) for n in made])
+
+
 def held(df: DataFrame, **exprs: Column) -> DataFrame:
     """Adds columns that are evaluated once per row, also when lambdas refer to them many times.
 

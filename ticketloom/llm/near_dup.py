@@ -20,10 +20,11 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import written
+from ticketloom.llm.common import boxed, written
 
 WORDS, BANDS, ROWS, CENTRES, BITS = 5, 32, 4, 64, 2048
 MORE_THAN = 75  # percent
@@ -90,13 +91,13 @@ def _searched(docs: DataFrame, words: int) -> DataFrame:
     schema = "doc_id bigint, _th bigint, n_shingles bigint, class binary, bands array<bigint>"
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("_th"), "text")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, probes = _Hashes(), _probes(BANDS * ROWS)
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         for b in batches:
             n, cls, bands = [], [], []
-            for text in b["text"]:
-                s = shingles(text, hashes, words)
+            for text in b.column("text"):
+                s = shingles(text.as_py(), hashes, words)
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if len(s):
@@ -106,9 +107,11 @@ def _searched(docs: DataFrame, words: int) -> DataFrame:
                     bands.append(key.view(np.int64))
                 else:
                     bands.append(None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "_th": b["_th"], "n_shingles": n, "class": cls, "bands": bands})
+            # Ids stay in Arrow, so that they are exact also next to nulls.
+            made = [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_th"), *made], ["doc_id", "_th", "n_shingles", "class", "bands"])
 
-    return rows.mapInPandas(search, schema)
+    return rows.mapInArrow(search, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -187,12 +190,12 @@ def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """class and label (the smallest class reachable), by passing labels along links and jumping to a label's label."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(nodes.select("class", F.col("class").alias("label")))
+    labels = at = written(nodes.select("class", F.col("class").alias("label")))
     while True:
         near = both.join(labels.select(F.col("class").alias("a"), "label"), "a").groupBy(F.col("b").alias("class")).agg(F.min("label").alias("_near"))
         passed = labels.join(near, "class", "left").select("class", F.least("label", "_near").alias("_l"), F.col("label").alias("_old"))
         jump = labels.select(F.col("class").alias("_l"), F.col("label").alias("_far"))
-        new = written(passed.join(jump, "_l", "left").select("class", F.least("_l", "_far").alias("label"), "_old"))
+        new = at = written(passed.join(jump, "_l", "left").select("class", F.least("_l", "_far").alias("label"), "_old"), at)
         if not new.where(F.col("label") != F.col("_old")).limit(1).count():
             return new.select("class", "label")
         labels = new.select("class", "label")
@@ -227,7 +230,8 @@ def linked(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> Dat
         labels = components(nodes, written(links.union(more)))
 
     full = classes.select("class", "low", "rep").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    lows = full.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("lead"))
+    # Written first, so that the join below has two plain sides, whose large groups Spark can split.
+    lows = written(full.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("lead")))
     ids = full.join(lows, "label").select("class", "component_id", "lead")
     return rows.select("doc_id", "_th", "n_shingles", "class").join(ids, "class", "left")
 
@@ -248,9 +252,15 @@ def near_duplicates(docs: DataFrame, percent: int = MORE_THAN, words: int = WORD
 
 
 def one_of_each(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that stay if one document of each component does; rows without words all stay."""
+    """The rows of ``docs`` that stay if one document of each component does; rows without words all stay.
+
+    The row with the smallest id stays, of equal ids the one with the smallest text hash, and of rows that
+    are equal in both any one. Null ids come last. All columns stay, whatever their names. An empty table
+    gives no rows.
+    """
+    rows, own = boxed(docs, ["doc_id", "text"])
     worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     leads = linked(docs, percent, words).where(F.col("class").isNotNull()).select(F.col("lead.doc_id").alias("_lead"), F.col("lead._th").alias("_lead_th")).distinct()
-    some = docs.where(worded).withColumn("_th", F.xxhash64("text"))
+    some = rows.where(worded).withColumn("_th", F.xxhash64("text"))
     some = some.join(leads, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_lead")) & (F.col("_th") == F.col("_lead_th")), "left_semi").dropDuplicates(["doc_id", "_th"])
-    return some.select(docs.columns).unionByName(docs.where(~worded))
+    return some.select(own).unionByName(rows.where(~worded).select(own))
