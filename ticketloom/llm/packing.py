@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketloom.llm.common import written
+from ticketloom.llm.common import boxed, written
 
 SEQUENCE, END_ID, GRID, SALTS = 4096, 1, 32, 64
 #: Chunks of text whose ids a Python worker remembers.
@@ -49,12 +50,12 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, sequence: int = SE
     made = ["piece", "start", "length", "ids_crc32", "ids"]
     kept = docs.drop(*made)
     fields = [f for f in kept.schema.fields if f.name != "text"]
-    more = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+    more = {"piece": (T.IntegerType(), pa.int32()), "start": (T.LongType(), pa.int64()), "length": (T.LongType(), pa.int64()), "ids_crc32": (T.LongType(), pa.int64())}
     if keep_ids:
-        more.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+        more["ids"] = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
     path, end = vocabulary, np.uint32(END_ID).astype("<u4").tobytes()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_file(path or vocabulary_path())
@@ -90,18 +91,19 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, sequence: int = SE
 
         for b in batches:
             at, out = [], []
-            for i, text in enumerate(b["text"]):
-                ids = ids_of(text) + end
+            for i, text in enumerate(b.column("text")):
+                ids = ids_of(text.as_py()) + end
                 for k in range(0, len(ids), 4 * sequence):
                     part = ids[k : k + 4 * sequence]
                     at.append(i)
                     out.append((k // 4 // sequence, k // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if keep_ids else [])))
-            rows = b.drop(columns=["text"]).iloc[at].reset_index(drop=True)
-            for f, values in zip(more, zip(*out, strict=True) if out else [[] for _ in more], strict=True):
-                rows[f.name] = pd.Series(list(values), dtype=None if f.name == "ids" else "int64")
-            yield rows
+            # The caller's columns stay in Arrow, so that ids are exact also next to nulls.
+            rows = b.drop_columns(["text"]).take(pa.array(at, pa.int64()))
+            values = zip(*out, strict=True) if out else [[] for _ in more]
+            found = [pa.array(list(v), kind) for v, (_, kind) in zip(values, more.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*rows.schema.names, *more])
 
-    return kept.mapInPandas(pieces, T.StructType([*fields, *more]))
+    return kept.mapInArrow(pieces, T.StructType([*fields, *[T.StructField(n, kind) for n, (kind, _) in more.items()]]))
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
@@ -234,11 +236,12 @@ def best_plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32, ...), which must be a written table.
 
-    Pieces that are equal in doc_id, piece and ids are interchangeable, so ranks are the same for any order of them.
+    Pieces that are equal in doc_id, piece and ids are interchangeable, so ranks are the same for any order
+    of them. Other columns stay, whatever their names, but those named like an added one are replaced. An
+    empty table gives no rows.
     """
-    pieces = pieces.drop("sequence_id", "offset")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))
-    df = pieces.withColumn("_salt", salt)
+    df, own = boxed(pieces, ["doc_id", "piece", "length", "ids_crc32"], ("sequence_id", "offset"))
+    df = df.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     counts = df.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     histogram: dict[int, int] = defaultdict(int)
     first, rows = [], sorted(counts.collect(), key=lambda r: (r["length"], r["_salt"]))  # sequence * SALTS rows at most
@@ -249,19 +252,22 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     key = np.array([r[0] for r in runs], np.int64) * (1 << 44) + np.array([r[1] for r in runs], np.int64)
     plan_of = pieces.sparkSession.sparkContext.broadcast((key, *(np.array([r[k] for r in runs], np.int64) for k in (1, 3, 4)), {(k, s): n for k, s, n in first}))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    df = df.withColumn("_rank", F.row_number().over(order))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rank, seq, offset, base = plan_of.value
-        for b in batches:
-            r = b["_rank"].to_numpy(np.int64) - 1 + np.array([base[k] for k in zip(b["length"], b["_salt"], strict=True)], np.int64)
-            at = np.searchsorted(key, b["length"].to_numpy(np.int64) * (1 << 44) + r, "right") - 1
-            yield b.drop(columns=["_salt", "_rank"]).assign(sequence_id=seq[at] + r - rank[at], offset=offset[at])
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        key, first, seq, offset, base = plan_of.value
+        r = rank.to_numpy(np.int64) - 1 + np.array([base[k] for k in zip(length, salt, strict=True)], np.int64)
+        at = np.searchsorted(key, length.to_numpy(np.int64) * (1 << 44) + r, "right") - 1
+        return pd.DataFrame({"sequence_id": seq[at] + r - first[at], "offset": offset[at]})
 
-    return df.mapInPandas(place, schema)
+    placed = df.withColumn("_rank", F.row_number().over(order)).withColumn("_place", place("length", "_salt", "_rank"))
+    return placed.select(*own, "_place.sequence_id", "_place.offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
-    """Tokenizes and packs ``docs``: a row for each piece with its sequence and place there. An empty table gives no rows."""
+    """Tokenizes and packs ``docs``: a row for each piece with its sequence and place there.
+
+    Null and empty texts are pieces of one token; repeated rows are packed each; an empty table gives no
+    rows. Other columns of ``docs`` stay, but those named like an added one are replaced.
+    """
     return pack(written(tokenized(docs, vocabulary, sequence, keep_ids)), sequence)
