@@ -7,13 +7,11 @@ rates each URL in Arrow batches; there is no shuffle.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketloom.llm.common import ascii_lower
 
@@ -86,19 +84,23 @@ def learn(seeds: list[tuple[str, int]], steps: int = 2000, rate: float = 1.0, de
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, seeds: list[tuple[str, int]] | None = None, block_from: float = 0.5) -> DataFrame:
     """Adds host, path, rule, score and verdict to each row with a ``url``.
 
-    A null URL, or one without ``://``, has an empty host and path; the model judges those too. Columns of
-    the added names are replaced.
+    A null or empty URL, or one without ``://``, has an empty host and path; the model judges those too.
+    Repeated rows are judged alike, of rules of equal length the earlier one counts, and an empty table
+    gives no rows. Columns named like an added one are replaced; all others stay.
     """
-    kept = pages.drop("host", "path", "rule", "score", "verdict")
-    df = kept.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     shared = pages.sparkSession.sparkContext.broadcast(learn(SEEDS if seeds is None else seeds))
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only hosts and paths go to Python. A filter on the score mustn't compute it once more.
+    @F.pandas_udf("double")
+    def rate(hosts: pd.Series, paths: pd.Series) -> pd.Series:
         w, b = shared.value
-        for rows in batches:
-            z = [w[k].sum() / np.sqrt(max(1, len(k))) + b for k in map(_buckets, rows["host"], rows["path"])]
-            yield rows.assign(score=np.round(1 / (1 + np.exp(-np.array(z, float))), 9))
+        z = [w[k].sum() / np.sqrt(max(1, len(k))) + b for k in map(_buckets, hosts, paths)]
+        return pd.Series(np.round(1 / (1 + np.exp(-np.array(z, float))), 9))
 
-    df = df.mapInPandas(rate, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+    df = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("score", rate.asNondeterministic()("host", "path"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    return df.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= block_from, "block").otherwise("allow")))
+    verdict = F.coalesce(verdict, F.when(F.col("score") >= block_from, "block").otherwise("allow"))
+    # In the order of the caller's other columns, then the added ones.
+    added = {"host": F.col("host"), "path": F.col("path"), "score": F.col("score"), "rule": name, "verdict": verdict}
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in pages.columns if c.lower() not in added]
+    return df.select(*kept, *[c.alias(n) for n, c in added.items()])
