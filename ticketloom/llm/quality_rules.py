@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import held, labelled_sample
+from ticketloom.llm.common import boxed, held, labelled_sample, unboxed
 
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -28,12 +28,12 @@ SAMPLE_ROWS = 4000
 def text_statistics(docs: DataFrame) -> DataFrame:
     """Adds word and line statistics of ``text`` to each row.
 
-    A null or empty text has no words, and all its counts are 0. Columns of the same names are replaced.
+    A null or empty text has no words, and all its counts are 0. Repeated rows get equal numbers, an empty
+    table gives no rows. Columns named like an added one, in any case, are replaced; all others stay.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique_words", "n_exclaim", "n_upper", "n_bars", "n_digits"]
-    df = docs.drop(*made)
-    t = F.coalesce(F.col("text"), F.lit(""))
-    df = held(df, _t=t)
+    df, own = boxed(docs, ["text"], made)
+    df = held(df, _t=F.coalesce(F.col("text"), F.lit("")))
     df = held(df, _w=F.array_remove(F.split("_t", BLANK), ""))
     df = held(df, _h=F.transform("_w", lambda x: F.xxhash64(x)), _lines=F.filter(F.split("_t", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
     n = F.size("_w")
@@ -50,19 +50,20 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         lambda a: a.words,
     )
     count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("bigint")
-    return df.select(
-        *docs.drop(*made).columns,
-        n.cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("_t", BLANK, "")).cast("bigint").alias("word_chars"),
-        count("[#*$%&|<>]").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        F.size(F.array_distinct("_h")).cast("bigint").alias("n_unique_words"),
-        count("!").alias("n_exclaim"),
-        count(r"\p{Lu}").alias("n_upper"),
-        count(r"\|").alias("n_bars"),
-        count("[0-9]").alias("n_digits"),
+    return unboxed(
+        df,
+        own,
+        n_words=n.cast("bigint"),
+        word_chars=F.length(F.regexp_replace("_t", BLANK, "")).cast("bigint"),
+        n_symbols=count("[#*$%&|<>]"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
+        n_repeat_words=covered,
+        n_lines=F.size("_lines").cast("bigint"),
+        n_unique_words=F.size(F.array_distinct("_h")).cast("bigint"),
+        n_exclaim=count("!"),
+        n_upper=count(r"\p{Lu}"),
+        n_bars=count(r"\|"),
+        n_digits=count("[0-9]"),
     )
 
 
@@ -161,7 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
 
 
 def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``text_statistics`` with base_failed (a fixed rule) and kept (neither it nor a learned rule rejects)."""
+    """``text_statistics`` with base_failed (a fixed rule) and kept (neither it nor a learned rule rejects).
+
+    Null and empty texts have no words and so fail; equal texts get equal verdicts; of rules that hold at
+    once the first counts; an empty table gives no rows. Columns named like an added one are replaced.
+    """
     df = text_statistics(docs).drop("base_failed", "kept")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & rules.verdict())
