@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import held
+from ticketloom.llm.common import boxed, held, written
 
 # A run of name characters is tried once, from its start or where the last match ended, and repeats are
 # possessive; that finds the same matches in linear time and without deep recursion.
@@ -144,9 +144,9 @@ def aggregate_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
     return q, {k: (float(a), float(b)) for k, a, b in zip(VOTES, hit, false, strict=True)}
 
 
-def fit(docs: DataFrame) -> SpanModel | None:
-    """Votes on all candidates of all documents; None where there are none."""
-    marks = _votes(base_spans(docs.select("text"))).select(F.explode("_c").alias("c")).groupBy(*[F.col(f"c.{k}").alias(k) for k in FEATURES]).count().collect()
+def learn(candidates: DataFrame) -> SpanModel | None:
+    """The model of the votes in ``_c`` of all rows; None where there are no candidates."""
+    marks = candidates.select(F.explode("_c").alias("c")).groupBy(*[F.col(f"c.{k}").alias(k) for k in FEATURES]).count().collect()
     if not marks:
         return None
     x = np.array([[r[k] for k in FEATURES] for r in sorted(marks)], float)
@@ -162,18 +162,42 @@ def fit(docs: DataFrame) -> SpanModel | None:
     return SpanModel(tuple(float(round(v, 6)) for v in w), reliability)
 
 
-def find(docs: DataFrame, model: SpanModel | None) -> DataFrame:
-    """Adds ``spans``: array of (kind, start, end, match), base spans by kind and start, then those of the model.
+def fit(docs: DataFrame) -> SpanModel | None:
+    """Votes on all candidates of all documents; None where there are none."""
+    return learn(_votes(base_spans(docs.select("text"))))
 
-    Offsets count code points, the end is exclusive. A null or empty text has no spans.
-    """
-    df = base_spans(docs.drop("spans"))
+
+def _chosen(df: DataFrame, model: SpanModel | None) -> DataFrame:
+    """Adds ``spans`` from the base spans and those of ``_c`` that the model accepts."""
     parts = ["_email", "_ip", "_card", "_phone"]
     if model is not None:
-        df = _votes(df).withColumn("_more", F.transform(F.filter("_c", model.accepts), lambda c: F.struct(F.when(c.number == 1, "contact").otherwise("secret").alias("kind"), c.start.alias("start"), c.end.alias("end"), c.match.alias("match"))))
+        df = df.withColumn("_more", F.transform(F.filter("_c", model.accepts), lambda c: F.struct(F.when(c.number == 1, "contact").otherwise("secret").alias("kind"), c.start.alias("start"), c.end.alias("end"), c.match.alias("match"))))
         df = df.withColumn("_contact", F.filter("_more", lambda c: c.kind == "contact")).withColumn("_secret", F.filter("_more", lambda c: c.kind == "secret"))
         parts += ["_contact", "_secret"]
-    return df.withColumn("spans", F.concat(*parts)).select(*docs.drop("spans").columns, "spans")
+    return df.withColumn("spans", F.concat(*parts))
+
+
+def find(docs: DataFrame, model: SpanModel | None) -> DataFrame:
+    """Adds ``spans``: array of (kind, start, end, match), base spans by kind and start, then those of the model.
+
+    Offsets count code points, the end is exclusive. A null or empty text has no spans; repeated rows get
+    equal spans; an empty table gives no rows. A column ``spans`` is replaced, all others stay.
+    """
+    rows, own = boxed(docs, ["text"], ["spans"])
+    df = base_spans(rows)
+    return _chosen(df if model is None else _votes(df), model).select(*own, "spans")
+
+
+def find_all(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``find`` with the model that ``fit`` learns from the same documents, reading each text once: candidates and votes are written in between.
+
+    Without ``keep_text`` the texts themselves are neither written nor returned.
+    """
+    rows, own = boxed(docs, ["text"], ["spans"])
+    voted = _votes(base_spans(rows)).drop("_t")
+    voted = written(voted if keep_text else voted.withColumn("text", F.lit(None).cast("string")))
+    out = _chosen(voted, learn(voted)).select(*own, "spans")
+    return out if keep_text else out.drop("text")
 
 
 def listed(spans: Column, kinds: Callable[[Column], Column] | None = None) -> Column:
@@ -182,11 +206,15 @@ def listed(spans: Column, kinds: Callable[[Column], Column] | None = None) -> Co
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """Replaces spans in ``text`` by ``[KIND]``; of spans that overlap, the mark of the first stays and all go."""
-    df = held(found, _o=F.sort_array(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))))
+    """Replaces spans in ``text`` by ``[KIND]``; of spans that overlap, the mark of the first stays and all go.
+
+    Texts without spans, null ones too, stay as they are, and so do all other columns.
+    """
+    df, own = boxed(found, ["text", "spans"])
+    df = held(df, _o=F.sort_array(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))))
     cut = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.struct(F.greatest(a.at, s.end).alias("at"), F.when(s.start < a.at, a.out).otherwise(F.concat(a.out, F.array(F.concat(cut(a.at, s.start), F.lit("["), F.upper(s.kind), F.lit("]"))))).alias("out"))
     df = held(df, _r=F.aggregate("_o", zero, step))
     rest = F.expr("substring(text, cast(_r.at + 1 as int))")
-    return df.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join("_r.out", ""), rest)).otherwise(F.col("text"))).select(*found.columns)
+    return df.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join("_r.out", ""), rest)).otherwise(F.col("text"))).select(own)

@@ -67,7 +67,7 @@ def op10_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii_spans.find(docs, pii_spans.fit(docs))
+    found = pii_spans.find_all(docs, keep_text=False)
     n = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[n(k) for k in pii_spans.KINDS], F.sha2(pii_spans.listed(F.col("spans"), lambda s: s.kind.isin(*pii_spans.KINDS)), 256).alias("base_sha256"), pii_spans.listed(F.col("spans")).alias("spans"))
 
