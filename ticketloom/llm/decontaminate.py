@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import ascii_lower, boxed, held, written
+from ticketloom.llm.common import ascii_lower, boxed, held, unboxed, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words where A-Z are not lower-cased yet.
@@ -114,14 +114,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     spans = F.sort_array(F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end"))))
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("n")), lambda a, r: F.struct(F.greatest(a.at, r.end).alias("at"), (a.n + F.greatest(r.end - F.greatest(a.at, r.start), F.lit(0))).alias("n")), lambda a: a.n)
     df = held(df, n_hit=covered, _items=F.sort_array(F.array_distinct(F.transform("runs", lambda r: r.item_id.cast("string")))))
-    return df.select(
-        *own,
-        "n_words",
-        "n_hit",
-        F.size("_items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        "runs",
+    return unboxed(
+        df,
+        own,
+        n_words=F.col("n_words"),
+        n_hit=F.col("n_hit"),
+        n_items=F.size("_items").cast("bigint"),
+        items_sha256=F.sha2(F.array_join("_items", ","), 256),
+        contaminated=F.col("n_hit") > 0,
+        runs=F.col("runs"),
     )
 
 
