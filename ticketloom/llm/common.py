@@ -43,24 +43,23 @@ def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
 
 
 def boxed(df: DataFrame, reads: list[str], makes: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
-    """``df`` with the columns ``reads`` and one struct of all others, and what gives the caller's columns back in order.
+    """``df`` with the columns ``reads`` and all others under names of their own, and what gives the caller's columns back in order.
 
-    The struct's name is new each time, so an operator's own columns can't clash with the caller's, whatever
-    those are called. Columns named as one of ``makes``, in any case, are left out: the operator replaces them.
+    The names are new each time, so an operator's own columns can't clash with the caller's, whatever those
+    are called. Columns named as one of ``makes``, in any case, are left out: the operator replaces them.
     """
     row, gone = f"row_{uuid.uuid4().hex}", {m.lower() for m in makes}
     kept = [c for c in df.columns if c.lower() not in gone]
-    rest = [c for c in kept if c not in reads]
+    rest = {c: f"{row}_{i}" for i, c in enumerate(kept) if c not in reads}
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    box = [F.struct(*[quoted(c) for c in rest]).alias(row)] if rest else []
-    return df.select(*[quoted(c) for c in reads], *box), [F.col(c) if c in reads else F.col(row)[c].alias(c) for c in kept]
+    return df.select(*[quoted(c) for c in reads], *[quoted(c).alias(n) for c, n in rest.items()]), [F.col(rest[c]).alias(c) if c in rest else F.col(c) for c in kept]
 
 
 def unboxed(df: DataFrame, own: list[Column], **made: Column) -> DataFrame:
     """The caller's columns and the ``made`` ones, which are worked out before any of the caller's names is back."""
     out = f"made_{uuid.uuid4().hex}"
-    df = df.select("*", F.struct(*[c.alias(n) for n, c in made.items()]).alias(out))
-    return df.select(*own, *[F.col(out)[n].alias(n) for n in made])
+    df = df.select("*", *[c.alias(f"{out}_{n}") for n, c in made.items()])
+    return df.select(*own, *[F.col(f"{out}_{n}").alias(n) for n in made])
 
 
 def held(df: DataFrame, **exprs: Column) -> DataFrame:
