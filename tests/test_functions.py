@@ -116,3 +116,38 @@ def test_rules(spark, text, gone, mark):
 def test_rules_run_without_python_and_stay_short(spark):
     plan = patterns.apply_rules(spark.createDataFrame([("x",)], "t string"), "t")._jdf.queryExecution().toString()
     assert "Python" not in plan and plan.count("Project") < 80
+
+
+PIECES = ["12", "7 ", "12-34-56", "5b", "Main", "O'Neil", "St", "St.", "street ", "Ave", "Road,", "de la", "del", "van", "a", "b ", "é", "Straße", "-", "--", "'", " ", "  ", ",", ", ", "\n", "at ", ": 12 ", "@ ", "x@y.z", "a.b@c-d.e", "c-.d", "@", ".", "..", "www.", "http://", "https://a.b/c", "(x)", "((y))", "(", "()", ")", "foo", "bar!", "?!", ";", "_", "x_1", "1a2", "é12", " Lu", "Via ", "\t"]
+
+
+def test_one_pass_rules_match_as_the_fixed_ones_do(spark):
+    """The possessive forms against the fixed patterns with Java's word edges, on random texts."""
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(PIECES) + rng.choice(["", " ", ""]) for _ in range(rng.randint(1, 14))) for _ in range(8000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).cache()
+    changed = [p for _, p in patterns.RULES if patterns.java(p) != p.replace(r"\b", patterns._WORD_EDGE).replace("(?i)", "(?iu)")]
+    assert len(changed) == 4
+    for p in changed:
+        fixed = F.regexp_extract_all("t", F.lit(p.replace(r"\b", patterns._WORD_EDGE).replace("(?i)", "(?iu)")), F.lit(0))
+        assert df.where(F.size(fixed) > 0).count() > 30
+        assert df.where(fixed != F.regexp_extract_all("t", F.lit(patterns.java(p)), F.lit(0))).count() == 0
+
+
+def test_marks_in_a_text_are_no_marks(spark):
+    mark = patterns._MARK
+    got = spark.createDataFrame([(f"a{mark}1b{mark}22",), ("x1",), ("",), (None,)], "t string").select(patterns.rewritten("t", "[0-9]+", lambda m: F.concat(F.lit("<"), m, F.lit(">"))))
+    assert [r[0] for r in got.collect()] == [f"a{mark}<1>b{mark}<22>", "x<1>", "", None]
+
+
+@pytest.mark.parametrize("text", ["12 " + "prose of words " * 7000, "12 " + "prose St words " * 7000, "12 " + "a-" * 20000 + " St", "a" + "." * 20000, "a." + "!" * 20000, "x@" + "a." * 20000, "1" * 30000 + " " + "foo " * 20000, "a." + "(" * 5000 + ")" * 5000, "1a" * 10000 + " " + "foo " * 5000])
+def test_long_texts_take_one_pass(spark, text):
+    import time
+
+    df = spark.createDataFrame([(text,)], "t string")
+    patterns.apply_rules(df, "t").collect()
+    began = time.time()
+    patterns.apply_rules(df, "t").collect()
+    assert time.time() - began < 5

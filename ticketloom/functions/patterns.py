@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ticketloom.functions.pseudonyms import only_digits, token
 from ticketloom.functions.scalars import _c
 
-_STREETS = "Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Place|Pl|Boulevard|Blvd|Way"
-
 # Which text is replaced depends on these patterns and on their order.
 RULES: list[tuple[str, str]] = [
     ("email", r"(?i)([A-Za-z0-9!#$%&'*+\/=?^_{|.}~-]+@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)"),
@@ -26,9 +24,9 @@ RULES: list[tuple[str, str]] = [
     ("ipv4", r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"),
     ("ipv6", r"\b(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b"),
     ("mac", r"(([a-fA-F0-9]{2}[:-]){5}([a-fA-F0-9]{2}))"),
-    ("address", rf"(?i)(lives at|located at|resides at|found at|situated at|at address|address is|at location|based at) (\d+[^\n\.]*?({_STREETS})[^\n\.]*)"),
+    ("address", r"(?i)(lives at|located at|resides at|found at|situated at|at address|address is|at location|based at) (\d+[^\n\.]*?(Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Place|Pl|Boulevard|Blvd|Way)[^\n\.]*)"),
     ("address", r"(?i)(:\s+|at\s+|@\s+)(\d+[-\s]?\w*|\d+-\d+-\d+)[\s,]+([A-Za-z\p{L}]+([\s'-][A-Za-z\p{L}]+)*[\s,]+)+(Road|Rd|Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Lane|Ln|Place|Pl|Rue|Via|Viale|Strasse|Straße|Calle|Avenida)"),
-    ("address", rf"(?i)(\d+[-\s]?\w*|\d+-\d+-\d+)[\s,]+([A-Za-z\p{{L}}]+([\s'-][A-Za-z\p{{L}}]+)*[\s,]+)+({_STREETS}|Plaza|Square|Sq|Court|Ct|Terrace|Ter|Circle|Cir|Alley|Row|Highway|Hwy|Parkway|Pkwy|Path|Trail|Tr|Crescent|Cres|Rue|Strasse|Straße|Calle|Via|Viale|Avenida|Carrer|Straat|Gasse|Weg|Camino|Ulica|Utca|Prospekt|Dori|Jalan|Marg|Dao|Jie|Lu|út|de la|del|di|van|von)\b"),
+    ("address", r"(?i)(\d+[-\s]?\w*|\d+-\d+-\d+)[\s,]+([A-Za-z\p{L}]+([\s'-][A-Za-z\p{L}]+)*[\s,]+)+(Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Place|Pl|Boulevard|Blvd|Way|Plaza|Square|Sq|Court|Ct|Terrace|Ter|Circle|Cir|Alley|Row|Highway|Hwy|Parkway|Pkwy|Path|Trail|Tr|Crescent|Cres|Rue|Strasse|Straße|Calle|Via|Viale|Avenida|Carrer|Straat|Gasse|Weg|Camino|Ulica|Utca|Prospekt|Dori|Jalan|Marg|Dao|Jie|Lu|út|de la|del|di|van|von)\b"),
     ("zip", r"\b\d{5}(?:[-\s]\d{4})?\b"),
     ("po_box", r"(?i)P\.? ?O\.? Box \d+"),
     ("url", r"""(?:(?:https?:\/\/)?(?:[a-z0-9.\-]+|www|[a-z0-9.\-])[.](?:[^\s()<>]+|\((?:[^\s()<>]+|(?:\([^\s()<>]+\)))*\))+(?:\((?:[^\s()<>]+|(?:\([^\s()<>]+\)))*\)|[^\s!()\[\]{};:'".,<>?]))"""),
@@ -38,9 +36,47 @@ SSN_CONTEXT = r"(?i)SSN|social security"
 _WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+# How Java matches the rules whose repeated groups it would go through by recursion or again and again: the same
+# matches in one pass, with possessive repeats.
+#: A word of letters, joined by single apostrophes or hyphens, and the blanks and commas after it.
+_STEP = r"\p{L}++(?:['-]\p{L}++)*+[\s,]++"
+_NUMBER = r"(?:\d++[-\s]?\w*+|\d++-\d++-\d++)[\s,]++"
+#: The first digits of a word of ASCII characters, or its last: others end where the first ones do.
+_DIGITS = r"(?:(?<![0-9]\w{0,64})|(?<![0-9])(?=\d++(?!\w)))"
+
+
+def _up_to_last(street: str) -> str:
+    """Words up to the last street word that a run of words leads to, then that word.
+
+    Each round takes a word, and more until a street word is next; the last round that ends at one counts.
+    """
+    return rf"(?:{_STEP}(?:(?!{street}){_STEP})*+(?={street}))++{street}"
+
+
+def _one_pass(pattern: str) -> str:
+    kinds = {
+        # A run of name characters is tried from its start or from the last match on; the host's labels end in a letter or digit.
+        "email": r"(?i)(?:(?<![A-Za-z0-9!#$%&'*+\/=?^_{|.}~-])|\G)[A-Za-z0-9!#$%&'*+\/=?^_{|.}~-]++@[a-z0-9]++(?:-++[a-z0-9]++)*+(?:\.[a-z0-9]++(?:-++[a-z0-9]++)*+)++",
+        # After the first dot come a character or bracket, then marks and others in turns, not ending in a mark; a later dot
+        # gives the same end. A host is tried from its start.
+        "url": r"""(?:(?<![a-z0-9.\-])|\G|(?=https?://))(?:https?://)?[a-z0-9.\-][a-z0-9\-]*+[.](?:[^\s()<>]|{B})(?:[!\[\]{};:'".,?]*+(?:[^\s()<>!\[\]{};:'".,?]++|{B}))++""".replace("{B}", r"\((?:[^\s()<>]++|\([^\s()<>]++\))*+\)"),
+    }
+    kind = {p: k for k, p in RULES}[pattern]
+    if kind in kinds:
+        return kinds[kind]
+    # The last group of an address rule that goes word by word is its street words.
+    if kind == "address" and "[A-Za-z\\p{L}]+" in pattern:
+        edge = r"\b" if pattern.endswith(r"\b") else ""
+        street = f"(?:{pattern.removesuffix(edge).rpartition('(')[2]}{edge}"
+        lead = r"(?i)(?::\s++|at\s++|@\s++)" if pattern.startswith("(?i)(:") else f"(?i){_DIGITS}"
+        return lead + _NUMBER + _up_to_last(street)
+    return pattern
+
+
 def java(pattern: str) -> str:
-    r"""The pattern for Java: ``\b`` by ASCII words, and case folded over all of Unicode."""
-    return pattern.replace(r"\b", _WORD_EDGE).replace("(?i)", "(?iu)")
+    r"""The pattern for Java: ``\b`` by ASCII words, case folded over all of Unicode, and rules in one pass."""
+    known = any(pattern == p for _, p in RULES)
+    return (_one_pass(pattern) if known else pattern).replace(r"\b", _WORD_EDGE).replace("(?i)", "(?iu)")
 
 
 @dataclass(frozen=True)
@@ -60,13 +96,20 @@ class Rule:
 
 
 DEFAULT_RULES = [Rule(k, p) for k, p in RULES]
+#: Set around matches for a moment; a text that holds it already is gone through twice instead.
+_MARK = "\ue000\ue001"
 
 
 def rewritten(c: Column | str, pattern: str, put: Callable[[Column], Column]) -> Column:
-    """Every match, left to right and without overlap, replaced by ``put(match)``; the pattern must not match emptiness."""
+    """Every match, left to right and without overlap, replaced by ``put(match)``; the pattern must not match emptiness.
+
+    Matches are marked in one pass and cut out at the marks.
+    """
     c = _c(c)
-    parts = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, put(m))))
-    return F.array_join(parts, "")
+    cut = F.split(F.regexp_replace(c, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), _MARK, -1)
+    once = F.transform(cut, lambda part, i: F.when(i % 2 == 1, put(part)).otherwise(part))
+    twice = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, put(m))))
+    return F.array_join(F.when(F.contains(c, F.lit(_MARK)), twice).otherwise(once), "")
 
 
 def apply_rules(df: DataFrame, column: str, rules: list[Rule] | None = None, secret: str = "") -> DataFrame:
