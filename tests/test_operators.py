@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom import schemas
+from ticketloom.functions import predicates
 from ticketloom.operators import briefing, changes, cleaning, names, redaction, relations, reports
 from ticketloom.sources import pages, sinks
 from ticketloom.streaming.redact import redact_stream
@@ -147,6 +148,28 @@ def test_chunks(spark):
     assert [t for _, t in names.cuts("one two\nthree four", 10)] == ["one two\n", "three four"]
 
 
+BIG = (1 << 53) + 1
+
+
+def test_names_keep_ids_and_count_failures(spark):
+    """Ids above 2^53 next to a null one; a chunk that the detector fails on has no names, and is counted."""
+    df = spark.createDataFrame([(BIG, "Ann went"), (None, "Ann too"), (BIG + 2, "boom Ann"), (7, None)], "doc_id bigint, text string").coalesce(1)
+
+    def make():
+        def detect(texts):
+            if "boom" in texts[0]:
+                raise RuntimeError("broken")
+            return [[(t.find("Ann"), t.find("Ann") + 3, 0.9)] if "Ann" in t else [] for t in texts]
+
+        return detect
+
+    failed = spark.sparkContext.accumulator(0)
+    got = names.detect_names(df, make, failed).collect()
+    assert sorted((r.doc_id or 0, r.start, r.end, r.text) for r in got) == [(0, 0, 3, "Ann"), (BIG, 0, 3, "Ann")] and failed.value == 1
+    assert sorted((r.doc_id or 0, r.chunk_id) for r in names.chunk_text(df).collect()) == [(0, 0), (7, 0), (BIG, 0), (BIG + 2, 0)]
+    assert names.detect_names(df.where("false"), make).count() == 0
+
+
 def test_spans(spark):
     rows = [(1, 0, 0, "B-PER", 0.9, 0, 0), (1, 0, 1, "B-PER", 0.9, 3, 7), (1, 0, 2, "I-PER", 0.8, 8, 12), (1, 0, 3, "O", 0.9, 13, 15), (1, 0, 4, "I-PER", 0.99, 16, 20), (1, 0, 5, "B-PER", 0.5, 21, 25), (1, 0, 6, "B-PER", 0.75, 26, 30)]
     tokens = spark.createDataFrame(rows, "doc_id int, chunk_id int, tok_idx int, label string, conf double, start int, end int")
@@ -176,6 +199,16 @@ def test_changes(spark):
     assert {r.id: r.subject for r in cleared.collect()} == {1: "old", 2: None}
 
 
+def test_filters_that_are_absent(spark):
+    df = spark.createDataFrame([(1, 2, "manual", "n", None, "d", "s", "private", "c", "published")], "id int, mailbox_id int, type string, name string, text string, domain string, site_id string, visibility string, collectionId string, status string")
+    for c in (predicates.workflows(), predicates.saved_replies(), predicates.organizations(), predicates.collections(), predicates.article_search("N"), predicates.workflows(2, "manual")):
+        assert df.where(c).count() == 1
+    for c in (predicates.workflows(3), predicates.saved_replies(0, "zzz"), predicates.organizations("zzz"), predicates.collections("t"), predicates.article_search("n", "x"), predicates.article_search("n", visibility="public")):
+        assert df.where(c).count() == 0
+    with pytest.raises(ValueError):
+        predicates.by_visibility("hidden")
+
+
 def test_reports_refuse(spark):
     df = spark.range(1)
     for call in (lambda: reports.sort_by(df, "score"), lambda: reports.report_rollup(df, "weather", F.lit(1), F.lit(2)), lambda: reports.sort_categories(df, "colour")):

@@ -143,3 +143,42 @@ def by_article_status(status: str, c: Column | str = "status") -> Column:
     if status not in ("published", "notpublished", "all"):
         raise ValueError(f"unknown article status {status!r}")
     return F.lit(True) if status == "all" else _c(c) == status
+
+
+def workflows(mailbox_id: int = 0, kind: str = "") -> Column:
+    """A mailbox counts from 1 on, a type where one is given."""
+    return (F.col("mailbox_id") == mailbox_id if mailbox_id > 0 else F.lit(True)) & (F.col("type") == kind if kind else F.lit(True))
+
+
+def _says(phrase: str, *columns: str) -> Column:
+    """Any of the columns has the phrase; without a phrase all rows pass."""
+    out = F.lit(not phrase)
+    for c in columns if phrase else ():
+        out = out | F.coalesce(has_phrase(c, phrase), F.lit(False))
+    return out
+
+
+def saved_replies(mailbox_id: int = 0, phrase: str = "") -> Column:
+    return (F.col("mailbox_id") == mailbox_id if mailbox_id > 0 else F.lit(True)) & _says(phrase, "name", "text")
+
+
+def organizations(phrase: str = "") -> Column:
+    return _says(phrase, "name", "domain")
+
+
+def by_visibility(visibility: str = "all", c: Column | str = "visibility") -> Column:
+    if visibility not in ("public", "private", "all"):
+        raise ValueError(f"unknown visibility {visibility!r}")
+    return F.lit(True) if visibility == "all" else _c(c) == visibility
+
+
+def collections(site: str | None = None, visibility: str = "all") -> Column:
+    return (F.col("site_id") == site if site else F.lit(True)) & by_visibility(visibility)
+
+
+def article_search(phrase: str, collection: str | None = None, site: str | None = None, status: str = "all", visibility: str = "all") -> Column:
+    """Articles whose name or text has the phrase, in a collection, on a site, of a status and a visibility, where these are given."""
+    out = _says(phrase, "name", "text") & by_article_status(status) & by_visibility(visibility)
+    for c, value in (("collectionId", collection), ("site_id", site)):
+        out = out & (F.col(c) == value if value else F.lit(True))
+    return out

@@ -82,7 +82,7 @@ _HTML = [
     (r"(?is)<(?:em|i)(?:\s[^>]*)?>(.*?)</(?:em|i)\s*>", r"*$1*"),
     (r"(?is)<code(?:\s[^>]*)?>(.*?)</code\s*>", r"`$1`"),
     (r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", r"[$2]($1)"),
-    *[(rf"(?is)<h{k}(?:\s[^>]*)?>(.*?)</h{k}\s*>", "\n\n" + "#" * k + r" $1\n\n") for k in range(1, 7)],
+    *[(rf"(?is)<h{k}(?:\s[^>]*)?>(.*?)</h{k}\s*>", "\n\n" + "#" * k + " $1\n\n") for k in range(1, 7)],
     (r"(?i)<br\s*/?>", "\n"),
     (r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>", "\n- $1"),
     (r"(?i)</?(?:p|div|ul|ol|tr|table)(?:\s[^>]*)?>", "\n\n"),

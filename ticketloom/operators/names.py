@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, MIN_CONFIDENCE = 1200, 0.7
 LABELS = ("O", "B-PER", "I-PER", "B-LOC", "I-LOC", "B-ORG", "I-ORG")
+# Where a chunk may end if it has neither newline nor blank.
 _SPECIAL = "<>{}()[];:,./\\|!@#$%^&*=+?\"'`~"
 
 
@@ -27,36 +30,46 @@ def cuts(text: str, most: int = CHUNK) -> list[tuple[int, str]]:
 def chunk_text(df: DataFrame, most: int = CHUNK) -> DataFrame:
     """A row (doc_id, chunk_id, text, offset) for each chunk; cut points depend on each other, so this is a Python stream."""
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, k, t, at) for d, text in zip(b["doc_id"], b["text"], strict=True) for k, (at, t) in enumerate(cuts(text or "", most))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "text", "offset"])
+    @F.pandas_udf("offsets array<int>, texts array<string>")
+    def chunks(texts: pd.Series) -> pd.DataFrame:
+        found = [cuts(t or "", most) for t in texts]
+        return pd.DataFrame({"offsets": [[at for at, _ in c] for c in found], "texts": [[t for _, t in c] for c in found]})
 
-    return df.select("doc_id", "text").mapInPandas(chunks, "doc_id bigint, chunk_id int, text string, offset int")
+    # Ids stay out of Python, so that they are exact also next to nulls.
+    cut = df.select("doc_id", chunks("text").alias("_c")).select("doc_id", F.posexplode(F.arrays_zip(F.col("_c.offsets").alias("offset"), F.col("_c.texts").alias("text"))).alias("chunk_id", "_c"))
+    return cut.select("doc_id", "chunk_id", "_c.text", "_c.offset")
 
 
 Detector = Callable[[list[str]], list[list[tuple[int, int, float]]]]
 
 
-def detect_names(df: DataFrame, make_detector: Callable[[], Detector]) -> DataFrame:
+def detect_names(df: DataFrame, make_detector: Callable[[], Detector], failures: Accumulator | None = None) -> DataFrame:
     """(doc_id, start, end, text, score) from a detector that is made once for each task.
 
     A detector takes chunk texts and returns (start, end, score) spans for each. A chunk that it fails on
-    has none.
+    has none; ``failures`` counts such chunks and each task's first error goes to its log, so that a broken
+    detector doesn't pass for a text without names.
     """
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = make_detector()
-        for b in batches:
-            out = []
-            for doc, text, at in zip(b["doc_id"], b["text"], b["offset"], strict=True):
+    @F.pandas_udf("starts array<int>, ends array<int>, scores array<double>")
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        detect, failed = make_detector(), 0
+        for texts in batches:
+            found = []
+            for text in texts:
                 try:
-                    found = detect([text])[0]
-                except Exception:  # noqa: BLE001 - a detector is foreign code
-                    found = []
-                out += [(doc, at + s, at + e, text[s:e], float(score)) for s, e, score in found]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "text", "score"])
-
-    return chunk_text(df).mapInPandas(spans, "doc_id bigint, start int, end int, text string, score double")
+                    found.append(detect([text])[0])
+                except Exception as error:  # noqa: BLE001 - a detector is foreign code
+                    found.append([])
+                    failed += 1
+                    if failed == 1:
+                        print(f"name detector failed: {error!r}", file=sys.stderr)
+                    if failures is not None:
+                        failures.add(1)
+            yield pd.DataFrame({"starts": [[s for s, _, _ in f] for f in found], "ends": [[e for _, e, _ in f] for f in found], "scores": [[float(x) for _, _, x in f] for f in found]})
+
+    said = chunk_text(df).withColumn("_f", spans("text")).select("doc_id", "text", "offset", F.explode(F.arrays_zip(F.col("_f.starts").alias("s"), F.col("_f.ends").alias("e"), F.col("_f.scores").alias("score"))).alias("_f"))
+    name = F.substring(F.col("text"), F.col("_f.s") + 1, F.col("_f.e") - F.col("_f.s"))
+    return said.select("doc_id", (F.col("offset") + F.col("_f.s")).alias("start"), (F.col("offset") + F.col("_f.e")).alias("end"), name.alias("text"), "_f.score")
 
 
 def gazetteer_names(df: DataFrame, names: list[str]) -> DataFrame:

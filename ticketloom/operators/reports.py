@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.functions.predicates import status_bucket
 from ticketloom.functions.scalars import round2
 
 FAMILIES = ("conversations", "email", "chats", "customers", "users", "productivity", "ratings", "company", "docs")
@@ -20,8 +21,10 @@ def report_rollup(df: DataFrame, family: str, start: Column, end: Column, granul
     """Numbers of one report over rows with ``start <= at < end``.
 
     conversations, email, chats, customers: a count for each bucket, of ``type`` for the two in the middle,
-    and for each tag with ``view="tags"``. users: counts by agent. productivity: mean and median of
-    first_response_minutes. ratings: a count for each rating. docs: views by article. company: totals.
+    and for each tag with ``view="tags"``. users: by agent, conversations in each of the overview's three groups
+    and, where ``rows`` have ``n_replies``, replies sent. productivity: mean and median of
+    first_response_minutes. ratings: a count for each rating. docs: views by article. company: totals of
+    conversations, e-mails, chats, customers, agents, the three groups, and replies where there are some.
     """
     if family not in FAMILIES:
         raise ValueError(f"unknown report {family!r}")
@@ -31,17 +34,20 @@ def report_rollup(df: DataFrame, family: str, start: Column, end: Column, granul
     if family in ("email", "chats"):
         rows = rows.where(F.col("type") == {"email": "email", "chats": "chat"}[family])
     n = F.count(F.lit(1)).alias("n")
+    groups = [F.count_if(status_bucket("status") == s).alias(s) for s in ("active", "pending", "closed")]
+    replies = [F.coalesce(F.sum("n_replies"), F.lit(0)).cast("bigint").alias("replies")] if "n_replies" in df.columns else []
     if family == "productivity":
         m = F.col("first_response_minutes")
         return rows.groupBy(_bucket("at", granularity)).agg(round2(F.avg(m)).alias("avg_minutes"), round2(F.percentile(m, 0.5)).alias("median_minutes"), F.count(m).alias("n"))
     if family == "users":
-        return rows.groupBy("agent_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("active", "pending", "closed")])
+        return rows.groupBy("agent_id").agg(*groups, *replies)
     if family == "ratings":
         return rows.groupBy("rating").agg(n)
     if family == "docs":
         return rows.groupBy("article_id").agg(F.sum("views").alias("views"))
     if family == "company":
-        return rows.agg(n, F.count_distinct("customer_id").alias("customers"), F.count_distinct("agent_id").alias("agents"), F.count_if(F.col("status") == "closed").alias("closed"))
+        kinds = [F.count_if(F.col("type") == kind).alias(name) for kind, name in (("email", "emails"), ("chat", "chats"))]
+        return rows.agg(n, *kinds, F.count_distinct("customer_id").alias("customers"), F.count_distinct("agent_id").alias("agents"), *groups, *replies)
     if view == "tags":
         return rows.select(_bucket("at", granularity), F.explode("tags").alias("_t")).groupBy("bucket", F.col("_t.name").alias("tag")).agg(n)
     return rows.groupBy(_bucket("at", granularity)).agg(n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.scalars import assignee_display, blank_to_null, customer_display, full_name, joined, relative_time, text_or_empty, thread_body, truncate
 
-#: Views whose columns are shown as they are: view -> columns, renamed where a pair stands.
+# The columns of each view that shows them as they are, renamed where a pair stands.
 PLAIN: dict[str, list[str | tuple[str, str]]] = {
     "attachments": ["id", "filename", ("mimeType", "mime"), "size"],
     "customers": ["id", ("firstName", "first_name"), ("lastName", "last_name"), "email", ("createdAt", "created")],

@@ -44,14 +44,14 @@ CUSTOMERS = """customers AS (SELECT c_custkey AS id, 'Customer' AS "firstName",
 
 def flat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as conversations with ids of customer and agent."""
-    o, n = table(spark, sf_dir, "orders"), agents(spark, sf_dir).count()
+    o, n = table(spark, sf_dir, "orders"), agents(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
     key = F.col("o_orderkey")
     return o.select(
         key.alias("id"), key.alias("number"), F.concat(F.col("o_orderpriority"), F.lit(" order "), key.cast("string")).alias("subject"),
         F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "closed").otherwise("active").alias("status"),
         F.when(key % 3 == 0, "email").when(key % 3 == 1, "chat").otherwise("phone").alias("type"),
         (key % 5).alias("mailbox_id"), (key % 11).alias("folder_id"), F.array(F.struct(F.col("o_orderpriority").alias("name"))).alias("tags"),
-        F.col("o_custkey").alias("customer_id"), F.when(key % 7 != 0, F.col("o_custkey") % F.lit(n)).alias("agent_id"),
+        F.col("o_custkey").alias("customer_id"), F.when(key % 7 != 0, F.col("o_custkey") % n).alias("agent_id"),
         F.col("o_orderdate").alias("modified_at"), F.col("o_orderdate").alias("at"), F.array(F.struct(F.lit(7).alias("id"), (key % 4).cast("string").alias("value"))).alias("custom_fields"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
     )

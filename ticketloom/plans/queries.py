@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -187,6 +188,55 @@ def filter_customers(spark: SparkSession, sf: str) -> DataFrame:
     return e.customers(spark, sf).where(p.equals("lastName", "Customer#000000042") | p.has_phrase("email", "0007")).select("id")
 
 
+@query(f"WITH {e.CONV} SELECT id FROM conv WHERE field_value = '2' AND mailbox_id = 3")
+def filter_field_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Custom fields as they are typed: ``id=value``."""
+    return e.flat_conversations(spark, sf).where(p.by_custom_fields(x.parse_assignments(["7=2"]), True) & p.by_mailbox("3")).select("id")
+
+
+WORKFLOWS = "(SELECT s_suppkey AS id, s_nationkey % 5 AS mailbox_id, CASE WHEN s_nationkey % 2 = 0 THEN 'automatic' ELSE 'manual' END AS type FROM supplier)"
+
+
+def _workflows(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.col("s_nationkey")
+    return e.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (at % 5).alias("mailbox_id"), F.when(at % 2 == 0, "automatic").otherwise("manual").alias("type"))
+
+
+@query(f"SELECT id, type FROM {WORKFLOWS} WHERE mailbox_id = 2 AND type = 'manual'")
+def filter_workflows(spark: SparkSession, sf: str) -> DataFrame:
+    return _workflows(spark, sf).where(p.workflows(2, "manual")).select("id", "type")
+
+
+@query(f"SELECT id, type FROM {WORKFLOWS}")
+def filter_workflows_of_any_mailbox(spark: SparkSession, sf: str) -> DataFrame:
+    return _workflows(spark, sf).where(p.workflows(0)).select("id", "type")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 5 = 3 AND (contains(lower('Reply ' || doc_id), 'tion') OR contains(lower(text), 'tion'))")
+def filter_saved_replies(spark: SparkSession, sf: str) -> DataFrame:
+    d = e.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Reply "), F.col("doc_id").cast("string")).alias("name"), "text", (F.col("doc_id") % 5).alias("mailbox_id"))
+    return d.where(p.saved_replies(3, "TION")).select("id")
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE contains(lower(n_name), 'an') OR contains(lower(n_name) || '.example.com', 'an')")
+def filter_organizations(spark: SparkSession, sf: str) -> DataFrame:
+    n = e.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lower("n_name"), F.lit(".example.com")).alias("domain"))
+    return n.where(p.organizations("an")).select("id")
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 1")
+def filter_collections(spark: SparkSession, sf: str) -> DataFrame:
+    n = e.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("site_id"), F.when(F.col("n_nationkey") % 2 == 0, "public").otherwise("private").alias("visibility"))
+    return n.where(p.collections("2", "private")).select("id")
+
+
+@query(f"WITH {e.ARTICLES} SELECT id FROM articles WHERE contains(lower(text), 'tion') AND status = 'published' AND site_id = 'fr' AND id % 3 = 0 AND \"collectionId\" = (SELECT min(source) FROM documents)")
+def search_articles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = e.articles(spark, sf).withColumn("visibility", F.when(F.col("id") % 3 == 0, "private").otherwise("public"))
+    first = rows.agg(F.min("collectionId")).scalar()
+    return rows.where(p.article_search("tion", None, "fr", "published", "private") & (F.col("collectionId") == first)).select("id")
+
+
 @query(f"WITH {e.AGENTS} SELECT id FROM agents WHERE email = 'supplier.000000007@example.com'")
 def filter_users(spark: SparkSession, sf: str) -> DataFrame:
     return e.agents(spark, sf).where(p.equals("email", "supplier.000000007@example.com")).select("id")
@@ -267,7 +317,18 @@ def strip_tags(spark: SparkSession, sf: str) -> DataFrame:
     return e.table(spark, sf, "pages").select("page_id", x.strip_tags("html").alias("text"))
 
 
-@query()
+def _markdown_sql(column: str) -> str:
+    """The converter's steps for DuckDB, whose patterns have no back-references: one step for each kind of element that goes with its content."""
+    out = column
+    for pattern, put in x._HTML:
+        each = [pattern.replace("(script|style|head)", k).replace(r"\1", k) for k in ("head", "script", "style")] if r"\1" in pattern else [pattern]
+        for one in each:
+            quoted, new = one.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", put).replace("'", "''")
+            out = f"regexp_replace({out}, '{quoted}', '{new}', 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_markdown_sql('html')} AS text FROM pages")
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return e.table(spark, sf, "pages").select("page_id", x.html_to_markdown("html").alias("text"))
 
@@ -315,6 +376,23 @@ def embedded_pages(spark: SparkSession, sf: str) -> DataFrame:
     return page_sources.embedded_items(packed.select(F.struct(missing.alias("fields"), F.col("items").alias("customFields")).alias("_embedded")), "fields", "customFields")
 
 
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def candidate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that hold their items under one of three keys, by turns."""
+    c = e.table(spark, sf, "customer")
+    packed = c.groupBy(F.floor(F.col("c_custkey") / 25).alias("page")).agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("items"))
+    under = [F.when(F.col("page") % 3 == k, F.col("items")).alias(n) for k, n in enumerate(("statuses", "userStatuses", "status"))]
+    return page_sources.embedded_items(packed.select(F.struct(*under).alias("_embedded")), "statuses", "userStatuses", "status")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS name FROM documents")
+def unwrapped_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects that stand under a wrapper, or as the document itself."""
+    d, wrapped = e.table(spark, sf, "documents"), F.col("doc_id") % 2 == 0
+    inner = F.when(wrapped, F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"))).alias("article")
+    return page_sources.unwrap(d.select(inner, F.when(~wrapped, F.col("doc_id").cast("string")).alias("id"), F.when(~wrapped, F.col("lang")).alias("name")), "article")
+
+
 @query("SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS status FROM customer")
 def docs_pages(spark: SparkSession, sf: str) -> DataFrame:
     c = e.table(spark, sf, "customer")
@@ -385,6 +463,40 @@ def clean_customers(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_customer(raw).select("id", "lastName", "gender", "draft", F.size("emails").alias("n_emails"))
 
 
+@query("SELECT s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN s_name END AS \"lastName\", CASE WHEN s_nationkey % 3 <> 0 THEN 1 END AS n_mails, 2 AS n_columns_gone FROM supplier")
+def clean_users(spark: SparkSession, sf: str) -> DataFrame:
+    a = e.table(spark, sf, "supplier")
+    mails = F.when(F.col("s_nationkey") % 3 != 0, F.array(F.lit("x@example.com"))).otherwise(F.array().cast("array<string>"))
+    raw = a.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise("").alias("lastName"), mails.alias("alternateEmails"), F.lit("u").alias("photoUrl"), F.lit("l").alias("_links"))
+    clean = cleaning.clean_user(raw)
+    return clean.select("id", "lastName", F.size("alternateEmails").alias("n_mails"), F.lit(len(raw.columns) - len(clean.columns)).alias("n_columns_gone"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN '' ELSE n_name END AS name, CASE WHEN n_regionkey <> 2 THEN 1 END AS n_domains FROM nation")
+def clean_organizations(spark: SparkSession, sf: str) -> DataFrame:
+    n, at = e.table(spark, sf, "nation"), F.col("n_regionkey")
+    raw = n.select(F.col("n_nationkey").alias("id"), F.when(at == 1, "").otherwise(F.col("n_name")).alias("name"), F.when(at != 2, F.array(F.lower("n_name"))).otherwise(F.array().cast("array<string>")).alias("domains"), F.lit("l").alias("_links"))
+    return cleaning.clean_organization(raw).select("id", "name", F.size("domains").alias("n_domains"))
+
+
+@query(f"SELECT page_id AS id, {_markdown_sql('html')} AS text FROM pages")
+def clean_saved_replies(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_saved_reply(e.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit("l").alias("_links")))
+
+
+@query("SELECT event_id AS id, event_type AS name, CASE WHEN event_id % 2 = 0 THEN '' ELSE props END AS color FROM events")
+def clean_minimal(spark: SparkSession, sf: str) -> DataFrame:
+    """Links go, all else stays, empty texts too."""
+    v = e.table(spark, sf, "events")
+    return cleaning.clean_minimal(v.select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("props")).alias("color"), F.lit("l").alias("_links")))
+
+
+@query(f"WITH {e.AGENTS}, {e.CONV}, {e.CUSTOMERS} SELECT conv.id, number, subject, status, type, mailbox_id, coalesce(c.email, '') AS customer, coalesce(a.first || ' ' || a.last, 'unassigned') AS assignee, tag AS tags, type || ' web' AS source, updated_at AS created, updated_at AS updated, NULL::VARCHAR AS closed, subject AS preview FROM conv LEFT JOIN agents a ON a.id = agent_id LEFT JOIN customers c ON c.id = customer_id")
+def view_conversation_detail(spark: SparkSession, sf: str) -> DataFrame:
+    conv = e.with_customers(e.conversations(spark, sf), spark, sf)
+    return views.conversation_detail(conv.withColumns({"created_at": F.col("updated_at"), "closed_at": F.lit(None).cast("string"), "preview": F.col("subject"), "source": F.struct("type", F.lit("web").alias("via"))}))
+
+
 # --- relations ---
 
 
@@ -430,13 +542,33 @@ def mailbox_folders(spark: SparkSession, sf: str) -> DataFrame:
     return relations.children(boxes, folders, "id", "mailbox_id").groupBy("mailbox_id").agg(F.count(F.lit(1)).alias("folders"))
 
 
-@query(f"WITH {e.ARTICLES} SELECT category_id, id FROM (SELECT id, unnest(categories) AS category_id FROM articles) WHERE category_id < 12")
+@query(f"WITH {e.ARTICLES} SELECT category_id, id FROM (SELECT id, unnest(categories) AS category_id FROM articles) ")
 def category_articles(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.articles(spark, sf)
-    categories = rows.select(F.explode("categories").alias("id")).where("id < 12")
+    categories = rows.select(F.explode("categories").alias("id"))
     return relations.category_articles(rows, categories).select("category_id", "id")
 
 
+@query("SELECT mailbox_id, count(*) AS fields FROM (SELECT DISTINCT o_orderkey % 5 AS mailbox_id, o_orderkey % 4 AS id FROM orders) WHERE mailbox_id IN (0, 3) GROUP BY mailbox_id")
+def mailbox_custom_fields(spark: SparkSession, sf: str) -> DataFrame:
+    conv = e.flat_conversations(spark, sf)
+    fields = conv.select("mailbox_id", F.explode("custom_fields").alias("_f")).select("mailbox_id", F.col("_f.value").alias("id")).distinct()
+    boxes = conv.where(F.col("mailbox_id").isin(0, 3)).select(F.col("mailbox_id").alias("id"))
+    return relations.children(boxes, fields, "id", "mailbox_id").groupBy("mailbox_id").agg(F.count(F.lit(1)).alias("fields"))
+
+
+@query(f"WITH {e.ARTICLES} SELECT l_orderkey AS id, l_linenumber AS number, l_partkey AS \"articleId\" FROM lineitem WHERE l_partkey IN (SELECT id FROM articles WHERE status = 'published')")
+def article_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    revisions = e.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("articleId"))
+    return relations.children(e.articles(spark, sf).where(p.by_article_status("published")), revisions, "id", "articleId").select("id", "number", "articleId")
+
+
+@query("SELECT page_id AS id, page_id % 7 AS \"siteId\" FROM pages WHERE page_id % 7 IN (SELECT r_regionkey FROM region)")
+def site_redirects(spark: SparkSession, sf: str) -> DataFrame:
+    redirects = e.table(spark, sf, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 7).alias("siteId"))
+    return relations.children(e.table(spark, sf, "region"), redirects, "r_regionkey", "siteId").select("id", "siteId")
+
+
 @query(f"WITH {e.ARTICLES} SELECT a.id, b.name AS related FROM (SELECT id, unnest(related) AS other FROM articles) a JOIN articles b ON b.id = a.other")
 def related_articles(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.articles(spark, sf)
@@ -485,14 +617,27 @@ def report_tags(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf, "conversations", granularity="year", mailbox=2, view="tags")
 
 
-@query(f"WITH {e.CONV} SELECT agent_id, {COUNTS} FROM conv WHERE {IN_RANGE} GROUP BY agent_id")
+REPLIED = "replied AS (SELECT l_orderkey, count(*) FILTER (l_linenumber > 1) AS n_replies FROM lineitem GROUP BY l_orderkey), conv2 AS (SELECT conv.* REPLACE (CASE WHEN id % 13 = 0 THEN 'spam' ELSE status END AS status), n_replies FROM conv LEFT JOIN replied ON l_orderkey = id)"
+
+
+def _replied(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with the number of replies, and some of another status."""
+    replies = e.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count_if(F.col("l_linenumber") > 1).alias("n_replies"))
+    return e.flat_conversations(spark, sf).withColumn("status", F.when(F.col("id") % 13 == 0, "spam").otherwise(F.col("status"))).join(replies, "id", "left")
+
+
+def _range(rows: DataFrame, family: str) -> DataFrame:
+    return reports.report_rollup(rows, family, F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")))
+
+
+@query(f"WITH {e.CONV}, {REPLIED} SELECT agent_id, {COUNTS}, CAST(coalesce(sum(n_replies), 0) AS BIGINT) AS replies FROM conv2 WHERE {IN_RANGE} GROUP BY agent_id")
 def report_users(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(spark, sf, "users")
+    return _range(_replied(spark, sf), "users")
 
 
-@query(f"WITH {e.CONV} SELECT count(*) AS n, count(DISTINCT customer_id) AS customers, count(DISTINCT agent_id) AS agents, count(*) FILTER (status = 'closed') AS closed FROM conv WHERE {IN_RANGE}")
+@query(f"WITH {e.CONV}, {REPLIED} SELECT count(*) AS n, count(*) FILTER (type = 'email') AS emails, count(*) FILTER (type = 'chat') AS chats, count(DISTINCT customer_id) AS customers, count(DISTINCT agent_id) AS agents, {COUNTS}, CAST(coalesce(sum(n_replies), 0) AS BIGINT) AS replies FROM conv2 WHERE {IN_RANGE}")
 def report_company(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(spark, sf, "company")
+    return _range(_replied(spark, sf), "company")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, round(avg(v), 2) AS avg_minutes, round(quantile_cont(v, 0.5), 2) AS median_minutes, count(v) AS n FROM (SELECT ts, CAST(event_id % 97 AS DOUBLE) AS v FROM events) GROUP BY 1")
@@ -529,6 +674,16 @@ def busiest_agents(spark: SparkSession, sf: str) -> DataFrame:
     return briefing.team_overview(e.conversations(spark, sf)).limit(10)
 
 
+@query(f"WITH {e.ARTICLES} SELECT id, name, views FROM articles ORDER BY views DESC, id LIMIT 20")
+def categories_by_popularity(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.sort_categories(e.articles(spark, sf), "popularity").limit(20).select("id", "name", "views")
+
+
+@query(f"WITH {e.ARTICLES} SELECT id, name FROM articles ORDER BY name, id LIMIT 20")
+def categories_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.sort_categories(e.articles(spark, sf), "name").limit(20).select("id", "name")
+
+
 # --- pseudonyms and redaction ---
 
 
@@ -540,18 +695,32 @@ def _byte(h: str, at: str) -> str:
     return f"CAST('0x' || substr({h}, {at}, 2) AS INTEGER)"
 
 
-def fake_sql(key: str) -> tuple[str, str, str]:
-    h = f"sha256('person|' || {key})"
+def hash_sql(data: str, secret: str = "") -> str:
+    """SHA-256 in hex; with a secret HMAC, whose two key blocks are constants."""
+    if not secret:
+        return f"sha256({data})"
+    inner, outer = (bytes(b ^ pad for b in secret.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({data}))))"
+
+
+def fake_sql(key: str, secret: str = "") -> tuple[str, str, str]:
+    h = hash_sql(f"'person|' || {key}", secret)
     first = f"{_names_sql(pseudonyms.FIRST_NAMES)}[{_byte(h, '1')} % 50 + 1]"
     last = f"{_names_sql(pseudonyms.LAST_NAMES)}[{_byte(h, '3')} % 50 + 1]"
     return first, last, f"lower({first}) || '.' || lower({last}) || '-' || substr({h}, 5, 4) || '@anon.local'"
 
 
-_F, _L, _M = fake_sql("'email:' || lower(email)")
-PHONE_SQL = "(SELECT string_agg(CASE WHEN regexp_full_match(ch, '[0-9]') THEN CAST(CASE WHEN nth = 0 AND ((b + nth) % 256) % 10 = 0 THEN 7 ELSE ((b + nth) % 256) % 10 END AS VARCHAR) ELSE ch END, '' ORDER BY i) FROM (SELECT *, CAST('0x' || substr(sha256('phone|' || regexp_replace(phone, '[^0-9]', '', 'g')), CAST(2 * (nth % 32) + 1 AS INTEGER), 2) AS INTEGER) AS b FROM (SELECT i, substr(phone, i, 1) AS ch, length(regexp_replace(substr(phone, 1, i - 1), '[^0-9]', '', 'g')) AS nth FROM (SELECT unnest(range(1, length(phone) + 1))::INTEGER AS i))))"
+def phone_sql(secret: str = "") -> str:
+    h = hash_sql("'phone|' || regexp_replace(phone, '[^0-9]', '', 'g')", secret)
+    return f"(SELECT string_agg(CASE WHEN regexp_full_match(ch, '[0-9]') THEN CAST(CASE WHEN nth = 0 AND ((b + nth) % 256) % 10 = 0 THEN 7 ELSE ((b + nth) % 256) % 10 END AS VARCHAR) ELSE ch END, '' ORDER BY i) FROM (SELECT *, CAST('0x' || substr({h}, CAST(2 * (nth % 32) + 1 AS INTEGER), 2) AS INTEGER) AS b FROM (SELECT i, substr(phone, i, 1) AS ch, length(regexp_replace(substr(phone, 1, i - 1), '[^0-9]', '', 'g')) AS nth FROM (SELECT unnest(range(1, length(phone) + 1))::INTEGER AS i))))"
 
 
-@query(f"WITH {e.CUSTOMERS} SELECT id, CASE WHEN id = 0 THEN \"firstName\" ELSE {_F} END AS \"firstName\", CASE WHEN id = 0 THEN \"lastName\" ELSE {_L} END AS \"lastName\", CASE WHEN id = 0 THEN email ELSE {_M} END AS email, CASE WHEN id = 0 THEN phone ELSE {PHONE_SQL} END AS phone FROM customers")
+def _redacted_sql(secret: str = "") -> str:
+    first, last, mail = fake_sql("'email:' || lower(email)", secret)
+    return f"WITH {e.CUSTOMERS} SELECT id, CASE WHEN id = 0 THEN \"firstName\" ELSE {first} END AS \"firstName\", CASE WHEN id = 0 THEN \"lastName\" ELSE {last} END AS \"lastName\", CASE WHEN id = 0 THEN email ELSE {mail} END AS email, CASE WHEN id = 0 THEN phone ELSE {phone_sql(secret)} END AS phone FROM customers"
+
+
+@query(_redacted_sql())
 def redact_customers(spark: SparkSession, sf: str) -> DataFrame:
     return redaction.redact_customer(e.customers(spark, sf), "all").select("id", "firstName", "lastName", "email", "phone")
 
@@ -568,9 +737,15 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), pseudonyms.token("ssn", "c_name").alias("token"), pseudonyms.slug("c_name").alias("slug"), pseudonyms.hash_hex("c_name").alias("hash"))
 
 
-@query()
+@query(f"WITH {e.CUSTOMERS} SELECT id, \"firstName\", \"lastName\", email, phone FROM customers")
+def unredacted_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """The policy allows unredacted output, and it is asked for."""
+    return redaction.redact_customer(e.customers(spark, sf), redaction.effective_mode("all", True, True)).select("id", "firstName", "lastName", "email", "phone")
+
+
+@query(_redacted_sql("a secret"))
 def keyed_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
-    """With a secret: held against Python's hmac in the tests."""
+    """With a secret: HMAC instead of the plain hash."""
     return redaction.redact_customer(e.customers(spark, sf), "all", secret="a secret").select("id", "firstName", "lastName", "email", "phone")
 
 
@@ -604,7 +779,20 @@ def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(patterns.java(r)), F.lit(0))).alias(f"rule_{i}") for i, (_, r) in enumerate(patterns.RULES)])
 
 
-@query()
+def _messages_sql() -> str:
+    """Known customer, then names of the text, then the rules; the agent's names are protected, so ``Eden`` stays."""
+    first, last, _ = fake_sql("'email:the@example.com'")
+    mark = "'[[person_' || substr(sha256('person|email:the@example.com'), 1, 4) || ']]'"
+    t = "text"
+    for literal, put in (("the@example\\.com", mark), ("\\bOnou Thth\\b", f"{first} || ' ' || {last}"), ("\\bOnou\\b", first), ("\\bThth\\b", last), ("\\bthe\\b", first)):
+        t = f"regexp_replace({t}, '(?i){literal}', {put}, 'g')"
+    for name in ("Heon", "Eron", "Anthe"):
+        fake = fake_sql(f"'name:{name.lower()}'")
+        t = f"CASE WHEN list_contains(said, '{name}') THEN regexp_replace({t}, '(?i)\\b{name}\\b', {fake[0]} || ' ' || {fake[1]}, 'g') ELSE {t} END"
+    return _rules_sql(f"(SELECT conv_id, turn, {t} AS text FROM (SELECT *, regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}]+') AS said FROM conversations))", "conv_id, turn", "text")
+
+
+@query(_messages_sql())
 def redact_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of all conversations with the customer and the agent known, and names from a gazetteer."""
     t = e.table(spark, sf, "conversations")
@@ -615,6 +803,13 @@ def redact_messages(spark: SparkSession, sf: str) -> DataFrame:
     return redaction.redact_text(rows, "text", "customers", "identities", "names").select("conv_id", "turn", "text")
 
 
+@query(_rules_sql("conversations", "conv_id, turn", "text"))
+def redact_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw sources: no known identities, and a detector that finds no names, so the rules alone."""
+    rows = e.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.array().cast("array<string>").alias("names"))
+    return redaction.redact_source(rows, "text", "all", "names").select("conv_id", "turn", "text")
+
+
 @query("SELECT conv_id, turn, role, CASE WHEN text = '' THEN text ELSE '[redacted: no name detector is set up]' END AS text FROM conversations")
 def redact_without_detector(spark: SparkSession, sf: str) -> DataFrame:
     return redaction.redact_text(e.table(spark, sf, "conversations"), "text", "all")
@@ -630,13 +825,28 @@ def redact_records(spark: SparkSession, sf: str) -> DataFrame:
     return redaction.redact_struct(rows, "all").select("id", "assignee.first", "assignee.email", F.col("cc")[0].alias("cc"))
 
 
+@query(f"WITH {e.CUSTOMERS} SELECT id, {_FF} AS contact, {_FM} AS contact_email, \"firstName\" AS owner, {_FF} AS other, '{redaction.NOTICE}' AS preview, background AS note FROM customers WHERE id <> 0 UNION ALL SELECT id, \"firstName\", email, \"firstName\", \"firstName\", '{redaction.NOTICE}', background FROM customers WHERE id = 0")
+def redact_typed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """In mode ``customers``: persons typed by what their field is called, by their own type over that, and text fields."""
+    c = e.customers(spark, sf)
+    person = lambda *more: F.struct("id", F.col("firstName").alias("first"), F.col("lastName").alias("last"), "email", *more)
+    rows = c.select("id", person().alias("customerContact"), person().alias("owner"), person(F.lit(" Customer ").alias("type")).alias("assignedTo"), F.col("email").alias("preview"), F.col("background").alias("note"))
+    out = redaction.redact_struct(rows, "customers")
+    return out.select("id", F.col("customerContact.first").alias("contact"), F.col("customerContact.email").alias("contact_email"), F.col("owner.first").alias("owner"), F.col("assignedTo.first").alias("other"), "preview", "note")
+
+
 # --- names ---
 
 
-@query("SELECT vec_id, ['O','B-PER','I-PER','B-LOC','I-LOC','B-ORG','I-ORG'][list_position(s, list_max(s))] AS label, round(1 / list_sum(list_transform(s, lambda v: exp(v::DOUBLE - list_max(s)::DOUBLE))), 6) AS confidence FROM (SELECT vec_id, embedding[1:7] AS s FROM embeddings)")
+@query("""SELECT vec_id, k, ['O','B-PER','I-PER','B-LOC','I-LOC','B-ORG','I-ORG'][list_position(s, list_max(s))] AS label, round(1 / list_sum(list_transform(s, lambda v: exp(v::DOUBLE - list_max(s)::DOUBLE))), 6) AS confidence
+FROM (SELECT vec_id, k, embedding[7 * k + 1 : 7 * k + 7] AS s FROM (SELECT *, unnest(range(0, len(embedding) // 7)) AS k FROM embeddings))""")
 def decode_logits(spark: SparkSession, sf: str) -> DataFrame:
-    v = e.table(spark, sf, "embeddings").select("vec_id", names.decode_logits(F.slice("embedding", 1, 7)).alias("d"))
-    return v.select("vec_id", "d.label", F.round("d.confidence", 6).alias("confidence"))
+    """Each vector as the scores of its tokens, seven labels a token; labels by a map of ids."""
+    labels = names.label_map(dict(enumerate(names.LABELS)))
+    v = e.table(spark, sf, "embeddings")
+    v = v.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.size("embedding") / 7) - 1)).alias("k"))
+    v = v.select("vec_id", "k", names.decode_logits(F.slice("embedding", (7 * F.col("k") + 1).cast("int"), F.lit(7)), labels).alias("d"))
+    return v.select("vec_id", "k", "d.label", F.round("d.confidence", 6).alias("confidence"))
 
 
 TOKENS = "tokens AS (SELECT event_id // 50 AS doc_id, user_id % 2 AS chunk_id, event_id AS tok_idx, CASE event_type WHEN 'click' THEN 'B-PER' WHEN 'view' THEN 'I-PER' WHEN 'error' THEN 'I-PER' ELSE 'O' END AS label, 0.5 + (event_id % 50) / 128.0 AS conf, CASE WHEN event_id % 50 = 0 THEN 0 ELSE event_id % 50 * 5 END AS s, CASE WHEN event_id % 50 = 0 THEN 0 ELSE event_id % 50 * 5 + 4 END AS f FROM events)"
@@ -652,7 +862,13 @@ def merge_spans(spark: SparkSession, sf: str) -> DataFrame:
     return names.merge_person_spans(rows).withColumn("score", F.round("score", 6))
 
 
-@query()
+_END = "length(regexp_extract({w}, '(?s)^(.*){c}', 1))"
+_CUT = "CASE " + " ".join(f"WHEN {_END.format(w='w', c=c)} > 0 THEN {_END.format(w='w', c=c)} + 1" for c in ("\\n", "[ \\t]", "[" + re.sub(r"([\]\[\\^-])", r"\\\1", names._SPECIAL).replace("'", "''") + "]")) + " ELSE 1200 END"
+
+
+@query(f"""WITH RECURSIVE chunks AS (SELECT doc_id, text, 0 AS chunk_id, 0 AS pos, left(text, 1200) AS w, length(text) AS n FROM documents
+UNION ALL SELECT doc_id, text, chunk_id + 1, pos + c, substr(text, pos + c + 1, 1200), n FROM (SELECT *, {_CUT} AS c FROM chunks WHERE n - pos > 1200))
+SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, CASE WHEN n - pos > 1200 THEN left(w, CAST({_CUT} AS BIGINT)) ELSE w END AS text, CAST(pos AS INTEGER) AS \"offset\" FROM chunks""")
 def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
     return names.chunk_text(e.table(spark, sf, "documents"))
 
@@ -669,7 +885,9 @@ def _capital_words() -> names.Detector:
     return lambda texts: [[(m.start(), m.end(), 1.0) for m in known.finditer(t)] for t in texts]
 
 
-@query()
+@query("""WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]')) AS w, generate_subscripts(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]'), 1) AS i FROM documents),
+placed AS (SELECT doc_id, w, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS INTEGER) AS start FROM words)
+SELECT doc_id, start, CAST(start + length(w) AS INTEGER) AS "end", w AS text, CAST(1.0 AS DOUBLE) AS score FROM placed WHERE w IN ('Heon', 'Eron', 'Anthe', 'Eden', 'Onth')""")
 def detect_names(spark: SparkSession, sf: str) -> DataFrame:
     return names.detect_names(e.table(spark, sf, "documents"), _capital_words)
 
@@ -713,7 +931,9 @@ def delete_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLE_SQL["redact_customers"])
 def redact_stream_of_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers landed as files, redacted as a stream, and read again from the sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/ticketloom-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     e.customers(spark, sf).write.parquet(f"{at}/in")
     redact_stream(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", lambda df: redaction.redact_customer(df, "all")).awaitTermination()
