@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm.common import boxed, written
 
-WORDS, BANDS, ROWS, CENTRES, BITS = 5, 32, 4, 64, 2048
+WORDS, BANDS, ROWS, CENTRES, BITS, SALTS = 5, 32, 4, 64, 2048, 32
 MORE_THAN = 75  # percent
 #: Words whose hashes a task remembers, and texts whose sets it hands on together; both bound its memory alone.
 REMEMBERED, TOGETHER = 1 << 16, 256
@@ -146,8 +146,9 @@ def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataF
     """
     sets = sets_of(reps.join(left.select("class"), "class", "left_semi"))
     rows = sets.select("class", F.size("set").alias("n"), F.explode("set").alias("key"))
-    df = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    rare = rows.join(df, "key").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("_s"))
+    # Tables that are joined to many rows of one key are written first, so that Spark can split those rows.
+    df = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    rare = rows.join(df, "key", "left").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("_s"))
     need = F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int")
     keyed = rare.select("class", "n", F.posexplode(F.slice("_s", F.lit(1), F.col("n") - need + 1)).alias("at", "_s")).where("_s.df > 1").select("class", "n", "at", F.col("_s.key").alias("key"))
     bits = sets.select("class", F.struct(*[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]).alias("bits"))
@@ -156,8 +157,8 @@ def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataF
     step = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
     while True:
         known = keyed.join(labels, "class")
-        mixed = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where((F.col("_lo") != F.col("_hi")) & (F.col("_m") > first + 1)).select("key")
-        ranked = written(known.join(mixed, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("class"))))
+        mixed = written(known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where((F.col("_lo") != F.col("_hi")) & (F.col("_m") > first + 1)).select("key"))
+        ranked = written(_ranked(known.join(mixed, "key", "left_semi")))
         c = ranked.where((F.col("rank") > first) & (F.col("rank") <= first + centres)).select("key", F.col("class").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("rank").alias("_r"), F.col("at").alias("_at"), F.col("bits").alias("_b"))
         # Sizes that a partner of a centre can have, given what can be shared from here on, in steps of 5 %.
         most = F.floor(((100 + percent) * (F.col("_n") - F.col("_at")) - percent * F.col("_n")) / percent)
@@ -181,6 +182,15 @@ def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataF
         labels = written(left.join(joined.select(F.col("class").alias("label"), F.col("label").alias("_new")), "label").select("class", F.col("_new").alias("label")))
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of a class among those of its key: first within one of ``SALTS`` parts of the key, then after the parts before."""
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64("class"), F.lit(SALTS)))
+    sizes = parted.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("key", "_part").orderBy("class")))
+    return within.join(sizes.select("key", "_part", before.alias("_before")), ["key", "_part"]).withColumn("rank", (F.col("_before") + F.col("_rank")).cast("int")).drop("_part", "_rank", "_before")
+
+
 def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Links of classes as links of their labels."""
     a, b = labels.select(F.col("class").alias("a"), F.col("label").alias("_a")), labels.select(F.col("class").alias("b"), F.col("label").alias("_b"))
