@@ -69,6 +69,18 @@ def test_url_model_on_urls_it_has_not_seen():
     assert right >= 14
 
 
+#: Hosts of the pages table that a reader would block; three of them are in no seed.
+BLOCKED = ("m.casino-win", "free-bets", "m.ads-track", "www.cheap-pills", "www.spam-farm", "blog.adult-x")
+
+
+def test_url_model_on_the_hosts_of_the_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url IS NOT NULL")
+    bad = F.regexp_replace("host", r"\.example\.[a-z]+$", "").isin(*BLOCKED)
+    got = url_filter.judge(pages.select("page_id", "url"), []).groupBy(bad.alias("bad"), F.col("verdict")).count().collect()
+    n = {(r.bad, r.verdict): r["count"] for r in got}
+    assert n[True, "block"] >= 0.9 * (n[True, "block"] + n.get((True, "allow"), 0)) and n.get((False, "block"), 0) <= 0.005 * n[False, "allow"]
+
+
 def test_op3(spark):
     by = collections.defaultdict(list)
     for r in table(spark, "conversations"):
