@@ -132,3 +132,23 @@ def proximity_matches(index: DataFrame, terms: DataFrame, span: int) -> DataFram
     hits = index.join(terms.distinct(), "h").join(need, "query_id")
     near = Window.partitionBy("query_id", "doc", "th").orderBy("pos").rangeBetween(0, span - 1)
     return hits.withColumn("_n", F.size(F.collect_set("h").over(near))).where("_n = need").select("query_id", "doc", "th", F.col("pos").alias("start"))
+
+
+def near_passages(docs: DataFrame, benchmark: DataFrame, terms: int = 3, span: int = 30) -> DataFrame:
+    """item_id, doc_id and n_places for documents that hold an item's ``terms`` rarest words within ``span`` words, in any order.
+
+    The rarest of an item's words are those that the documents hold least often, ties by the word; words that
+    no document holds don't count, and items with fewer words are searched with those they have. A place is
+    an occurrence of one of the words from which on all lie within the span. Nulls, empty and repeated rows,
+    odd names and empty tables are treated as in ``contamination``; documents without a place have no row.
+    """
+    said = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
+    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.explode(F.array_distinct(said)).alias("w")).distinct().withColumn("h", F.xxhash64("w"))
+    words = written(words)
+    found = held(docs.select("text"), _h=word_hashes(F.col("text"))).select(F.explode("_h").alias("h")).join(words.select("h").distinct(), "h", "left_semi")
+    order = Window.partitionBy("item_id").orderBy("df", "w")
+    rare = words.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= terms)
+    rare = written(rare.select(F.col("item_id").alias("query_id"), "h"))
+    places = proximity_matches(build_index(docs, rare.select("h").distinct()), rare, span)
+    kind = docs.schema["doc_id"].dataType
+    return places.groupBy(F.col("query_id").alias("item_id"), F.nullif("doc", F.lit("")).cast(kind).alias("doc_id")).agg(F.count_distinct("th", "start").alias("n_places"))

@@ -17,6 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches of the same index: where the three rarest words of a benchmark item stand close together."""
+    return decontaminate.near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -74,6 +79,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "benchmark_proximity": benchmark_proximity,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
@@ -102,6 +108,15 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words ON words.doc_id = docs.doc_id LEFT JOIN named ON named.doc_id = docs.doc_id""",
+    "benchmark_proximity": f"""
+WITH places AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
+counts AS (SELECT w, count(*) AS df FROM places GROUP BY w),
+words AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS w FROM benchmark),
+rare AS (SELECT item_id, w FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY df, w) AS r FROM words JOIN counts USING (w)) WHERE r <= 3),
+hits AS (SELECT item_id, doc_id, pos, w FROM places JOIN rare USING (w)),
+need AS (SELECT item_id, count(*) AS k FROM rare GROUP BY item_id),
+starts AS (SELECT a.item_id, a.doc_id, a.pos, count(DISTINCT b.w) AS k FROM hits a JOIN hits b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 29 GROUP BY ALL)
+SELECT item_id, doc_id, count(*) AS n_places FROM starts JOIN need USING (item_id, k) GROUP BY ALL""",
     "op5_near_duplicates": f"""
 WITH RECURSIVE docs AS (SELECT doc_id, {_PARTS} AS ws FROM documents),
 places AS (SELECT doc_id, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS s FROM docs WHERE len(ws) > 0),
