@@ -38,7 +38,10 @@ def report_rollup(df: DataFrame, family: str, start: Column, end: Column, granul
     replies = [F.coalesce(F.sum("n_replies"), F.lit(0)).cast("bigint").alias("replies")] if "n_replies" in df.columns else []
     if family == "productivity":
         m = F.col("first_response_minutes")
-        return rows.groupBy(_bucket("at", granularity)).agg(round2(F.avg(m)).alias("avg_minutes"), round2(F.percentile(m, 0.5)).alias("median_minutes"), F.count(m).alias("n"))
+        # Equal values are counted first, by as many tasks as there are values, so that a bucket's task sees each value once.
+        counted = rows.groupBy(_bucket("at", granularity), m.alias("_m")).agg(F.count(m).alias("_n")).groupBy("bucket")
+        mean, median = F.sum(F.col("_m") * F.col("_n")) / F.sum("_n"), F.percentile("_m", 0.5, F.greatest("_n", F.lit(1)))
+        return counted.agg(round2(mean).alias("avg_minutes"), round2(median).alias("median_minutes"), F.sum("_n").alias("n"))
     if family == "users":
         return rows.groupBy("agent_id").agg(*groups, *replies)
     if family == "ratings":
