@@ -389,8 +389,15 @@ def test_positive_unlabelled_risk_finds_the_marker():
 
 
 def test_prior_is_bounded_by_the_words_of_positives():
-    in_p, in_u = {"vile": 90, "the": 100, "rare": 4}, {"vile": 1000, "the": 9900, "rare": 4}
-    assert 0.1 <= toxicity.class_prior(in_p, 100, in_u, 10_000) <= 0.13
+    in_p, in_u = {"vile": 90, "the": 100, "rare": 4, **{f"chance{k}": 11 for k in range(9)}}, {"vile": 1000, "the": 9900, "rare": 4, **{f"chance{k}": 110 for k in range(9)}}
+    assert 0.1 <= toxicity.class_prior({k: n for k, n in in_p.items() if "chance" not in k}, 100, in_u, 10_000) <= 0.13
+    assert toxicity.class_prior(in_p, 1000, in_u, 10_000) == toxicity.class_prior({"the": 100}, 1000, in_u, 10_000)
+
+
+def test_a_cut_that_finds_next_to_nothing_is_worth_nothing():
+    """Few positives score higher than any unlabelled row; the cut still goes where most positives are."""
+    model = toxicity.calibrated(toxicity.ToxicityModel({}, 0.0), np.r_[np.full(4, 9.0), np.full(96, 3.0)], np.r_[np.full(100, 3.0), np.zeros(900)], 0.1)
+    assert 0 < np.log(0.7 / 0.3) - model.bias < 3
 
 
 # --- 9: personal data ---
