@@ -22,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words where A-Z are not lower-cased yet.
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Parts of a set of documents, and bits of each: half a megabyte in all, whatever the corpus.
+PARTS, BITS = 1024, 4096
 RUNS = "array<struct<item_id:bigint,start:int,end:int>>"
 
 
@@ -77,6 +79,20 @@ def alignments(index: DataFrame, looked: DataFrame) -> DataFrame:
     return found.select("doc", "th", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
 
 
+def among(index: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of documents that may be among those of ``found``, by a bitmap of ``PARTS * BITS`` bits.
+
+    The bitmap's size is fixed, so it is sent to the postings; postings that it lets through by chance find
+    no partner later, and on a corpus that fills it all postings go on.
+    """
+    part, bit = F.pmod("th", F.lit(PARTS)), F.pmod(F.shiftright("th", 10), F.lit(BITS)).cast("int")
+    word, at = F.shiftright(bit, 6), F.pmod(bit, F.lit(64))
+    words = found.select(part.alias("_part"), word.alias("_word"), at.alias("_at")).distinct().groupBy("_part", "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at"))).alias("_bits"))
+    maps = written(words.groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map")).select("_part", F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda k: F.coalesce(F.element_at("_map", k), F.lit(0).cast("bigint"))).alias("_map")))
+    some = index.withColumn("_part", part).join(F.broadcast(maps), "_part")
+    return some.where(F.getbit(F.get(F.col("_map"), word), at) == 1).select(index.columns)
+
+
 def occurrences(index: DataFrame, found: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, th, item_id, start, end) of the maximal runs of a window's length or more in which item and document agree.
 
@@ -84,7 +100,7 @@ def occurrences(index: DataFrame, found: DataFrame, items: DataFrame, window: in
     those that are there, and what stands in a row is a run.
     """
     asked = found.join(items, "item").select("doc", "th", "item", "item_id", "shift", F.least("n", F.lit(window)).alias("w"), F.posexplode("words").alias("i", "h"))
-    there = asked.withColumn("pos", F.col("shift") + F.col("i")).join(index.select("doc", "th", "pos", "h"), ["doc", "th", "pos", "h"])
+    there = asked.withColumn("pos", F.col("shift") + F.col("i")).join(among(index.select("doc", "th", "pos", "h"), found), ["doc", "th", "pos", "h"])
     # Of documents that are there twice the postings are too, so ranks are dense.
     order = Window.partitionBy("doc", "th", "item", "shift").orderBy("i")
     runs = there.withColumn("run", F.col("i") - F.dense_rank().over(order)).groupBy("doc", "th", "item", "item_id", "shift", "w", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
