@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def forget() -> None:
+    """Called by Python tasks of other operators than packing: a worker that is used again frees the words that packing remembered."""
+    sys.modules.pop("ticketloom_worker", None)
+
+
 def boxed(df: DataFrame, reads: list[str], makes: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
     """``df`` with the columns ``reads`` and all others under names of their own, and what gives the caller's columns back in order.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import boxed, written
+from ticketloom.llm.common import boxed, forget, written
 
 WORDS, BANDS, ROWS, CENTRES, BITS, SALTS = 5, 32, 4, 64, 2048, 32
 MORE_THAN = 75  # percent
@@ -92,6 +92,7 @@ def _searched(docs: DataFrame, words: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("_th"), "text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes, probes = _Hashes(), _probes(BANDS * ROWS)
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         for b in batches:
@@ -118,6 +119,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """class, full set and a bitmap of it for the representative texts in ``wanted`` (doc_id, _th, class)."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         hashes = _Hashes()
         for b in (batch[k : k + TOGETHER] for batch in batches for k in range(0, len(batch), TOGETHER)):
             found = [shingles(t, hashes, words) for t in b["text"]]
