@@ -150,4 +150,4 @@ def test_long_texts_take_one_pass(spark, text):
     patterns.apply_rules(df, "t").collect()
     began = time.time()
     patterns.apply_rules(df, "t").collect()
-    assert time.time() - began < 5
+    assert time.time() - began < 20  # alone well under a second
