@@ -6,7 +6,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def placed(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``pos``: each row's place, from 0, among those of its ``group`` in the order of the columns ``order``, nulls first.
+
+    A range sort deals rows out by group and order together, so a group of any size is spread over tasks.
+    Each part of it counts its own rows, and the counts of the parts before are carried over.
+    """
+    by = [group, *order]
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    parts = rows.groupBy(F.col(group).alias("_group"), F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # A written table has a known size, so that Spark can send it to the rows instead of dealing those out.
+    parts = written(parts.select("_group", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")))
+    found = rows.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.shiftright("_at", 33) == F.col("_part")))
+    return found.select(*df.columns, (F.col("_at") + F.col("_shift")).alias("pos"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

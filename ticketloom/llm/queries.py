@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import chat_format, decontaminate, near_dup, packing, pair_rank, pii_spans, quality_rules, suffix_dedup, toxicity, url_filter
+from ticketloom.llm import chat_format, decontaminate, merkle_manifest, near_dup, packing, pair_rank, pii_spans, quality_rules, suffix_dedup, toxicity, url_filter
 from ticketloom.llm.common import table
 
 
@@ -77,6 +77,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in pii_spans.KINDS], F.sha2(pii_spans.listed(F.col("spans"), lambda s: s.kind.isin(*pii_spans.KINDS)), 256).alias("base_sha256"), pii_spans.listed(F.col("spans")).alias("spans"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and each one's proof held against texts in which some lost their line breaks."""
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    now = merkle_manifest.leaf({"text": F.when(changed, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    found = merkle_manifest.manifest(table(spark, sf_dir, "documents").withColumn("now", now), merkle_manifest.leaf(), keep=("doc_id", "now"))
+    hexed = {c: merkle_manifest.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")}
+    found = found.withColumn("folded_root", merkle_manifest.folded(F.col("now"), F.col("path")))
+    return found.select("doc_id", hexed["leaf"], hexed["subroot"], hexed["root"], merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), hexed["folded_root"], (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "benchmark_proximity": benchmark_proximity,
@@ -89,10 +99,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_quality_rank": op10_quality_rank,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Unsigned CRC-32 of a text of digits and minus signs: bytes are mixed in, each followed by eight shifts.
+_CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295)"
 _PARTS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +153,20 @@ whole AS (SELECT r, x, p, regexp_extract(regexp_replace(p, '^(?:[89AB][0-9A-F])*
 kept AS (SELECT r, from_hex(string_agg(p, '' ORDER BY x)) AS bytes, decode(from_hex(string_agg(c, '' ORDER BY x))) AS text FROM whole GROUP BY r),
 gone AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(bytes) AS kept_sha256, kept.text AS text FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {", ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-') AS f_{c}" for c in ("doc_id", "source", "lang", "n_chars", "text"))},
+  CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents),
+leaves AS (SELECT doc_id, source, sha256(f_doc_id || f_source || f_lang || f_n_chars || f_text) AS leaf, sha256(f_doc_id || f_source || f_lang || f_n_chars || coalesce(octet_length(encode(t)) || ':' || t, '-')) AS now FROM d),
+named AS (SELECT *, coalesce('s' || source, '') AS tree FROM leaves),
+at0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM named),
+nodes(tree, lvl, idx, n, h) AS (SELECT tree, 0, idx, n, leaf FROM at0 UNION ALL SELECT tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, lvl, idx // 3, n),
+subroots AS (SELECT tree, lvl, idx, h, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, idx, n, h) AS (SELECT 0, rank, n, h FROM subroots UNION ALL SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lvl, idx // 3, n),
+every AS (SELECT tree, lvl, idx, n, h FROM nodes UNION ALL SELECT '*', lvl, idx, n, h FROM tops),
+steps AS (SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r, true AS hashed, a.tree AS to_tree, a.lvl + 1 AS to_lvl, a.idx // 3 AS to_idx
+  FROM every a JOIN every b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+  UNION ALL SELECT tree, lvl, idx, '', '', false, '*', 0, rank FROM subroots),
+walk(doc_id, leaf, of, tree, lvl, idx, proof, cur) AS (SELECT doc_id, leaf, tree, tree, 0, idx, '', now FROM at0
+  UNION ALL SELECT w.doc_id, w.leaf, w.of, to_tree, to_lvl, to_idx, proof || l || r, CASE WHEN hashed THEN sha256(l || cur || r) ELSE cur END FROM walk w JOIN steps s ON s.tree = w.tree AND s.lvl = w.lvl AND s.idx = w.idx)
+SELECT w.doc_id, w.leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified FROM walk w JOIN tops t ON w.tree = '*' AND w.lvl = t.lvl AND t.n = 1 JOIN subroots s ON s.tree = w.of""",
 }
