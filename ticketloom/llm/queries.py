@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import chat_format, decontaminate, merkle_manifest, near_dup, packing, pair_rank, pii_spans, quality_rules, suffix_dedup, toxicity, url_filter
+from ticketloom.llm import chat_format, decontaminate, merkle_manifest, near_dup, packing, pair_rank, pii_spans, prefix_trie, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
 from ticketloom.llm.common import table
 
 
@@ -77,6 +77,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in pii_spans.KINDS], F.sha2(pii_spans.listed(F.col("spans"), lambda s: s.kind.isin(*pii_spans.KINDS)), 256).alias("base_sha256"), pii_spans.listed(F.col("spans")).alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each opened like the first one of its five."""
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    convs, rebuilt = prefix_trie.with_shared_openings(turns, F.crc32(F.col("conv_id").cast("string")) % 9, 8, F.col("conv_id") - F.col("conv_id") % 5)
+    return prefix_trie.prefix_trie(convs, rebuilt)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, and each one's proof held against texts in which some lost their line breaks."""
     changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
@@ -87,6 +94,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed["leaf"], hexed["subroot"], hexed["root"], merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), hexed["folded_root"], (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, base = secret_scan.scan(docs), [r.kind for r in secret_scan.BASE]
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n, base), F.sha2(pii_spans.listed(F.col("secrets"), lambda s: s.kind.isin(*base)), 256).alias("base_sha256"), pii_spans.listed(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "benchmark_proximity": benchmark_proximity,
@@ -99,7 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_quality_rank": op10_quality_rank,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +124,14 @@ _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
 _CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295)"
 _PARTS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+def _hits(rank: int, rule: secret_scan.Rule) -> str:
+    """SQL of one rule's matches: the gaps between matches give where each starts."""
+    pattern = "'" + rule.regex.replace("'", "''") + "'"
+    return f"""SELECT r, {rank} AS rank, '{rule.kind}' AS kind, hit, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda g: length(g))), 0) AS BIGINT) AS start
+  FROM (SELECT r, gaps, found, unnest(found) AS hit, generate_subscripts(found, 1) AS i FROM (SELECT r, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS found FROM d))
+  WHERE length({f"regexp_extract(hit, {pattern}, {rule.group})" if rule.group else "hit"}) >= {rule.least}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
 WITH items AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
@@ -153,6 +177,20 @@ whole AS (SELECT r, x, p, regexp_extract(regexp_replace(p, '^(?:[89AB][0-9A-F])*
 kept AS (SELECT r, from_hex(string_agg(p, '' ORDER BY x)) AS bytes, decode(from_hex(string_agg(c, '' ORDER BY x))) AS text FROM whole GROUP BY r),
 gone AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(bytes) AS kept_sha256, kept.text AS text FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
+    "op11_prefix_trie": f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, sha256(octet_length(encode(role)) || ':' || role || text)[1:32] AS id, octet_length(encode(text)) AS bytes, turn FROM said),
+spots AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos FROM turns),
+convs AS (SELECT conv_id, count(*) AS n, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS leader FROM spots GROUP BY conv_id),
+led AS (SELECT c.conv_id, c.h, c.leader, least(c.h, coalesce(l.n, 0)) AS k FROM convs c LEFT JOIN convs l ON l.conv_id = c.leader),
+rebuilt AS (SELECT conv_id, k + pos - h + 1 AS depth, id, bytes FROM spots JOIN led USING (conv_id) WHERE pos >= h UNION ALL SELECT led.conv_id, pos + 1, id, bytes FROM led JOIN spots ON spots.conv_id = leader WHERE pos < k),
+members AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS bytes FROM convs UNION ALL SELECT conv_id, depth, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth), bytes FROM rebuilt),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM members GROUP BY path, depth),
+kids AS (SELECT path[1 : 32 * (depth - 1)] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT m.path, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((x.n - 1) * x.bytes) AS saved FROM nodes x LEFT JOIN kids k ON k.path = x.path JOIN members m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY m.path),
+ends AS (SELECT path, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, depth) AS path FROM members GROUP BY conv_id) GROUP BY path)
+SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes x JOIN below ON below.path = x.path LEFT JOIN kids k ON k.path = x.path LEFT JOIN nodes up ON x.depth > 0 AND up.path = x.path[1 : 32 * (x.depth - 1)] LEFT JOIN ends ON ends.path = x.path""",
     "op12_merkle_manifest": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, {", ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-') AS f_{c}" for c in ("doc_id", "source", "lang", "n_chars", "text"))},
   CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents),
@@ -169,4 +207,10 @@ steps AS (SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.id
 walk(doc_id, leaf, of, tree, lvl, idx, proof, cur) AS (SELECT doc_id, leaf, tree, tree, 0, idx, '', now FROM at0
   UNION ALL SELECT w.doc_id, w.leaf, w.of, to_tree, to_lvl, to_idx, proof || l || r, CASE WHEN hashed THEN sha256(l || cur || r) ELSE cur END FROM walk w JOIN steps s ON s.tree = w.tree AND s.lvl = w.lvl AND s.idx = w.idx)
 SELECT w.doc_id, w.leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified FROM walk w JOIN tops t ON w.tree = '*' AND w.lvl = t.lvl AND t.n = 1 JOIN subroots s ON s.tree = w.of""",
+    "op13_secret_scan": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), hits AS ("
+    + " UNION ALL ".join(_hits(i, r) for i, r in enumerate(secret_scan.RULES))
+    + """), listed AS (SELECT r, rank, start, kind, kind || ':' || start || ':' || (start + length(hit)) AS said FROM hits)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, rank) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN listed ON listed.r = d.r GROUP BY d.r, doc_id""",
 }
