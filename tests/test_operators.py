@@ -222,3 +222,60 @@ def test_stream_equals_batch(spark, tmp_path):
     redact = lambda d: redaction.redact_customer(d, "all")
     redact_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), redact).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, redact(df).collect()))
+
+
+PERSON_ABOVE = "struct<id:bigint,type:string,first:string,last:string,email:string"
+
+
+def silent(texts):
+    """A detector that finds no names."""
+    return F.transform(texts, lambda t: F.array().cast("array<string>"))
+
+
+def test_texts_know_the_persons_above_them(spark):
+    """Two levels down names are lost, beside the person they stay, and arrays of arrays keep their order."""
+    schema = f"id bigint, primaryCustomer {PERSON_ABOVE},threads:array<struct<body:string,notes:array<struct<text:string>>,createdBy:{PERSON_ABOVE},text:string>>>>, subject string, tags array<string>"
+    inner = (7, "user", "Uma", "Vale", "uma@x.com", "Uma told Alice")
+    threads = [("Alice one", [("Alice a",), (None,), ("",)], inner), ("two", [], None), ("three Smith", [("Alice z",)], inner), None]
+    rows = [(1, (5, "customer", "Alice", "Smith", "alice@x.com", threads), "Alice asks", ["Alice"]), (2, None, None, None), (3, (0, "customer", "Alice", "Smith", "alice@x.com", threads), "Alice", [])]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in redaction.redact_struct(df, "all", detect=silent, rules=[]).collect()}
+    a, one = got[1], got[1].primaryCustomer
+    fake = one.first
+    assert fake != "Alice" and a.subject == "Alice asks" and a.tags == ["Alice"]
+    assert [t and t.body for t in one.threads] == [f"{fake} one", "two", f"three {one.last}", None]
+    assert [n.text for n in one.threads[0].notes] == [f"{fake} a", None, ""] and [n.text for n in one.threads[2].notes] == [f"{fake} z"]
+    assert one.threads[0].createdBy.text == f"{one.threads[0].createdBy.first} told {fake}" and one.threads[1].createdBy is None
+    assert got[2].primaryCustomer is None and got[2].subject is None
+    # A placeholder is nobody, so its texts only lose the author's name.
+    assert got[3].primaryCustomer.threads[0].body == "Alice one" and got[3].primaryCustomer.threads[0].createdBy.text == f"{one.threads[0].createdBy.first} told Alice"
+    # In customer mode the author stays.
+    mode = redaction.redact_struct(df.where("id = 1"), "customers", detect=silent, rules=[]).first().primaryCustomer
+    assert mode.threads[0].createdBy.text == f"Uma told {mode.first}" and mode.threads[0].createdBy.first == "Uma"
+    assert redaction.redact_struct(df.where("id = 1"), "all").first().primaryCustomer.threads[0].body == redaction.NOTICE
+    assert redaction.redact_struct(df.where("false"), "all", detect=silent).count() == 0
+
+
+def test_persons_by_shape(spark):
+    """firstName records, phone-only ones, and e-mail before names, as the order of shapes says."""
+    schema = "customer struct<firstName:string,lastName:string,phone:string,message:string>, line struct<phone:string,text:string>, contact struct<firstName:string,email:string,text:string>, odd struct<first:bigint,text:string>"
+    row = (("Bob", "Stone", "555 1234", "Bob Stone 555 1234"), ("555 9876", "call 555 9876 or 555 1234"), ("Cleo", "cleo.m@x.com", "Cleo is cleo.m@x.com"), (3, "three"))
+    r = redaction.redact_struct(spark.createDataFrame([row], schema), "all", detect=silent, rules=[]).first()
+    assert r.customer.message.startswith(f"{r.customer.firstName} {r.customer.lastName} [[person_") and r.customer.message.endswith("]]")
+    assert r.line.text.startswith("call [[person_") and r.line.text.endswith("or 555 1234")
+    assert r.contact.text.startswith("Cleo is [[person_") and r.contact.firstName != "Cleo" and r.odd.text == "three" and r.odd.first == 3
+    # Only records typed as customers are redacted in that mode; a firstName record counts as one by itself.
+    r = redaction.redact_struct(spark.createDataFrame([row], schema), "customers", detect=silent, rules=[]).first()
+    assert "Bob" not in r.customer.message and r.line.text == row[1][1]
+
+
+def test_each_text_like_redact_text(spark):
+    """Texts in an array lose what the same texts lose in a column."""
+    ident = "struct<type:string,first:string,last:string,email:string,phone:string>"
+    alice, brenda = ("customer", "Alice", "Smith", "alice@example.com", "+1 555 123 4567"), ("user", "Brenda", "Torres", "brenda@example.com", None)
+    texts = ["Alice Smith asked Brenda Torres; ssn 123456789, alice@example.com", "my SSN is 123456789, call 212-555-0199", "", None, "Carol Jones lives at 12 Main Street. See www.example.com/x"]
+    df = spark.createDataFrame([(i, t, [alice, brenda], ["Carol Jones", "Brenda"]) for i, t in enumerate(texts)], f"i int, text string, known array<{ident}>, n array<string>")
+    want = [r.text for r in redaction.redact_text(df, "text", "customers", "known", "n", "key").orderBy("i").collect()]
+    both = df.groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "text", "known", "n"))).alias("x"))
+    each = redaction.redact_each(F.transform("x", lambda x: F.struct(x["text"].alias("text"), x["known"].alias("known"))), F.transform("x", lambda x: x["n"]), "customers", "key")
+    assert both.select(each.alias("t")).first().t == want

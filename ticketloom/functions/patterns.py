@@ -112,6 +112,28 @@ def rewritten(c: Column | str, pattern: str, put: Callable[[Column], Column]) ->
     return F.array_join(F.when(F.contains(c, F.lit(_MARK)), twice).otherwise(once), "")
 
 
+def rules_on_each(texts: Column, rules: list[Rule] | None = None, secret: str = "") -> Column:
+    """``apply_rules`` for each text of an array, one transform for each rule."""
+
+    def put(said: Column, kind: str) -> Callable[[Column], Column]:
+        def one(m: Column) -> Column:
+            if kind != "ssn":
+                return token(kind, m, secret)
+            digits = only_digits(m)
+            sure = F.regexp_like(m, F.lit("[- ]")) | (said & (F.length(digits) == 9))
+            return F.when(sure, token(kind, digits, secret)).otherwise(m)
+
+        return one
+
+    def step(rule: Rule) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.when(rule.may_match(x["text"]), rewritten(x["text"], java(rule.pattern), put(x["ssn"], rule.kind))).otherwise(x["text"]).alias("text"), x["ssn"].alias("ssn"))
+
+    out = F.transform(texts, lambda t: F.struct(t.alias("text"), F.regexp_like(t, F.lit(java(SSN_CONTEXT))).alias("ssn")))
+    for rule in DEFAULT_RULES if rules is None else rules:
+        out = F.transform(out, step(rule))
+    return F.transform(out, lambda x: x["text"])
+
+
 def apply_rules(df: DataFrame, column: str, rules: list[Rule] | None = None, secret: str = "") -> DataFrame:
     """Replaces what the rules match in ``column`` by tokens, each rule on the text that the ones before it left.
 

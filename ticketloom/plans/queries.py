@@ -836,6 +836,57 @@ def redact_typed_records(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.col("customerContact.first").alias("contact"), F.col("customerContact.email").alias("contact_email"), F.col("owner.first").alias("owner"), F.col("assignedTo.first").alias("other"), "preview", "note")
 
 
+def _word_sql(text: str, literal: str, put: str, word: bool = True) -> str:
+    """SQL that replaces a literal, given by an expression, in any case."""
+    edge = "\\b" if word else ""
+    return f"regexp_replace({text}, '(?i){edge}' || regexp_replace({literal}, '([\\\\^$.|?*+()\\[\\]{{}}])', '\\\\\\1', 'g') || '{edge}', {put}, 'g')"
+
+
+def _known_sql(text: str, key: str, first: str | None = None, last: str | None = None, email: str | None = None, phone: str | None = None) -> str:
+    """SQL of what one known person loses in a text; expressions of what is known of them."""
+    fake = fake_sql(key)
+    mark = f"'[[person_' || substr(sha256('person|' || {key}), 1, 4) || ']]'"
+    for literal, put, word in ((email, mark, False), (phone, mark, False), (first and f"{first} || ' ' || {last}", f"{fake[0]} || ' ' || {fake[1]}", True), (first, fake[0], True), (last, fake[1], True), (email and f"split_part({email}, '@', 1)", fake[0], True)):
+        if literal:
+            text = _word_sql(text, literal, put, word)
+    return text
+
+
+def _nested_sql() -> str:
+    """Texts one by one: which persons each knows, then the rules."""
+    who = "'email:' || lower(email)"
+    known = lambda t: _known_sql(t, who, '"firstName"', '"lastName"', "email")
+    phone = "'phone:' || regexp_replace(phone, '[^0-9]', '', 'g')"
+    real = lambda t: f"CASE WHEN id = 0 THEN {t} ELSE {known(t)} END"
+    texts = [("note", real("note")), ("ask", real("ask")), ("contact", _known_sql(real("contact"), phone, phone="phone")), ("beside", "beside")]
+    rows = " UNION ALL ".join(f"SELECT id, '{k}' AS k, {t} AS t0 FROM said" for k, t in texts)
+    said = f"""said AS (SELECT *, "firstName" || ' ' || "lastName" || ' rang about ' || background AS note, 'CUSTOMER wrote: mail ' || email AS ask, 'ring ' || phone || ' for "' || "lastName" || '"' AS contact, 'seen: ' || "lastName" || ' in ' || background AS beside FROM customers)"""
+    chain = _rules_sql(f"(WITH {e.CUSTOMERS}, {said} SELECT id, k, t0 AS text FROM ({rows}))", "id, k", "text")
+    return f"SELECT id, max(text) FILTER (k = 'note') AS note, max(text) FILTER (k = 'ask') AS ask, max(text) FILTER (k = 'contact') AS contact, max(text) FILTER (k = 'beside') AS beside FROM ({chain}) GROUP BY id"
+
+
+def _nested_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with notes two levels below them, a contact known by phone alone among those, and a text beside them."""
+    c = e.customers(spark, sf)
+    person = F.concat("firstName", F.lit(" "), "lastName")
+    notes = F.array(F.struct(F.concat(person, F.lit(" rang about "), "background").alias("text")), F.struct(F.concat(F.lit("CUSTOMER wrote: mail "), "email").alias("text")))
+    contact = F.struct(F.col("phone"), F.struct(F.concat(F.lit("ring "), "phone", F.lit(' for "'), "lastName", F.lit('"')).alias("message")).alias("last_call"))
+    customer = F.struct("id", "type", F.col("firstName").alias("first"), F.col("lastName").alias("last"), "email", F.struct(notes.alias("entries")).alias("history"), contact.alias("line"))
+    return c.select("id", customer.alias("primaryCustomer"), F.concat(F.lit("seen: "), "lastName", F.lit(" in "), "background").alias("preview"))
+
+
+def _no_names(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.array().cast("array<string>"))
+
+
+@query(_nested_sql())
+def redact_nested_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts lose the names of the persons above them at any depth, and none of those beside them; the rules run on all."""
+    out = redaction.redact_struct(_nested_records(spark, sf), "customers", detect=_no_names)
+    entries = F.col("primaryCustomer.history.entries")
+    return out.select("id", entries[0]["text"].alias("note"), entries[1]["text"].alias("ask"), F.col("primaryCustomer.line.last_call.message").alias("contact"), F.col("preview").alias("beside"))
+
+
 # --- names ---
 
 
