@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import sys
 from collections.abc import Callable, Iterator
 
@@ -11,44 +13,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, MIN_CONFIDENCE = 1200, 0.7
+#: Tokens that a chunk may have, and characters of the next chunk that a detector sees with it.
+MOST_TOKENS, OVERLAP = 512, 200
+BLOCK = 512
+#: Most names of a detector that holds them in memory; any number can be found by ``names_in_texts``.
+MOST_NAMES = 200_000
+WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 LABELS = ("O", "B-PER", "I-PER", "B-LOC", "I-LOC", "B-ORG", "I-ORG")
 # Where a chunk may end if it has neither newline nor blank.
 _SPECIAL = "<>{}()[];:,./\\|!@#$%^&*=+?\"'`~"
 
 
-def cuts(text: str, most: int = CHUNK) -> list[tuple[int, str]]:
-    """(offset, chunk) pairs that join to the text, each at most ``most`` characters, cut after the last newline, else blank, else special character."""
+def _fits(text: str, most: int, most_tokens: int) -> int:
+    """How much of a text's start is at most ``most`` characters and ``most_tokens`` tokens (words and single marks)."""
+    if len(text) <= min(most, most_tokens):
+        return len(text)
+    after = next(itertools.islice(_TOKEN.finditer(text, 0, most), most_tokens, None), None)
+    return after.start() if after else min(most, len(text))
+
+
+def cuts(text: str, most: int = CHUNK, most_tokens: int = MOST_TOKENS) -> list[tuple[int, str]]:
+    """(offset, chunk) pairs that join to the text, cut after the last newline, else blank, else special character of what fits.
+
+    A chunk has at most ``most`` characters and ``most_tokens`` tokens, so nothing is lost to a model's limit.
+    """
     out, at = [], 0
-    while len(text) - at > most:
-        window = text[at : at + most]
-        end = next((i + 1 for i in (window.rfind("\n"), max(window.rfind(" "), window.rfind("\t")), max(window.rfind(c) for c in _SPECIAL)) if i > 0), most)
+    while (fits := _fits(text[at : at + most + 1], most, most_tokens)) < len(text) - at:
+        window = text[at : at + fits]
+        end = next((i + 1 for i in (window.rfind("\n"), max(window.rfind(" "), window.rfind("\t")), max(window.rfind(c) for c in _SPECIAL)) if i > 0), fits)
         out.append((at, window[:end]))
         at += end
     return [*out, (at, text[at:])]
 
 
-def chunk_text(df: DataFrame, most: int = CHUNK) -> DataFrame:
-    """A row (doc_id, chunk_id, text, offset) for each chunk; cut points depend on each other, so this is a Python stream."""
+def chunk_text(df: DataFrame, most: int = CHUNK, most_tokens: int = MOST_TOKENS, overlap: int = 0) -> DataFrame:
+    """A row (doc_id, chunk_id, text, offset) for each chunk; cut points depend on each other, so this is a Python stream.
 
-    @F.pandas_udf("offsets array<int>, texts array<string>")
+    With ``overlap`` there is also ``seen``: the chunk and so many characters that follow it.
+    """
+    fields = "offsets array<int>, texts array<string>" + (", seen array<string>" if overlap else "")
+
+    @F.pandas_udf(fields)
     def chunks(texts: pd.Series) -> pd.DataFrame:
-        found = [cuts(t or "", most) for t in texts]
-        return pd.DataFrame({"offsets": [[at for at, _ in c] for c in found], "texts": [[t for _, t in c] for c in found]})
+        found = [(t or "", cuts(t or "", most, most_tokens)) for t in texts]
+        out = {"offsets": [[at for at, _ in c] for _, c in found], "texts": [[x for _, x in c] for _, c in found]}
+        if overlap:
+            out["seen"] = [[t[at : at + len(x) + overlap] for at, x in c] for t, c in found]
+        return pd.DataFrame(out)
 
     # Ids stay out of Python, so that they are exact also next to nulls.
-    cut = df.select("doc_id", chunks("text").alias("_c")).select("doc_id", F.posexplode(F.arrays_zip(F.col("_c.offsets").alias("offset"), F.col("_c.texts").alias("text"))).alias("chunk_id", "_c"))
-    return cut.select("doc_id", "chunk_id", "_c.text", "_c.offset")
+    columns = {"offsets": "offset", "texts": "text"} | ({"seen": "seen"} if overlap else {})
+    cut = df.select("doc_id", chunks("text").alias("_c")).select("doc_id", F.posexplode(F.arrays_zip(*[F.col(f"_c.{c}").alias(n) for c, n in columns.items()])).alias("chunk_id", "_c"))
+    return cut.select("doc_id", "chunk_id", "_c.text", "_c.offset", *(["_c.seen"] if overlap else []))
 
 
 Detector = Callable[[list[str]], list[list[tuple[int, int, float]]]]
 
 
-def detect_names(df: DataFrame, make_detector: Callable[[], Detector], failures: Accumulator | None = None) -> DataFrame:
+def without_overlap(spans: Column) -> Column:
+    """Of spans (array of structs that begin with start and end) those that leave no character to two of them: from the left, the longest first."""
+    item = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("least"), s.alias("span"))
+    ordered = F.transform(F.sort_array(F.transform(spans, item)), lambda x: x["span"])
+    # Whether one is kept is decided by where the last kept one ends.
+    zero = F.struct(F.lit(-1).cast("bigint").alias("at"), F.slice(spans, F.lit(1), F.lit(0)).alias("out"))
+    keep = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].cast("bigint").alias("at"), F.array_append(a["out"], s).alias("out"))).otherwise(a)
+    return F.aggregate(ordered, zero, keep, lambda a: a["out"])
+
+
+def detect_names(df: DataFrame, make_detector: Callable[[], Detector], failures: Accumulator | None = None, most: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, start, end, text, score) from a detector that is made once for each task.
 
-    A detector takes chunk texts and returns (start, end, score) spans for each. A chunk that it fails on
-    has none; ``failures`` counts such chunks and each task's first error goes to its log, so that a broken
-    detector doesn't pass for a text without names.
+    A detector takes chunk texts and returns (start, end, score) spans for each. It sees each chunk with the
+    ``overlap`` characters that follow, so that a name over an edge is whole in the chunk that it starts in;
+    what the next chunk finds of its rest is left out with the other spans that overlap one further left.
+    A chunk that it fails on has none; ``failures`` counts such chunks and each task's first error goes to its
+    log, so that a broken detector doesn't pass for a text without names.
     """
     @F.pandas_udf("starts array<int>, ends array<int>, scores array<double>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -67,17 +107,126 @@ def detect_names(df: DataFrame, make_detector: Callable[[], Detector], failures:
                         failures.add(1)
             yield pd.DataFrame({"starts": [[s for s, _, _ in f] for f in found], "ends": [[e for _, e, _ in f] for f in found], "scores": [[float(x) for _, _, x in f] for f in found]})
 
-    said = chunk_text(df).withColumn("_f", spans("text")).select("doc_id", "text", "offset", F.explode(F.arrays_zip(F.col("_f.starts").alias("s"), F.col("_f.ends").alias("e"), F.col("_f.scores").alias("score"))).alias("_f"))
-    name = F.substring(F.col("text"), F.col("_f.s") + 1, F.col("_f.e") - F.col("_f.s"))
-    return said.select("doc_id", (F.col("offset") + F.col("_f.s")).alias("start"), (F.col("offset") + F.col("_f.e")).alias("end"), name.alias("text"), "_f.score")
+    # A document is known by its id and text; rows that are there twice would only give their names twice.
+    rows = df.select("doc_id", "text").withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("th")))
+    said = chunk_text(rows, most, overlap=max(1, overlap)).withColumn("_f", spans("seen"))
+    said = said.select("doc_id", "text", "seen", "offset", F.explode(F.arrays_zip(F.col("_f.starts").alias("s"), F.col("_f.ends").alias("e"), F.col("_f.scores").alias("score"))).alias("_f"))
+    name = F.substring(F.col("seen"), F.col("_f.s") + 1, F.col("_f.e") - F.col("_f.s"))
+    own = said.where(F.col("_f.s") < F.length("text")).select("doc_id", F.struct((F.col("offset") + F.col("_f.s")).alias("start"), (F.col("offset") + F.col("_f.e")).alias("end"), name.alias("text"), F.col("_f.score").alias("score")).alias("span"))
+    kept = own.groupBy("doc_id").agg(F.collect_set("span").alias("spans")).select(F.col("doc_id.doc_id").alias("doc_id"), F.explode(without_overlap(F.col("spans"))).alias("s"))
+    return kept.select("doc_id", "s.start", "s.end", "s.text", "s.score")
+
+
+class NameTrie:
+    """A detector over a table of names in memory: a trie of their words, from which the longest name at each place is read off.
+
+    Words of a name have nothing but blanks between them; letters' case counts. The spans score 1.
+    """
+
+    def __init__(self, names: list[str]) -> None:
+        self.root: dict = {}
+        for name in names:
+            node = self.root
+            for word in _WORD.findall(name):
+                node = node.setdefault(word, {})
+            if node is not self.root:
+                node[""] = True
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[int, int, float]]]:
+        return [self.find(t) for t in texts]
+
+    def find(self, text: str) -> list[tuple[int, int, float]]:
+        words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text)]
+        out, i = [], 0
+        while i < len(words):
+            node, last = self.root, None
+            for j in range(i, len(words)):
+                if j > i and text[words[j - 1][2] : words[j][1]].strip():
+                    break
+                node = node.get(words[j][0])
+                if node is None:
+                    break
+                if "" in node:
+                    last = j
+            if last is None:
+                i += 1
+            else:
+                out.append((words[i][1], words[last][2], 1.0))
+                i = last + 1
+        return out
+
+
+#: ``WORD`` for Python: letters and digits are what str.isalnum tells apart from ``_``.
+_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+
+
+def trie_detector(names: DataFrame, most: int = MOST_NAMES) -> Callable[[], Detector]:
+    """What ``detect_names`` makes its detector of: the names of a table (column ``name``), at most ``most``; more are an error."""
+    found = [r.name for r in names.select("name").where("name IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} names: use names_in_texts")
+    return lambda: NameTrie(found)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def words_of(text: Column) -> Column:
+    """array<struct<word, start, end, glued>>: words with their places; ``glued`` where nothing but blanks stands between it and the word before.
+
+    Places are sums of lengths, taken in blocks of ``BLOCK`` words and over the blocks, so that a long text
+    isn't copied once for each of its words.
+    """
+    kind = "array<struct<word:string,start:int,end:int,glued:boolean>>"
+    size = lambda x: F.length(x["gap"]) + F.length(x["word"])
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        end = start + F.length(x["word"])
+        here = F.struct(x["word"].alias("word"), start.alias("start"), end.alias("end"), F.regexp_like(x["gap"], F.lit(r"^\s+$")).alias("glued"))
+        return F.struct(end.alias("at"), F.array_append(a["out"], here).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+        inside = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, starts, inside))
+
+    # Gaps run one past the words; the last pair has a null word and goes.
+    pairs = F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: F.filter(F.slice(p, k * BLOCK + 1, F.lit(BLOCK)), lambda x: x["word"].isNotNull()))
+    return _bound(_bound(pairs, cut), placed)
+
+
+def names_in_texts(texts: DataFrame, names: DataFrame, key: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
+    """(*key, start, end, text): where names of a table (column ``name``) stand in texts, from the left, the longest first. Any number of names.
+
+    ``key`` tells texts apart; texts with equal keys count as one. A join on the first word of a name picks the
+    places where one can start; there the words that follow are joined to the names as lists of words, which is
+    exact. No Python; only words and places are dealt out, no texts. Null and empty texts and names have none.
+    """
+    lists = names.where("name IS NOT NULL").select(F.regexp_extract_all("name", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0).distinct()
+    starts = lists.groupBy(F.col("words")[0].alias("first")).agg(F.array_sort(F.collect_set(F.size("words"))).alias("sizes"))
+    longest = lists.agg(F.max(F.size("words"))).first()[0] or 1
+    said = texts.where(F.col(column).isNotNull()).select(*key, words_of(F.col(column)).alias("_w"))
+    after = F.transform("_w", lambda w, i: F.struct(w["word"].alias("first"), F.slice("_w", i + 1, F.lit(longest)).alias("next")))
+    places = said.select(*key, F.explode(after).alias("_p")).select(*key, F.col("_p.first").alias("first"), F.col("_p.next").alias("next")).join(starts, "first")
+    tried = places.select(*key, "next", F.explode("sizes").alias("n")).where(F.size("next") >= F.col("n")).withColumn("next", F.slice("next", F.lit(1), F.col("n")))
+    tried = tried.where(F.forall(F.slice("next", F.lit(2), F.col("n")), lambda w: w["glued"]))
+    tried = tried.select(*key, F.transform("next", lambda w: w["word"]).alias("words"), F.col("next")[0]["start"].alias("start"), F.element_at("next", -1)["end"].alias("end"))
+    found = tried.join(lists, "words", "left_semi").select(*key, F.struct("start", "end", F.array_join("words", " ").alias("text")).alias("span"))
+    kept = found.groupBy(*key).agg(F.collect_set("span").alias("spans")).select(*key, F.explode(without_overlap(F.col("spans"))).alias("_s"))
+    return kept.select(*key, "_s.start", "_s.end", "_s.text")
 
 
-def gazetteer_names(df: DataFrame, names: list[str]) -> DataFrame:
-    """(doc_id, text) of gazetteer names that stand as words in the texts, without Python: words joined to the list."""
-    if not names:
-        return df.select("doc_id", F.lit("").alias("text")).where(F.lit(False))
-    words = df.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}'-]+"), F.lit(0)))).alias("text"))
-    return words.where(F.col("text").isin(names))
+def gazetteer_names(df: DataFrame, names: DataFrame | list[str]) -> DataFrame:
+    """(doc_id, text) of the distinct gazetteer names that stand in the texts, without Python."""
+    if isinstance(names, list):
+        names = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return names_in_texts(df, names).select("doc_id", "text").distinct()
 
 
 def label_map(labels: dict[int, str]) -> list[str]:

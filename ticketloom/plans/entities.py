@@ -88,6 +88,31 @@ TEXT_THREADS = """tthreads AS (SELECT conv_id, turn AS pos, CASE role WHEN 'user
   turn % 3 = 0 AS has_file, conv_id * 100 + turn AS file_id, 'file' || turn || '.pdf' AS filename, length(text) AS size FROM conversations)"""
 
 
+#: How texts open: two words, and up to three.
+_TWO, _THREE = r"^([\p{L}\p{N}]+) ([\p{L}\p{N}]+)", r"^([\p{L}\p{N}]+ [\p{L}\p{N}]+(?: [\p{L}\p{N}]+)?)"
+
+
+def openers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A person for each conversation, called like its first two words: conv_id, first, last, email."""
+    t = table(spark, sf_dir, "conversations").where("turn = 0")
+    first, last = (F.regexp_extract("text", _TWO, i) for i in (1, 2))
+    return t.where(first != "").select("conv_id", first.alias("first"), last.alias("last"), F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))).alias("email"))
+
+
+OPENERS = rf"""openers AS (SELECT conv_id, first, last, lower(first || '.' || last || '@example.com') AS email
+  FROM (SELECT conv_id, regexp_extract(text, '{_TWO}', 1) AS first, regexp_extract(text, '{_TWO}', 2) AS last FROM conversations WHERE turn = 0) WHERE first <> '')"""
+
+
+def spoken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of two and three words, as turns open with them."""
+    t = table(spark, sf_dir, "conversations")
+    two, three = F.concat_ws(" ", F.regexp_extract("text", _TWO, 1), F.regexp_extract("text", _TWO, 2)), F.regexp_extract("text", _THREE, 1)
+    return t.select(F.trim(F.when(F.col("turn") % 2 == 0, two).otherwise(three)).alias("name")).where("name <> ''").distinct()
+
+
+SPOKEN_NAMES = rf"""spoken AS (SELECT DISTINCT name FROM (SELECT trim(CASE WHEN turn % 2 = 0 THEN regexp_extract(text, '{_TWO}', 1) || ' ' || regexp_extract(text, '{_TWO}', 2) ELSE regexp_extract(text, '{_THREE}', 1) END) AS name FROM conversations) WHERE name <> '')"""
+
+
 def timed_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events by user as (conversations, threads) with times; order is by time and event id."""
     e = table(spark, sf_dir, "events")

@@ -780,28 +780,73 @@ def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(patterns.java(r)), F.lit(0))).alias(f"rule_{i}") for i, (_, r) in enumerate(patterns.RULES)])
 
 
+def _word_sql(text: str, literal: str, put: str, word: bool = True) -> str:
+    """SQL that replaces a literal, given by an expression, in any case."""
+    edge = "\\b" if word else ""
+    return f"regexp_replace({text}, '(?i){edge}' || regexp_replace({literal}, '([\\\\^$.|?*+()\\[\\]{{}}])', '\\\\\\1', 'g') || '{edge}', {put}, 'g')"
+
+
+def _known_sql(text: str, key: str, first: str | None = None, last: str | None = None, email: str | None = None, phone: str | None = None) -> str:
+    """SQL of what one known person loses in a text; expressions of what is known of them."""
+    fake = fake_sql(key)
+    mark = f"'[[person_' || substr(sha256('person|' || {key}), 1, 4) || ']]'"
+    for literal, put, word in ((email, mark, False), (phone, mark, False), (first and f"{first} || ' ' || {last}", f"{fake[0]} || ' ' || {fake[1]}", True), (first, fake[0], True), (last, fake[1], True), (email and f"split_part({email}, '@', 1)", fake[0], True)):
+        if literal:
+            text = _word_sql(text, literal, put, word)
+    return text
+
+
+def found_sql(table: str, key: str, column: str) -> str:
+    """Common table expressions up to ``kept``: the spans (s, e, t) of spoken names in each text, from the left, the longest first."""
+    word = names.WORD.replace("'", "''")
+    return f"""{e.SPOKEN_NAMES}, cut AS (SELECT {key}, regexp_split_to_array({column}, '{word}') AS gaps, regexp_extract_all({column}, '{word}') AS found FROM {table}),
+w0 AS (SELECT {key}, unnest(found) AS w, unnest(gaps[1 : len(found)]) AS g, generate_subscripts(found, 1) AS i FROM cut),
+w AS (SELECT *, CAST(sum(length(g) + length(w)) OVER (PARTITION BY {key} ORDER BY i) AS INTEGER) AS e, regexp_full_match(g, '\s+') AS glued FROM w0),
+near AS (SELECT {key}, e - length(w) AS s, e, w, lead(w) OVER o AS w2, lead(e) OVER o AS e2, lead(glued) OVER o AS g2, lead(w, 2) OVER o AS w3, lead(e, 2) OVER o AS e3, lead(glued, 2) OVER o AS g3 FROM w WINDOW o AS (PARTITION BY {key} ORDER BY i)),
+tried AS (SELECT {key}, s, e2 AS e, w || ' ' || w2 AS t FROM near WHERE g2 UNION ALL SELECT {key}, s, e3, w || ' ' || w2 || ' ' || w3 FROM near WHERE g2 AND g3),
+hits AS (SELECT {key}, CAST(s AS INTEGER) AS s, e, t FROM tried JOIN spoken ON name = t),
+kept AS (SELECT {key}, list_reduce(list_prepend({{'s': -1, 'e': -1, 'out': []}}, list({{'s': s, 'e': e, 'out': [{{'s': s, 'e': e, 't': t}}]}} ORDER BY s, e DESC)), lambda a, b: CASE WHEN b.s >= a.e THEN {{'s': b.s, 'e': b.e, 'out': list_concat(a.out, b.out)}} ELSE a END).out AS spans FROM hits GROUP BY {key})"""
+
+
 def _messages_sql() -> str:
-    """Known customer, then names of the text, then the rules; the agent's names are protected, so ``Eden`` stays."""
-    first, last, _ = fake_sql("'email:the@example.com'")
-    mark = "'[[person_' || substr(sha256('person|email:the@example.com'), 1, 4) || ']]'"
+    """The customer's names, then those found in the text, then the rules; the assignee's names are protected."""
+    key = "'email:' || lower(c.email)"
+    long = lambda c: f"CASE WHEN octet_length(encode({c})) >= 3 THEN {c} END"
+    fake, mark = fake_sql(key), f"'[[person_' || substr(sha256('person|' || {key}), 1, 4) || ']]'"
     t = "text"
-    for literal, put in (("the@example\\.com", mark), ("\\bOnou Thth\\b", f"{first} || ' ' || {last}"), ("\\bOnou\\b", first), ("\\bThth\\b", last), ("\\bthe\\b", first)):
-        t = f"regexp_replace({t}, '(?i){literal}', {put}, 'g')"
-    for name in ("Heon", "Eron", "Anthe"):
-        fake = fake_sql(f"'name:{name.lower()}'")
-        t = f"CASE WHEN list_contains(said, '{name}') THEN regexp_replace({t}, '(?i)\\b{name}\\b', {fake[0]} || ' ' || {fake[1]}, 'g') ELSE {t} END"
-    return _rules_sql(f"(SELECT conv_id, turn, {t} AS text FROM (SELECT *, regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}]+') AS said FROM conversations))", "conv_id, turn", "text")
+    for literal, put, word in (("c.email", mark, False), ("c.first || ' ' || c.last", f"{fake[0]} || ' ' || {fake[1]}", True), (long("c.first"), fake[0], True), (long("c.last"), fake[1], True), ("split_part(c.email, '@', 1)", fake[0], True)):
+        t = f"coalesce({_word_sql(t, literal, put, word)}, {t})"
+    put = f"list_filter([{fake[0]} || ' ' || {fake[1]}, CASE WHEN octet_length(encode(c.first)) >= 3 THEN {fake[0]} END, CASE WHEN octet_length(encode(c.last)) >= 3 THEN {fake[1]} END], lambda x: x IS NOT NULL)"
+    kept = f"list_filter([lower(a.first || ' ' || a.last), lower({long('a.first')}), lower({long('a.last')}), split_part(a.email, '@', 1)], lambda x: x IS NOT NULL)"
+    name = fake_sql("'name:' || lower(b.t)")
+    skip = "list_has_any(list_prepend(b.t, regexp_split_to_array(b.t, '\\s+')), a.put) OR list_has_any(list_transform(list_prepend(b.t, regexp_split_to_array(b.t, '\\s+')), lambda x: lower(x)), a.keep)"
+    swapped = _word_sql("a.t", "b.t", f"{name[0]} || ' ' || {name[1]}")
+    step = f"CASE WHEN {skip} THEN a ELSE {{'t': {swapped}, 'put': list_append(a.put, {name[0]} || ' ' || {name[1]}), 'keep': a.keep}} END"
+    none = "CAST([] AS VARCHAR[])"
+    said = f"list_transform(list_distinct_in_order, lambda x: {{'t': x, 'put': {none}, 'keep': {none}}})"
+    return _rules_sql(f"""(WITH {e.OPENERS}, {found_sql("conversations", "conv_id, turn", "text")},
+named AS (SELECT conv_id, turn, list_transform(list_filter(spans, lambda x, i: NOT list_contains(list_transform(spans[1 : i - 1], lambda y: y.t), x.t)), lambda x: x.t) AS list_distinct_in_order FROM kept),
+known AS (SELECT m.conv_id, m.turn, {t} AS t, CASE WHEN c.conv_id IS NULL THEN {none} ELSE {put} END AS put, CASE WHEN a.conv_id IS NULL THEN {none} ELSE {kept} END AS keep
+  FROM conversations m LEFT JOIN openers c ON c.conv_id = m.conv_id LEFT JOIN openers a ON a.conv_id = m.conv_id + 1)
+SELECT k.conv_id, k.turn, CASE WHEN list_distinct_in_order IS NULL THEN k.t ELSE list_reduce(list_prepend({{'t': k.t, 'put': put, 'keep': keep}}, {said}), lambda a, b: {step}).t END AS text
+FROM known k LEFT JOIN named n ON n.conv_id = k.conv_id AND n.turn = k.turn)""", "conv_id, turn", "text")
+
+
+def _opened_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with the person that they open with as customer, and that of the next one as assignee."""
+    people = e.openers(spark, sf)
+    person = lambda kind: F.struct(F.lit(kind).alias("type"), "first", "last", "email", F.lit(None).cast("string").alias("phone"))
+    conv = e.table(spark, sf, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    customers = people.select(F.col("conv_id").alias("id"), person("customer").alias("customer"))
+    agents = people.select((F.col("conv_id") - 1).alias("id"), person("user").alias("assignee"))
+    return conv.join(customers, "id", "left").join(agents, "id", "left")
 
 
 @query(_messages_sql())
 def redact_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of all conversations with the customer and the agent known, and names from a gazetteer."""
-    t = e.table(spark, sf, "conversations")
-    customer = F.struct(F.lit("customer").alias("type"), F.lit("Onou").alias("first"), F.lit("Thth").alias("last"), F.concat(F.lit("the"), F.lit("@example.com")).alias("email"), F.lit(None).cast("string").alias("phone"))
-    agent = F.struct(F.lit("user").alias("type"), F.lit("Eden").alias("first"), F.lit("Rest").alias("last"), F.lit("eden@example.com").alias("email"), F.lit(None).cast("string").alias("phone"))
-    said = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}]+"), F.lit(0)), lambda w: w.isin("Heon", "Eron", "Anthe", "Eden")))
-    rows = t.select("conv_id", "turn", "text", F.array(customer, agent).alias("identities"), said.alias("names"))
-    return redaction.redact_text(rows, "text", "customers", "identities", "names").select("conv_id", "turn", "text")
+    """Turns of all conversations: persons of each conversation, names of a table found in the texts, then the rules, in one job."""
+    threads = e.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lit(None).cast(redaction.IDENTITY).alias("author"))
+    return redaction.redact_threads(threads, _opened_conversations(spark, sf), e.spoken_names(spark, sf), "customers", "text", ("conv_id", "turn")).select("conv_id", "turn", "text")
 
 
 @query(_rules_sql("conversations", "conv_id, turn", "text"))
@@ -836,22 +881,6 @@ def redact_typed_records(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.col("customerContact.first").alias("contact"), F.col("customerContact.email").alias("contact_email"), F.col("owner.first").alias("owner"), F.col("assignedTo.first").alias("other"), "preview", "note")
 
 
-def _word_sql(text: str, literal: str, put: str, word: bool = True) -> str:
-    """SQL that replaces a literal, given by an expression, in any case."""
-    edge = "\\b" if word else ""
-    return f"regexp_replace({text}, '(?i){edge}' || regexp_replace({literal}, '([\\\\^$.|?*+()\\[\\]{{}}])', '\\\\\\1', 'g') || '{edge}', {put}, 'g')"
-
-
-def _known_sql(text: str, key: str, first: str | None = None, last: str | None = None, email: str | None = None, phone: str | None = None) -> str:
-    """SQL of what one known person loses in a text; expressions of what is known of them."""
-    fake = fake_sql(key)
-    mark = f"'[[person_' || substr(sha256('person|' || {key}), 1, 4) || ']]'"
-    for literal, put, word in ((email, mark, False), (phone, mark, False), (first and f"{first} || ' ' || {last}", f"{fake[0]} || ' ' || {fake[1]}", True), (first, fake[0], True), (last, fake[1], True), (email and f"split_part({email}, '@', 1)", fake[0], True)):
-        if literal:
-            text = _word_sql(text, literal, put, word)
-    return text
-
-
 def _nested_sql() -> str:
     """Texts one by one: which persons each knows, then the rules."""
     who = "'email:' || lower(email)"
@@ -925,23 +954,21 @@ def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
     return names.chunk_text(e.table(spark, sf, "documents"))
 
 
-@query("SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '\\p{Lu}[\\p{L}''-]+'), lambda w: w IN ('Heon', 'Eron', 'Anthe', 'Eden', 'Onth')))) AS text FROM documents")
+@query(f"WITH {found_sql('documents', 'doc_id', 'text')} SELECT DISTINCT doc_id, unnest(list_transform(spans, lambda x: x.t)) AS text FROM kept")
 def gazetteer_names(spark: SparkSession, sf: str) -> DataFrame:
-    return names.gazetteer_names(e.table(spark, sf, "documents"), ["Heon", "Eron", "Anthe", "Eden", "Onth"])
-
+    return names.gazetteer_names(e.table(spark, sf, "documents"), e.spoken_names(spark, sf))
 
-def _capital_words() -> names.Detector:
-    import re
 
-    known = re.compile(r"\b(?:Heon|Eron|Anthe|Eden|Onth)\b")
-    return lambda texts: [[(m.start(), m.end(), 1.0) for m in known.finditer(t)] for t in texts]
+@query(f"WITH {found_sql('conversations', 'conv_id, turn', 'text')} SELECT conv_id, turn, x.s AS start, x.e AS \"end\", x.t AS text FROM (SELECT conv_id, turn, unnest(spans) AS x FROM kept)")
+def names_in_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of a table in all turns: a hash join of the words of names and texts."""
+    return names.names_in_texts(e.table(spark, sf, "conversations"), e.spoken_names(spark, sf), ("conv_id", "turn"))
 
 
-@query("""WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]')) AS w, generate_subscripts(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]'), 1) AS i FROM documents),
-placed AS (SELECT doc_id, w, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS INTEGER) AS start FROM words)
-SELECT doc_id, start, CAST(start + length(w) AS INTEGER) AS "end", w AS text, CAST(1.0 AS DOUBLE) AS score FROM placed WHERE w IN ('Heon', 'Eron', 'Anthe', 'Eden', 'Onth')""")
+@query(f"""WITH {found_sql('documents', 'doc_id', 'text')} SELECT doc_id, x.s AS start, x.e AS "end", substr(text, x.s + 1, x.e - x.s) AS text, CAST(1.0 AS DOUBLE) AS score FROM (SELECT doc_id, unnest(spans) AS x FROM kept) JOIN documents USING (doc_id)""")
 def detect_names(spark: SparkSession, sf: str) -> DataFrame:
-    return names.detect_names(e.table(spark, sf, "documents"), _capital_words)
+    """The same names by a trie that goes over chunks of the texts as a stream; names over an edge are found once."""
+    return names.detect_names(e.table(spark, sf, "documents"), names.trie_detector(e.spoken_names(spark, sf)))
 
 
 # --- changes ---
