@@ -1,6 +1,8 @@
 """Operators on hand-made records."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +281,94 @@ def test_each_text_like_redact_text(spark):
     both = df.groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "text", "known", "n"))).alias("x"))
     each = redaction.redact_each(F.transform("x", lambda x: F.struct(x["text"].alias("text"), x["known"].alias("known"))), F.transform("x", lambda x: x["n"]), "customers", "key")
     assert both.select(each.alias("t")).first().t == want
+
+
+# --- names of a table ---
+
+
+def brute_names(text, known):
+    """From the left, the longest first: words with nothing but blanks between them."""
+    word = r"[^\W_]+(?:['’-][^\W_]+)*"
+    said, out, at = list(re.finditer(word, text or "")), [], 0
+    lists = {tuple(re.findall(word, n)) for n in known if n}
+    while at < len(said):
+        fits = [n for n in range(1, len(said) - at + 1) if tuple(m[0] for m in said[at : at + n]) in lists and all(not text[said[k].end() : said[k + 1].start()].strip() for k in range(at, at + n - 1))]
+        if fits:
+            out.append((said[at].start(), said[at + max(fits) - 1].end(), " ".join(m[0] for m in said[at : at + max(fits)])))
+        at += max(fits, default=1)
+    return out
+
+
+KNOWN = ["Ann Lee", "Ann", "Lee Ann Bo", "O'Neil-Smith Jr", "É Ça", "x1 y2 z3 w4", None, "", "...", "Ann Lee"]
+
+
+def test_names_in_texts(spark):
+    rnd = random.Random(3)
+    texts = [None, "", "Ann\n Lee, Ann. Lee Ann Bo; ann lee", "O'Neil-Smith Jr's É Ça😀 É Ça_", "Lee Ann Lee Ann Bo", "Ann Ann Lee Ann", "x1 y2 z3 x1 y2 z3 w4", "word " * 1500 + "Ann Lee " * 3]
+    texts += [" ".join(rnd.choice(["Ann", "Lee", "Bo", "É", "Ça", "Ann,", "x"]) for _ in range(30)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    table = spark.createDataFrame([(n,) for n in KNOWN], "name string")
+    want = {i: brute_names(t, KNOWN) for i, t in enumerate(texts)}
+    for got in (names.names_in_texts(df, table), names.detect_names(df, names.trie_detector(table)), names.detect_names(df, names.trie_detector(table), most=23, overlap=16)):
+        found = {i: [] for i in want}
+        for r in got.collect():
+            found[r.doc_id].append((r.start, r.end, " ".join(r.text.split())))
+        assert {i: sorted(x) for i, x in found.items()} == want
+    assert names.names_in_texts(df, table.where("false")).count() == 0 and names.names_in_texts(df.where("false"), table).count() == 0
+    with pytest.raises(ValueError):
+        names.trie_detector(table, 3)
+
+
+def test_words_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", 4)
+    texts = ["", "one", "a b, c d e", "é " * 9, "-- x'y z"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", names.words_of(F.col("text")).alias("w")).collect()
+    for r in got:
+        assert [(x.word, x.start, x.end) for x in r.w] == [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:['’-][^\W_]+)*", texts[r.i])]
+
+
+def test_a_name_over_an_edge_is_found_once(spark):
+    """Chunks of 1,200 characters and of 512 tokens; the name starts in one and ends in the next."""
+    for text in ("x" * 1190 + " Ann Lee Bo " + "y" * 1300, "x " * 511 + "Ann Lee Bo " + "y " * 40):
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        chunks = [r.text for r in names.chunk_text(df).orderBy("chunk_id").collect()]
+        assert "".join(chunks) == text and len(chunks) > 1 and all(len(re.findall(r"\w+|[^\w\s]", c)) <= 512 for c in chunks)
+        assert not any("Ann Lee Bo" in c for c in chunks)
+        table = spark.createDataFrame([("Ann Lee Bo",), ("Bo",), ("Lee Bo",)], "name string")
+        assert [(r.start, r.end) for r in names.detect_names(df, names.trie_detector(table)).collect()] == [(text.index("Ann"), text.index("Ann") + 10)]
+
+
+def test_threads_with_persons_and_names(spark):
+    """Customer's and author's names go, the assignee's stay in customer mode, names of the table go; other conversations' persons stay."""
+    person = "struct<type:string,first:string,last:string,email:string,phone:string>"
+    bob = ("user", "Bob", "Stone", "bob@x.com", None)
+    conv = spark.createDataFrame([(1, ("customer", "Alice", "Smith", "alice@x.com", None), bob), (2, None, None)], f"id bigint, customer {person}, assignee {person}")
+    rows = [(1, 0, "Alice Smith and Bob Stone met Carol Jones, bob and carol jones", None, "keep"), (1, 1, "Dan here, not Carol", ("customer", "Dan", None, None, None), "keep"), (2, 0, "Alice and Carol Jones", None, "keep"), (3, 0, None, None, "keep"), (None, 0, "Alice", None, "keep")]
+    threads = spark.createDataFrame(rows, f"conv_id bigint, pos int, body string, author {person}, note string")
+    table = spark.createDataFrame([("Carol Jones",), ("Bob Stone",)], "name string")
+    got = {(r.conv_id, r.pos): r for r in redaction.redact_threads(threads, conv, table, "customers").collect()}
+    assert len(got) == 5 and all(r.note == "keep" for r in got.values())
+    first = got[1, 0].body
+    assert "Alice" not in first and "arol" not in first and "Bob Stone met" in first and first.endswith(first[first.index("met ") + 4 : first.index(",")])
+    assert "Dan" not in got[1, 1].body and got[1, 1].body.endswith("not Carol")
+    assert got[2, 0].body.startswith("Alice and ") and "Jones" not in got[2, 0].body and got[3, 0].body is None and got[None, 0].body == "Alice"
+    assert redaction.redact_threads(threads, conv, table, "off") is threads
+
+
+def test_json_of_unknown_schema(spark):
+    """Equal to redact_struct where the schema is known; what documents don't agree on gives way to the notice."""
+    schema = f"id bigint, primaryCustomer {PERSON_ABOVE},notes:array<struct<text:string>>>, subject string, cc array<string>, n double"
+    rows = [(1, (5, "customer", "Alice", "Smith", "alice@x.com", [("Alice a",), (None,), ("x",)]), "Alice asks", ["c@x.com"], 1.5), (2, None, "é \" quoted", None, None), (3, (0, "customer", "Alice", "S", None, []), "Alice", [], 2.0)]
+    df = spark.createDataFrame(rows, schema)
+    want = [r.j for r in redaction.redact_struct(df, "all", detect=silent).select(F.to_json(F.struct(*df.columns)).alias("j")).collect()]
+    raw = df.select(F.lit("own").alias("_out"), F.to_json(F.struct(*df.columns)).alias("raw"))
+    got = redaction.redact_json(raw, "raw", "all", detect=silent)
+    assert got.columns == raw.columns and [json.loads(r.raw) for r in got.collect()] == list(map(json.loads, want))
+    odd = ['{"body":"Alice","v":1}', '{"body":{"x":"Alice"},"v":"one","customer":{"first":"Al","big":12345678901234567890.5}}', '[{"text":"Alice","email":"a@x.com"}]', '"Alice"', "7", "not json", None, "{}", '{"v":{"w":1},"odd key.`x":[]}']
+    found = [r.raw and json.loads(r.raw) for r in redaction.redact_json(spark.createDataFrame([(t,) for t in odd], "raw string").coalesce(1), "raw", "all").collect()]
+    notice = redaction.NOTICE
+    assert found[0] == {"body": notice, "v": 1} and found[1]["body"] == notice and found[1]["v"] == "one" and found[1]["customer"]["first"] != "Al"
+    assert found[2][0]["text"] == notice and found[2][0]["email"].endswith("@anon.local")
+    assert found[3:7] == ["Alice", 7, None, None] and found[7] == {} and found[8] == {"v": notice, "odd key.`x": []}
+    assert redaction.redact_json(spark.createDataFrame([("{}",), (None,)], "raw string"), "raw", "all").collect()[0].raw == "{}"
+    assert redaction.redact_json(spark.createDataFrame([], "raw string"), "raw", "all").count() == 0
