@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Paths that a patch may name, and the columns that they mean.
@@ -50,3 +50,30 @@ def upsert(snapshot: DataFrame, rows: DataFrame, seq: str = "seq") -> DataFrame:
 
 def delete(snapshot: DataFrame, ids: DataFrame) -> DataFrame:
     return snapshot.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def status_history(log: DataFrame) -> DataFrame:
+    """(id, status, start, end): the time that each id was in each status, from a log (id, status, at, seq).
+
+    Changes count in the order of at, then seq; equal statuses in a row are one interval; the last has no end.
+    Intervals may be empty, where a status is left at the time that it was entered; these are left out.
+    """
+    order = Window.partitionBy("id").orderBy("at", "seq")
+    fresh = log.withColumn("_before", F.lag(F.struct("status")).over(order)).where(F.col("_before").isNull() | ~F.col("_before.status").eqNullSafe(F.col("status")))
+    held = fresh.select("id", "status", F.col("at").alias("start"), F.lead("at").over(order).alias("end"))
+    return held.where(F.col("end").isNull() | (F.col("start") < F.col("end")))
+
+
+def open_by_day(history: DataFrame, statuses: tuple[str, ...] = ("active", "pending")) -> DataFrame:
+    """(day, opened, closed, open): for each day from the first change to the last, how many ids became open, ceased to be, and were open at its end.
+
+    A sweep over sums by day: only the sums, one row a day, are put in one order. An id that goes from one open
+    status to another within a day counts as opened and closed.
+    """
+    some = history.where(F.col("status").isin(*statuses))
+    moves = some.select(F.to_date("start").alias("day"), F.lit(1).alias("up")).union(some.where("end IS NOT NULL").select(F.to_date("end"), F.lit(-1)))
+    sums = moves.groupBy("day").agg(F.count_if(F.col("up") == 1).alias("opened"), F.count_if(F.col("up") == -1).alias("closed"))
+    days = sums.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    every = days.join(sums, "day", "left").select("day", zero("opened"), zero("closed"))
+    return every.withColumn("open", F.sum(F.col("opened") - F.col("closed")).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))

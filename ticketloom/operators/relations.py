@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketloom.scratch import written
+
 
 def embed_threads(conv: DataFrame, threads: DataFrame, key: str = "conv_id", pos: str = "pos") -> DataFrame:
     """Each conversation with its threads as an array in order of ``pos``; empty where there are none."""
@@ -61,6 +65,32 @@ def find_redirects(urls: DataFrame, redirects: DataFrame) -> DataFrame:
     return urls.join(redirects.select("site_id", F.col("url_mapping").alias("url"), "redirect"), ["site_id", "url"], "left")
 
 
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """(site_id, url_mapping, target, hops, looped): where a chain of redirects ends.
+
+    Pointers jump: each round joins every unfinished redirect to the one that it leads to, so a chain of n hops
+    takes log2(n) rounds. What is unfinished when pointers span as many hops as there are redirects leads
+    into a loop and has no target. Of redirects with equal sites and URLs the smallest counts; a null site is a
+    site like any other; a redirect to null ends there.
+    """
+    one = redirects.where("url_mapping IS NOT NULL").groupBy(F.coalesce(F.concat(F.lit("s"), F.col("site_id").cast("string")), F.lit("")).alias("_site"), "url_mapping").agg(F.min("redirect").alias("target"), F.min("site_id").alias("site_id"))
+    left = written(one.select("_site", "site_id", "url_mapping", "target", F.lit(1).cast("bigint").alias("hops")))
+    rounds, n = [], left.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        after = left.select(F.col("_site").alias("_s"), F.col("url_mapping").alias("_u"), F.col("target").alias("_t"), F.col("hops").alias("_h"))
+        # Those that are finished stand in ``rounds`` with where they end, and are looked up like the others.
+        for done in rounds:
+            after = after.union(done.select("_site", "url_mapping", "target", "hops"))
+        step = written(left.join(after, (F.col("_site") == F.col("_s")) & (F.col("target") == F.col("_u")), "left"))
+        rounds.append(step.where("_u IS NULL").select(*left.columns))
+        left = step.where("_u IS NOT NULL").select("_site", "site_id", "url_mapping", F.col("_t").alias("target"), (F.col("hops") + F.col("_h")).alias("hops"))
+        if left.isEmpty():
+            break
+        left = written(left)
+    found = reduce(DataFrame.union, rounds).select("site_id", "url_mapping", "target", "hops", F.lit(False).alias("looped"))
+    return found.union(left.select("site_id", "url_mapping", F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(True)))
+
+
 def attach_known_identities(threads: DataFrame, conv: DataFrame) -> DataFrame:
     """Adds ``identities``: customer and assignee of the conversation and the author of the thread, those that exist.
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +11,10 @@ from pyspark.sql import functions as F
 from ticketloom.functions import patterns, pseudonyms
 from ticketloom.functions import predicates as p
 from ticketloom.functions import scalars as x
-from ticketloom.operators import briefing, changes, cleaning, names, redaction, relations, reports, views
+from ticketloom.operators import briefing, changes, cleaning, names, redaction, relations, reports, search, views
 from ticketloom.plans import entities as e
 from ticketloom.sources import pages as page_sources
+from ticketloom.scratch import shared_path
 from ticketloom.sources import sinks
 from ticketloom.streaming.redact import redact_stream
 
@@ -799,7 +798,7 @@ def _known_sql(text: str, key: str, first: str | None = None, last: str | None =
 def found_sql(table: str, key: str, column: str) -> str:
     """Common table expressions up to ``kept``: the spans (s, e, t) of spoken names in each text, from the left, the longest first."""
     word = names.WORD.replace("'", "''")
-    return f"""{e.SPOKEN_NAMES}, cut AS (SELECT {key}, regexp_split_to_array({column}, '{word}') AS gaps, regexp_extract_all({column}, '{word}') AS found FROM {table}),
+    return rf"""{e.SPOKEN_NAMES}, cut AS (SELECT {key}, regexp_split_to_array({column}, '{word}') AS gaps, regexp_extract_all({column}, '{word}') AS found FROM {table}),
 w0 AS (SELECT {key}, unnest(found) AS w, unnest(gaps[1 : len(found)]) AS g, generate_subscripts(found, 1) AS i FROM cut),
 w AS (SELECT *, CAST(sum(length(g) + length(w)) OVER (PARTITION BY {key} ORDER BY i) AS INTEGER) AS e, regexp_full_match(g, '\s+') AS glued FROM w0),
 near AS (SELECT {key}, e - length(w) AS s, e, w, lead(w) OVER o AS w2, lead(e) OVER o AS e2, lead(glued) OVER o AS g2, lead(w, 2) OVER o AS w3, lead(e, 2) OVER o AS e3, lead(glued, 2) OVER o AS g3 FROM w WINDOW o AS (PARTITION BY {key} ORDER BY i)),
@@ -983,9 +982,66 @@ def detect_names(spark: SparkSession, sf: str) -> DataFrame:
     return names.detect_names(e.table(spark, sf, "documents"), names.trie_detector(e.spoken_names(spark, sf)))
 
 
+# --- search ---
+
+
+@query(rf"""WITH words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
+tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL), sizes AS (SELECT id, sum(tf) AS len FROM tf GROUP BY id),
+stats AS (SELECT count(*) AS n, avg(len) AS mean FROM sizes), idf AS (SELECT term, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+{e.OPENERS}, asked AS (SELECT conv_id AS q, lower(first) AS term, CASE WHEN conv_id % 2 = 0 THEN 'must' ELSE 'should' END AS need FROM openers UNION ALL SELECT conv_id, lower(last), 'should' FROM openers UNION ALL SELECT conv_id - 1, lower(last), 'not' FROM openers WHERE conv_id % 5 = 1),
+terms AS (SELECT q, term, min(CASE need WHEN 'not' THEN 0 WHEN 'must' THEN 1 ELSE 2 END) AS need FROM asked GROUP BY q, term), wanted AS (SELECT q, count(*) FILTER (need = 1) AS n FROM terms GROUP BY q),
+hits AS (SELECT q, id, need, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM terms JOIN tf USING (term) JOIN sizes USING (id) JOIN idf USING (term), stats),
+sums AS (SELECT q, id, sum(score) AS score FROM hits JOIN wanted USING (q) GROUP BY q, id, n HAVING count(*) FILTER (need = 0) = 0 AND count(*) FILTER (need = 1) = n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS r FROM sums)
+SELECT q AS query_id, id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE r <= 10""")
+def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for the opening words of each conversation."""
+    index = search.build_index(e.table(spark, sf, "documents"), "doc_id", "text")
+    o, q = e.openers(spark, sf), F.col("conv_id")
+    asked = o.select(q.alias("query_id"), F.col("first").alias("term"), F.when(q % 2 == 0, "must").otherwise("should").alias("need")).union(o.select(q, "last", F.lit("should"))).union(o.where(q % 5 == 1).select(q - 1, "last", F.lit("not")))
+    return search.search(index, asked, 10)
+
+
 # --- changes ---
 
 
+_LOG = "log AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN 'closed' WHEN 'A' THEN 'pending' ELSE 'active' END AS status, l_shipdate AS ts, l_linenumber AS seq FROM lineitem)"
+_HISTORY = f"""{_LOG}, fresh AS (SELECT * FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY ts, seq) AS before FROM log) WHERE before IS DISTINCT FROM status),
+history AS (SELECT * FROM (SELECT id, status, ts AS start, lead(ts) OVER (PARTITION BY id ORDER BY ts, seq) AS "end" FROM fresh) WHERE "end" IS NULL OR start < "end")"""
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    line = e.table(spark, sf, "lineitem")
+    status = F.when(F.col("l_returnflag") == "R", "closed").when(F.col("l_returnflag") == "A", "pending").otherwise("active")
+    return line.select(F.col("l_orderkey").alias("id"), status.alias("status"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("seq"))
+
+
+@query(f"WITH {_HISTORY} SELECT id, status, start, \"end\" FROM history")
+def status_history(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.status_history(_log(spark, sf))
+
+
+@query(f"""WITH {_HISTORY}, moves AS (SELECT CAST(start AS DATE) AS day, 1 AS up FROM history WHERE status <> 'closed' UNION ALL SELECT CAST("end" AS DATE), -1 FROM history WHERE status <> 'closed' AND "end" IS NOT NULL),
+days AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM moves), (SELECT max(day) FROM moves), INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT days.day, count(*) FILTER (up = 1) AS opened, count(*) FILTER (up = -1) AS closed, CAST(sum(coalesce(sum(up), 0)) OVER (ORDER BY days.day) AS BIGINT) AS open FROM days LEFT JOIN moves ON moves.day = days.day GROUP BY days.day""")
+def open_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.open_by_day(changes.status_history(_log(spark, sf)))
+
+
+@query("""WITH RECURSIVE r AS (SELECT page_id % 3 AS site, page_id AS url, CASE WHEN page_id % 89 < 3 THEN page_id - 30 ELSE page_id + 3 END AS "to" FROM pages WHERE page_id % 97 >= 3),
+walk AS (SELECT site, url AS start, [url] AS seen, "to" AS cur FROM r UNION ALL SELECT w.site, start, list_append(seen, r.url), r."to" FROM walk w JOIN r ON r.site = w.site AND r.url = w.cur WHERE NOT list_contains(seen, w.cur)),
+ends AS (SELECT w.site, start, cur, len(seen) AS hops FROM walk w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.site = w.site AND r.url = w.cur))
+SELECT r.site AS site_id, 'p' || url AS url_mapping, 'p' || cur AS target, CAST(hops AS BIGINT) AS hops, hops IS NULL AS looped FROM r LEFT JOIN ends ON ends.site = r.site AND start = url""")
+def resolve_redirects(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains over the pages of each site, some of which run into loops."""
+    pid = F.col("page_id")
+    rows = e.table(spark, sf, "pages").where(pid % 97 >= 3)
+    to = F.when(pid % 89 < 3, pid - 30).otherwise(pid + 3)
+    named = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    return relations.resolve_redirects(rows.select((pid % 3).alias("site_id"), named(pid).alias("url_mapping"), named(to).alias("redirect")))
+
+
+
 @query(f"""WITH {e.CONV}, patches AS (SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN '/subject' WHEN 1 THEN '/status' ELSE '/other' END AS path, CAST(l_partkey AS VARCHAR) AS value, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS seq FROM lineitem),
 last AS (SELECT id, max_by(value, seq) FILTER (path = '/subject') AS subject, max_by(value, seq) FILTER (path = '/status') AS status FROM patches GROUP BY id)
 SELECT conv.id, coalesce(last.subject, conv.subject) AS subject, coalesce(last.status, conv.status) AS status FROM conv LEFT JOIN last ON last.id = conv.id""")
@@ -1022,12 +1078,7 @@ def delete_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLE_SQL["redact_customers"])
 def redact_stream_of_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers landed as files, redacted as a stream, and read again from the sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ticketloom-")  # one process, as in tests
-    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    at = shared_path(spark)
     e.customers(spark, sf).write.parquet(f"{at}/in")
     redact_stream(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", lambda df: redaction.redact_customer(df, "all")).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("id", "firstName", "lastName", "email", "phone")
