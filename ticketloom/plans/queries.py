@@ -14,8 +14,10 @@ from ticketloom.functions import scalars as x
 from ticketloom.operators import briefing, changes, cleaning, names, redaction, relations, reports, search, views
 from ticketloom.plans import entities as e
 from ticketloom.sources import pages as page_sources
-from ticketloom.scratch import shared_path
+from ticketloom.scratch import shared_path, written
 from ticketloom.sources import sinks
+from ticketloom.sources.keyed import KeyedTable, load_changes
+from ticketloom.streaming import overview as overviews
 from ticketloom.streaming.redact import redact_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,10 +220,10 @@ def filter_saved_replies(spark: SparkSession, sf: str) -> DataFrame:
     return d.where(p.saved_replies(3, "TION")).select("id")
 
 
-@query("SELECT n_nationkey AS id FROM nation WHERE contains(lower(n_name), 'an') OR contains(lower(n_name) || '.example.com', 'an')")
+@query("SELECT n_nationkey AS id FROM nation WHERE contains(lower(n_name), 'tion_1') OR contains(lower(n_name) || '.example.com', 'tion_1')")
 def filter_organizations(spark: SparkSession, sf: str) -> DataFrame:
     n = e.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lower("n_name"), F.lit(".example.com")).alias("domain"))
-    return n.where(p.organizations("an")).select("id")
+    return n.where(p.organizations("TION_1")).select("id")
 
 
 @query("SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 1")
@@ -230,11 +232,11 @@ def filter_collections(spark: SparkSession, sf: str) -> DataFrame:
     return n.where(p.collections("2", "private")).select("id")
 
 
-@query(f"WITH {e.ARTICLES} SELECT id FROM articles WHERE contains(lower(text), 'tion') AND status = 'published' AND site_id = 'fr' AND id % 3 = 0 AND \"collectionId\" = (SELECT min(source) FROM documents)")
+@query(f"WITH {e.ARTICLES} SELECT id FROM articles WHERE contains(lower(text), 'tion') AND status = 'published' AND site_id = 'fr' AND id % 3 = 0 AND \"collectionId\" IN (SELECT DISTINCT source FROM documents WHERE lang = 'fr' AND doc_id % 2 = 1)")
 def search_articles(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.articles(spark, sf).withColumn("visibility", F.when(F.col("id") % 3 == 0, "private").otherwise("public"))
-    first = rows.agg(F.min("collectionId")).scalar()
-    return rows.where(p.article_search("tion", None, "fr", "published", "private") & (F.col("collectionId") == first)).select("id")
+    some = rows.where("site_id = 'fr' AND id % 2 = 1").select("collectionId").distinct()
+    return rows.where(p.article_search("tion", None, "fr", "published", "private")).join(some, "collectionId", "left_semi").select("id")
 
 
 @query(f"WITH {e.AGENTS} SELECT id FROM agents WHERE email = 'supplier.000000007@example.com'")
@@ -356,6 +358,23 @@ def shown_values(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("event_id", x.shown_minutes(F.when(F.col("value") >= 0, F.col("value"))).alias("minutes"), x.thread_author_type(kind).alias("author"))
 
 
+def _plain_view(resource: str, columns: list[tuple[str, str]]) -> None:
+    """A plain view over customers whose fields say what they are."""
+    value = {"id": ("c_custkey", F.col("c_custkey")), "siteId": ("c_nationkey", F.col("c_nationkey")), "order": ("c_custkey % 7", F.col("c_custkey") % 7)}
+    sql = ", ".join(f"{value[c][0] if c in value else chr(39) + c + chr(39) + ' || c_custkey'} AS \"{shown}\"" for c, shown in columns)
+
+    @query(f"SELECT {sql} FROM customer", f"view_{resource}")
+    def shown(spark: SparkSession, sf: str) -> DataFrame:
+        key = F.col("c_custkey").cast("string")
+        fields = [value[c][1].alias(c) if c in value else F.concat(F.lit(c), key).alias(c) for c, _ in columns]
+        return views.view(e.table(spark, sf, "customer").select(*fields, F.lit("hidden").alias("_links")), resource)
+
+
+for _resource, _columns in views.PLAIN.items():
+    if f"view_{_resource}" not in QUERIES:
+        _plain_view(_resource, [(c, c) if isinstance(c, str) else c for c in _columns])
+
+
 # --- sources and sinks ---
 
 
@@ -646,6 +665,19 @@ def report_productivity(spark: SparkSession, sf: str) -> DataFrame:
     return reports.report_rollup(rows, "productivity", F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00")), "day")
 
 
+@query("SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS mean, TRUE AS median_fits, TRUE AS p90_fits, TRUE AS distinct_fits FROM events GROUP BY ALL")
+def report_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Months rolled up from stored states of days, held against the exact numbers: quantiles by the ranks that they have, distinct users by four standard errors."""
+    rows = e.table(spark, sf, "events").select(F.col("ts").alias("at"), "event_type", "user_id", "value")
+    months = reports.rolled_up(written(reports.partial_states(rows, "value", "user_id", "event_type")), "month", "event_type")
+    month = rows.select(F.date_trunc("month", "at").cast("timestamp_ntz").alias("_bucket"), F.col("event_type").alias("_type"), "value", "user_id")
+    both = month.join(written(months), (F.col("_bucket") == F.col("bucket")) & (F.col("_type") == F.col("event_type")))
+    share = lambda test: F.count_if(test) / F.count(F.lit(1))
+    fits = lambda c, q: ((share(F.col("value") < F.col(c)) <= q + reports.RANK_ERROR) & (share(F.col("value") <= F.col(c)) >= q - reports.RANK_ERROR)).alias(f"{c}_fits")
+    exact = F.count_distinct("user_id")
+    return both.groupBy("bucket", "event_type", "n", F.round("mean", 6).alias("mean")).agg(fits("median", 0.5), fits("p90", 0.9), (F.abs(F.first("distinct") - exact) <= F.greatest(4 * 0.0163 * exact, F.lit(1))).alias("distinct_fits"))
+
+
 @query("SELECT event_type AS rating, count(*) AS n FROM events GROUP BY event_type")
 def report_ratings(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.table(spark, sf, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("rating"))
@@ -1072,9 +1104,77 @@ def delete_rows(spark: SparkSession, sf: str) -> DataFrame:
     return changes.delete(snapshot, e.table(spark, sf, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("id")))
 
 
+@query(f"WITH {e.CUSTOMERS}, patches AS (SELECT o_custkey AS id, o_orderkey AS seq, o_orderkey % 4 AS k, o_orderpriority || o_orderkey AS value FROM orders), per AS (SELECT id, max_by(value, seq) FILTER (k = 0) AS first, max_by(value, seq) FILTER (k = 1) AS last, array_to_string(list(value ORDER BY seq) FILTER (k = 2), ';') AS more FROM patches GROUP BY id) SELECT customers.id, coalesce(first, \"firstName\") AS \"firstName\", coalesce(last, \"lastName\") AS \"lastName\", phone || coalesce(';' || more, '') AS phones FROM customers LEFT JOIN per ON per.id = customers.id")
+def apply_customer_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Names are replaced by the last patch, phones are added in order, other paths mean nothing here."""
+    o, at = e.table(spark, sf, "orders"), F.col("o_orderkey") % 4
+    path = F.when(at == 0, "/firstName").when(at == 1, "/lastName").when(at == 2, "/phones").otherwise("/body")
+    patches = o.select(F.col("o_custkey").alias("id"), F.when(at == 2, "add").otherwise("replace").alias("op"), path.alias("path"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("value"), F.col("o_orderkey").alias("seq"))
+    snapshot = e.customers(spark, sf).select("id", "firstName", "lastName", F.array("phone").alias("phones"))
+    return changes.apply_patches(snapshot, patches).withColumn("phones", F.array_join("phones", ";"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_nationkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' ELSE 'draft' END AS status FROM supplier")
+def apply_workflow_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses of workflows, checked before they are applied."""
+    s, at = e.table(spark, sf, "supplier"), F.col("s_nationkey") % 3
+    patches = changes.check_workflow_statuses(s.where(at < 2).select(F.col("s_suppkey").alias("id"), F.lit("replace").alias("op"), F.lit("/status").alias("path"), F.when(at == 0, "active").otherwise("inactive").alias("value"), F.lit(1).alias("seq")))
+    return changes.apply_patches(s.select(F.col("s_suppkey").alias("id"), F.lit("draft").alias("status")), patches)
+
+
+@query("SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN upper(role) END, text) AS body, CASE WHEN turn % 3 = 1 THEN 'hidden' ELSE 'active' END AS status FROM conversations")
+def apply_thread_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies and statuses of threads, whose ids are pairs."""
+    t = e.table(spark, sf, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    at = F.col("turn") % 3
+    patches = t.where(at < 2).select("id", F.lit("replace").alias("op"), F.when(at == 0, "/body").otherwise("/status").alias("path"), F.when(at == 0, F.upper("role")).otherwise("hidden").alias("value"), F.col("turn").alias("seq"))
+    return changes.apply_patches(t.select("id", F.col("text").alias("body"), F.lit("active").alias("status")), patches).select("id.conv_id", "id.turn", "body", "status")
+
+
+@query(f"WITH {e.CONV}, patched AS (SELECT id, max_by(value, seq) AS subject FROM (SELECT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS value, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS seq FROM lineitem WHERE l_orderkey % 50 = 7) GROUP BY id) SELECT conv.id, coalesce(patched.subject, conv.subject) AS subject, status FROM conv LEFT JOIN patched ON patched.id = conv.id")
+def patches_in_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored snapshot, of which patches rewrite only the buckets of the ids that they name."""
+    snapshot = e.flat_conversations(spark, sf).select("id", "subject", "status")
+    table = KeyedTable(spark, shared_path(spark), snapshot.schema, "id", 16)
+    table.change(snapshot, lambda rows, new: new, "first")
+    line = e.table(spark, sf, "lineitem").where("l_orderkey % 50 = 7")
+    patches = line.select(F.col("l_orderkey").alias("id"), F.lit("replace").alias("op"), F.lit("/subject").alias("path"), F.col("l_partkey").cast("string").alias("value"), (F.col("l_linenumber") * F.lit(1_000_000_000).cast("bigint") + F.col("l_partkey")).alias("seq"))
+    table.change(patches, changes.apply_patches, "patches")
+    return table.rows()
+
+
+@query(f"WITH {e.CONV} SELECT id, subject, status, modified_at FROM conv")
+def incremental_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads by the cursor, the first of older versions of some rows: as one full load."""
+    full = e.flat_conversations(spark, sf).select("id", "subject", "status", "modified_at")
+    halfway, changed = F.to_timestamp_ntz(F.lit("1998-06-01 00:00:00")), F.col("modified_at") >= F.to_timestamp_ntz(F.lit("1998-06-01 00:00:00"))
+    older = full.where(changed & (F.col("id") % 3 == 0)).select("id", F.lit("draft").alias("subject"), F.lit("active").alias("status"), (halfway - F.expr("INTERVAL 1 DAY")).alias("modified_at"))
+    table = KeyedTable(spark, shared_path(spark), full.schema, "id", 16)
+    load_changes(full.where(~changed).union(older), table, "modified_at", "first", store=written)
+    load_changes(full, table, "modified_at", "second", store=written)
+    load_changes(full, table, "modified_at", "second", store=written)
+    return table.rows()
+
+
 # --- streaming ---
 
 
+@query("SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 10 END AS agent_id, count(*) FILTER (o_orderstatus NOT IN ('P', 'F')) AS active, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_orderstatus = 'F') AS closed FROM orders GROUP BY 1")
+def streamed_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """Two changes of each conversation as a stream of files, some of which come late, and each file twice."""
+    o, key, at = e.table(spark, sf, "orders"), F.col("o_orderkey"), shared_path(spark)
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "closed").otherwise("active")
+    agent = F.when(key % 7 != 0, F.col("o_custkey") % 10)
+    row = lambda a, s, seq: o.select(key.alias("id"), a.alias("agent_id"), s.alias("status"), F.lit(seq).cast("bigint").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    first, last = row(F.lit(3).cast("bigint"), F.lit("active"), 1), row(agent, status, 2)
+    for rows in (first.where("id % 2 = 0"), last, last, first.where("id % 2 = 1")):
+        rows.coalesce(2).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    overviews.overview_moves(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return overviews.overview(spark.read.schema(overviews.MOVES).parquet(f"{at}/out"))
+
+
+
 @query(ORACLE_SQL["redact_customers"])
 def redact_stream_of_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers landed as files, redacted as a stream, and read again from the sink."""
