@@ -12,10 +12,14 @@ from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.scratch import written
+
 CHUNK, MIN_CONFIDENCE = 1200, 0.7
 #: Tokens that a chunk may have, and characters of the next chunk that a detector sees with it.
 MOST_TOKENS, OVERLAP = 512, 200
 BLOCK = 512
+#: Parts of a set of names, and bits of each.
+PARTS, BITS = 1024, 16384
 #: Most names of a detector that holds them in memory; any number can be found by ``names_in_texts``.
 MOST_NAMES = 200_000
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
@@ -201,23 +205,40 @@ def words_of(text: Column) -> Column:
     return _bound(_bound(pairs, cut), placed)
 
 
+def _likely(tried: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows whose ``words`` may be among those of ``lists``, by a bitmap of ``PARTS * BITS`` bits, two megabytes whatever the lists.
+
+    The bitmap is sent to the rows, so nothing is dealt out; what it lets through by chance finds no partner later.
+    """
+    part = lambda: F.pmod(F.xxhash64("words"), F.lit(PARTS))
+    bit = lambda: F.pmod(F.shiftright(F.xxhash64("words"), 10), F.lit(BITS)).cast("int")
+    set_ = lists.select(part().alias("_part"), F.shiftright(bit(), 6).alias("_long"), F.pmod(bit(), F.lit(64)).alias("_at")).distinct()
+    longs = set_.groupBy("_part", "_long").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at"))).alias("_bits"))
+    # The longs of a part stand in order, with zeros where no bit is set.
+    every = longs.select("_part").distinct().select("_part", F.explode(F.sequence(F.lit(0), F.lit(BITS // 64 - 1))).alias("_long"))
+    full = every.join(longs, ["_part", "_long"], "left").groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("_long", F.coalesce("_bits", F.lit(0).cast("bigint")).alias("_bits")))).alias("_map"))
+    maps = written(full.select("_part", F.transform("_map", lambda x: x["_bits"]).alias("_map")))
+    some = tried.withColumn("_h", part()).join(F.broadcast(maps), F.col("_h") == F.col("_part"))
+    return some.where(F.getbit(F.get("_map", F.shiftright(bit(), 6)), F.pmod(bit(), F.lit(64))) == 1).select(*tried.columns)
+
+
 def names_in_texts(texts: DataFrame, names: DataFrame, key: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """(*key, start, end, text): where names of a table (column ``name``) stand in texts, from the left, the longest first. Any number of names.
 
-    ``key`` tells texts apart; texts with equal keys count as one. A join on the first word of a name picks the
-    places where one can start; there the words that follow are joined to the names as lists of words, which is
-    exact. No Python; only words and places are dealt out, no texts. Null and empty texts and names have none.
+    ``key`` tells texts apart; texts with equal keys count as one. At each word, as many words as any name has
+    are tried where the task stands that reads the text: only those that a bitmap of the names lets through
+    are dealt out, and joined to the names as lists of words, which is exact. No Python, and no text is shuffled.
+    Null and empty texts and names have none.
     """
-    lists = names.where("name IS NOT NULL").select(F.regexp_extract_all("name", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0).distinct()
-    starts = lists.groupBy(F.col("words")[0].alias("first")).agg(F.array_sort(F.collect_set(F.size("words"))).alias("sizes"))
-    longest = lists.agg(F.max(F.size("words"))).first()[0] or 1
+    lists = written(names.where("name IS NOT NULL").select(F.regexp_extract_all("name", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0).distinct())
+    sizes = sorted(r.n for r in lists.select(F.size("words").alias("n")).distinct().collect()) or [1]
     said = texts.where(F.col(column).isNotNull()).select(*key, words_of(F.col(column)).alias("_w"))
-    after = F.transform("_w", lambda w, i: F.struct(w["word"].alias("first"), F.slice("_w", i + 1, F.lit(longest)).alias("next")))
-    places = said.select(*key, F.explode(after).alias("_p")).select(*key, F.col("_p.first").alias("first"), F.col("_p.next").alias("next")).join(starts, "first")
-    tried = places.select(*key, "next", F.explode("sizes").alias("n")).where(F.size("next") >= F.col("n")).withColumn("next", F.slice("next", F.lit(1), F.col("n")))
-    tried = tried.where(F.forall(F.slice("next", F.lit(2), F.col("n")), lambda w: w["glued"]))
-    tried = tried.select(*key, F.transform("next", lambda w: w["word"]).alias("words"), F.col("next")[0]["start"].alias("start"), F.element_at("next", -1)["end"].alias("end"))
-    found = tried.join(lists, "words", "left_semi").select(*key, F.struct("start", "end", F.array_join("words", " ").alias("text")).alias("span"))
+    starts = F.transform("_w", lambda w, i: F.slice("_w", i + 1, F.lit(sizes[-1])))
+    tried = said.select(*key, F.explode(starts).alias("next")).select(*key, "next", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size("next") >= F.col("n"))
+    tried = tried.where(F.forall(F.slice("next", F.lit(2), F.col("n") - 1), lambda w: w["glued"]))
+    words = F.transform(F.slice("next", F.lit(1), F.col("n")), lambda w: w["word"])
+    tried = tried.select(*key, words.alias("words"), F.col("next")[0]["start"].alias("start"), F.get("next", F.col("n") - 1)["end"].alias("end"))
+    found = _likely(tried, lists).join(lists, "words", "left_semi").select(*key, F.struct("start", "end", F.array_join("words", " ").alias("text")).alias("span"))
     kept = found.groupBy(*key).agg(F.collect_set("span").alias("spans")).select(*key, F.explode(without_overlap(F.col("spans"))).alias("_s"))
     return kept.select(*key, "_s.start", "_s.end", "_s.text")
 
