@@ -8,15 +8,19 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketloom.scratch import written
 
 CHUNK, MIN_CONFIDENCE = 1200, 0.7
 #: Tokens that a chunk may have, and characters of the next chunk that a detector sees with it.
 MOST_TOKENS, OVERLAP = 512, 200
+#: Texts that a task cuts at a time.
+TOGETHER = 64
 BLOCK = 512
 #: Parts of a set of names, and bits of each.
 PARTS, BITS = 1024, 16384
@@ -56,20 +60,21 @@ def chunk_text(df: DataFrame, most: int = CHUNK, most_tokens: int = MOST_TOKENS,
 
     With ``overlap`` there is also ``seen``: the chunk and so many characters that follow it.
     """
-    fields = "offsets array<int>, texts array<string>" + (", seen array<string>" if overlap else "")
+    fields = [df.schema["doc_id"], *T.StructType.fromDDL("chunk_id int, text string, offset int" + (", seen string" if overlap else "")).fields]
 
-    @F.pandas_udf(fields)
-    def chunks(texts: pd.Series) -> pd.DataFrame:
-        found = [(t or "", cuts(t or "", most, most_tokens)) for t in texts]
-        out = {"offsets": [[at for at, _ in c] for _, c in found], "texts": [[x for _, x in c] for _, c in found]}
-        if overlap:
-            out["seen"] = [[t[at : at + len(x) + overlap] for at, x in c] for t, c in found]
-        return pd.DataFrame(out)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # A few texts at a time, so that memory holds their chunks alone.
+            for first in range(0, whole.num_rows, TOGETHER):
+                batch, rows = whole.slice(first, TOGETHER), []
+                for i, t in enumerate(batch.column("text").to_pylist()):
+                    rows += [(i, k, x, at, (t or "")[at : at + len(x) + overlap]) for k, (at, x) in enumerate(cuts(t or "", most, most_tokens))]
+                row, nth, text, at, seen = zip(*rows, strict=True)
+                # Ids are taken as they are, so they are exact also next to nulls.
+                out = {"doc_id": batch.column("doc_id").take(pa.array(row)), "chunk_id": pa.array(nth, pa.int32()), "text": pa.array(text), "offset": pa.array(at, pa.int32())}
+                yield pa.RecordBatch.from_pydict(out | ({"seen": pa.array(seen)} if overlap else {}))
 
-    # Ids stay out of Python, so that they are exact also next to nulls.
-    columns = {"offsets": "offset", "texts": "text"} | ({"seen": "seen"} if overlap else {})
-    cut = df.select("doc_id", chunks("text").alias("_c")).select("doc_id", F.posexplode(F.arrays_zip(*[F.col(f"_c.{c}").alias(n) for c, n in columns.items()])).alias("chunk_id", "_c"))
-    return cut.select("doc_id", "chunk_id", "_c.text", "_c.offset", *(["_c.seen"] if overlap else []))
+    return df.select("doc_id", "text").mapInArrow(chunks, T.StructType(fields))
 
 
 Detector = Callable[[list[str]], list[list[tuple[int, int, float]]]]
@@ -124,17 +129,17 @@ def detect_names(df: DataFrame, make_detector: Callable[[], Detector], failures:
 class NameTrie:
     """A detector over a table of names in memory: a trie of their words, from which the longest name at each place is read off.
 
+    The trie is one dictionary: from the words up to a node, joined by blanks, to whether a name ends there.
     Words of a name have nothing but blanks between them; letters' case counts. The spans score 1.
     """
 
     def __init__(self, names: list[str]) -> None:
-        self.root: dict = {}
+        self.ends: dict[str, bool] = {}
         for name in names:
-            node = self.root
-            for word in _WORD.findall(name):
-                node = node.setdefault(word, {})
-            if node is not self.root:
-                node[""] = True
+            words = _WORD.findall(name)
+            for n in range(1, len(words) + 1):
+                node = " ".join(words[:n])
+                self.ends[node] = self.ends.get(node, False) or n == len(words)
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, float]]]:
         return [self.find(t) for t in texts]
@@ -143,14 +148,16 @@ class NameTrie:
         words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text)]
         out, i = [], 0
         while i < len(words):
-            node, last = self.root, None
+            node, last = words[i][0], None
             for j in range(i, len(words)):
-                if j > i and text[words[j - 1][2] : words[j][1]].strip():
+                if j > i:
+                    if text[words[j - 1][2] : words[j][1]].strip():
+                        break
+                    node = f"{node} {words[j][0]}"
+                ends = self.ends.get(node)
+                if ends is None:
                     break
-                node = node.get(words[j][0])
-                if node is None:
-                    break
-                if "" in node:
+                if ends:
                     last = j
             if last is None:
                 i += 1

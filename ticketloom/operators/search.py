@@ -20,30 +20,39 @@ def terms_of(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: term, id, tf, weight (what the term adds to a score, before its rarity); ``terms``: term, idf, bound (the most that it can add)."""
+    """``postings``: term, id, tf, length (words of the document); ``terms``: term, idf, bound (the most that it can add to a score); ``mean``: words of a document on average."""
 
     postings: DataFrame
     terms: DataFrame
+    mean: float
+
+    def weighed(self) -> DataFrame:
+        """The postings with ``weight``: what the term adds to a score, before its rarity."""
+        return self.postings.withColumn("weight", _weight(self.mean))
+
+
+def _weight(mean: float) -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
 
 
 def build_index(docs: DataFrame, id_column: str, *columns: str) -> Index:
-    """The index of the words of text columns, as tables sorted by term, so that a search reads the row groups of its terms alone.
+    """The index of the words of text columns, as stored tables.
 
-    Rows with equal ids are one document. Rows without words aren't in the index and don't count.
+    Each row is a document. Words are counted where a row is read, so each posting is dealt out once; a file of
+    postings is sorted by term, so that a search reads the pages of its terms alone. Rows without words aren't in
+    the index and don't count.
     """
     path = shared_path(docs.sparkSession)
-    words = docs.select(F.col(id_column).alias("id"), F.explode(F.flatten(F.array(*[terms_of(F.col(c)) for c in columns]))).alias("term"))
-    counted = written(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), f"{path}/counted")
-    sizes = written(counted.groupBy("id").agg(F.sum("tf").alias("length")), f"{path}/sizes")
-    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = whole.n, whole.mean or 1.0
-    norm = K1 * (1 - B + B * F.col("length") / mean)
-    weighed = counted.join(sizes.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("term", "id", "tf", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
-    postings = written(weighed.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), f"{path}/postings")
-    df = F.count(F.lit(1))
-    idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
-    terms = postings.groupBy("term").agg(idf.alias("idf"), (idf * F.max("weight")).alias("bound"))
-    return Index(postings, written(terms.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms"))
+    words = F.flatten(F.array(*[terms_of(F.col(c)) for c in columns]))
+    rows = docs.select(F.col(id_column).alias("id"), words.alias("_w")).select("id", F.size("_w").alias("length"), F.posexplode("_w").alias("_at", "term"))
+    counted = rows.groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max(F.col("_at") == 0).alias("lead"))
+    counted = written(counted.sortWithinPartitions("term", "id"), f"{path}/postings")
+    # Each document has one posting that leads.
+    whole = counted.agg(F.count_if("lead").alias("n"), F.sum(F.when(F.col("lead"), F.col("length"))).alias("words")).first()
+    n, mean = whole.n, (whole.words or 1) / (whole.n or 1)
+    idf = F.log(1 + (F.lit(n) - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5))
+    terms = counted.groupBy("term").agg(idf.alias("idf"), (idf * F.max(_weight(mean))).alias("bound"))
+    return Index(counted.drop("lead"), written(terms.sortWithinPartitions("term"), f"{path}/terms"), mean)
 
 
 def search(index: Index, queries: DataFrame, k: int = 25) -> DataFrame:
@@ -64,13 +73,14 @@ def search(index: Index, queries: DataFrame, k: int = 25) -> DataFrame:
     adds = written(known.where("need <> 'not'"))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
     adds = adds.withColumns({"nth": F.row_number().over(by_bound), "rest": F.sum("bound").over(by_bound.rowsBetween(0, Window.unboundedFollowing))})
-    first = index.postings.join(adds.where("nth = 1").select("query_id", "term", "idf"), "term").select("query_id", (F.col("idf") * F.col("weight")).alias("score"))
+    postings = index.weighed()
+    first = postings.join(adds.where("nth = 1").select("query_id", "term", "idf"), "term").select("query_id", (F.col("idf") * F.col("weight")).alias("score"))
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
     # With must terms a document needs them all, and with the first term alone it may lack some, so only the other queries have a bound.
     best = best.join(musts, "query_id", "left_anti")
     adds = adds.join(best, "query_id", "left").withColumn("essential", F.col("least").isNull() | (F.col("rest") * (1 + 1e-9) >= F.col("least")))
     adds = written(adds.select("query_id", "term", "need", "idf", "essential"))
-    hits = index.postings.join(adds, "term").select("query_id", "id", "need", "essential", (F.col("idf") * F.col("weight")).alias("score"))
+    hits = postings.join(adds, "term").select("query_id", "id", "need", "essential", (F.col("idf") * F.col("weight")).alias("score"))
     summed = hits.groupBy("query_id", "id").agg(F.sum("score").alias("score"), F.max("essential").alias("essential"), F.count_if(F.col("need") == "must").alias("has"))
     found = summed.join(musts, "query_id", "left").where(F.col("essential") & (F.col("has") == F.coalesce("n_must", F.lit(0))))
     out = index.postings.join(known.where("need = 'not'").select("query_id", "term"), "term").select(F.col("query_id").alias("_q"), F.col("id").alias("_i"))

@@ -76,7 +76,7 @@ class KeyedTable:
         new.withColumn("_bucket", self.bucket_of(self.key)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         # A bucket whose rows have all gone has no folder of its own; it points to an empty one.
         self.spark.createDataFrame([], self.schema).write.parquet(f"{self.path}/{folder}-none")
-        held = {r[0] for r in self.spark.read.parquet(f"{self.path}/{folder}").select("_bucket").distinct().collect()}
+        held = {r[0] for r in self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(f"{self.path}/{folder}").select("_bucket").distinct().collect()}
         said = [(version, batch, b, f"{folder}/_bucket={b}" if b in held else f"{folder}-none") for b in touched]
         entry = self.spark.createDataFrame(said, "version bigint, batch string, bucket int, folder string")
         high = changes.agg(mark).first()[0] if mark is not None else None
