@@ -331,7 +331,7 @@ def test_a_name_over_an_edge_is_found_once(spark):
     """Chunks of 1,200 characters and of 512 tokens; the name starts in one and ends in the next."""
     for text in ("x" * 1190 + " Ann Lee Bo " + "y" * 1300, "x " * 511 + "Ann Lee Bo " + "y " * 40):
         df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-        chunks = [r.text for r in names.chunk_text(df).orderBy("chunk_id").collect()]
+        chunks = [r.text for r in names.chunk_text(df, most_tokens=names.MOST_TOKENS).orderBy("chunk_id").collect()]
         assert "".join(chunks) == text and len(chunks) > 1 and all(len(re.findall(r"\w+|[^\w\s]", c)) <= 512 for c in chunks)
         assert not any("Ann Lee Bo" in c for c in chunks)
         table = spark.createDataFrame([("Ann Lee Bo",), ("Bo",), ("Lee Bo",)], "name string")

@@ -33,18 +33,18 @@ LABELS = ("O", "B-PER", "I-PER", "B-LOC", "I-LOC", "B-ORG", "I-ORG")
 _SPECIAL = "<>{}()[];:,./\\|!@#$%^&*=+?\"'`~"
 
 
-def _fits(text: str, most: int, most_tokens: int) -> int:
-    """How much of a text's start is at most ``most`` characters and ``most_tokens`` tokens (words and single marks)."""
-    if len(text) <= min(most, most_tokens):
-        return len(text)
+def _fits(text: str, most: int, most_tokens: int | None) -> int:
+    """How much of a text's start is at most ``most`` characters and, if given, ``most_tokens`` tokens (words and single marks)."""
+    if most_tokens is None or len(text) <= min(most, most_tokens):
+        return min(most, len(text))
     after = next(itertools.islice(_TOKEN.finditer(text, 0, most), most_tokens, None), None)
     return after.start() if after else min(most, len(text))
 
 
-def cuts(text: str, most: int = CHUNK, most_tokens: int = MOST_TOKENS) -> list[tuple[int, str]]:
+def cuts(text: str, most: int = CHUNK, most_tokens: int | None = None) -> list[tuple[int, str]]:
     """(offset, chunk) pairs that join to the text, cut after the last newline, else blank, else special character of what fits.
 
-    A chunk has at most ``most`` characters and ``most_tokens`` tokens, so nothing is lost to a model's limit.
+    A chunk has at most ``most`` characters and, if given, ``most_tokens`` tokens, so that nothing is lost to a model's limit.
     """
     out, at = [], 0
     while (fits := _fits(text[at : at + most + 1], most, most_tokens)) < len(text) - at:
@@ -55,7 +55,7 @@ def cuts(text: str, most: int = CHUNK, most_tokens: int = MOST_TOKENS) -> list[t
     return [*out, (at, text[at:])]
 
 
-def chunk_text(df: DataFrame, most: int = CHUNK, most_tokens: int = MOST_TOKENS, overlap: int = 0) -> DataFrame:
+def chunk_text(df: DataFrame, most: int = CHUNK, most_tokens: int | None = None, overlap: int = 0) -> DataFrame:
     """A row (doc_id, chunk_id, text, offset) for each chunk; cut points depend on each other, so this is a Python stream.
 
     With ``overlap`` there is also ``seen``: the chunk and so many characters that follow it.
@@ -118,7 +118,7 @@ def detect_names(df: DataFrame, make_detector: Callable[[], Detector], failures:
 
     # A document is known by its id and text; rows that are there twice would only give their names twice.
     rows = df.select("doc_id", "text").withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("th")))
-    said = chunk_text(rows, most, overlap=max(1, overlap)).withColumn("_f", spans("seen"))
+    said = chunk_text(rows, most, MOST_TOKENS, max(1, overlap)).withColumn("_f", spans("seen"))
     said = said.select("doc_id", "text", "seen", "offset", F.explode(F.arrays_zip(F.col("_f.starts").alias("s"), F.col("_f.ends").alias("e"), F.col("_f.scores").alias("score"))).alias("_f"))
     name = F.substring(F.col("seen"), F.col("_f.s") + 1, F.col("_f.e") - F.col("_f.s"))
     own = said.where(F.col("_f.s") < F.length("text")).select("doc_id", F.struct((F.col("offset") + F.col("_f.s")).alias("start"), (F.col("offset") + F.col("_f.e")).alias("end"), name.alias("text"), F.col("_f.score").alias("score")).alias("span"))
