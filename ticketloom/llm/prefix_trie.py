@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm.common import placed, written
 
-CAP, BLOCK = 8192, 1024
+CAP, BLOCK = 1024, 1024
 NODES = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
 NONE = hashlib.sha256(b"").hexdigest()
 
