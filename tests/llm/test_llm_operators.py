@@ -54,13 +54,33 @@ def test_decontamination(spark):
     got = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        n, hit, found = brute_hits(t, [x for x in items if x[0] is not None])
+        n, hit, found = brute_hits(t, items)
+        found = [x for x in found if x != "None"]
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), sha(",".join(found)), hit > 0), t
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert not any(r.contaminated for r in decontaminate.contamination(docs, none).collect())
     assert decontaminate.contamination(docs.where("false"), none).count() == 0
 
 
+def test_items_that_repeat_words(spark):
+    """Items of one word, of a short period and with windows that come back, in documents that repeat them."""
+    items = [(1, "a " * 40), (2, "a b c " * 12), (3, "x y z p q r s t u v w x y z p q r s t u v w k"), (None, "lost " * 15)]
+    texts = ["a " * 55, "c a b " * 9, "x y z p q r s t u v w k", "lost " * 12 + "a " * 9, "b a " * 30, "u v w x y z p q r s t u v w k " * 2]
+    got = {r.doc_id: r for r in decontaminate.contamination(rows_of(spark, *texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        n, hit, found = brute_hits(t, items)
+        found = [x for x in found if x != "None"]
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), sha(",".join(found)), hit > 0), t
+
+
+def test_long_texts_of_one_word(spark):
+    """A document of 8,000 equal words against an item of 2,000: as many lookups as words."""
+    docs = spark.createDataFrame([(1, "so " * 8000), (2, "so " * 9)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, spark.createDataFrame([(7, "so " * 2000)], "item_id bigint, text string")).collect()}
+    items = decontaminate.benchmark_items(spark.createDataFrame([(7, "so " * 2000)], "item_id bigint, text string")).first()
+    assert got == {1: 8000, 2: 0} and items.starts == [0] and len(items.asked) == 10
+
+
 def test_repeated_ids_keep_their_own_hits(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (1, "gamma"), (None, "alpha beta"), (1, "alpha beta")], "doc_id bigint, text string")
     got = decontaminate.contamination(docs, spark.createDataFrame([(7, "alpha beta")], "item_id bigint, text string"))

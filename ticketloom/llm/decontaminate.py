@@ -36,10 +36,21 @@ def _short(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
 
-def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item (a key), item_id, words (hashes) and n of each distinct item with words; rows without an id are left out."""
-    items = held(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text"), words=word_hashes(F.col("text")))
-    return items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n")).where("n > 0").distinct()
+def benchmark_items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item (a key), item_id, words (hashes), n, starts and asked of each distinct item with words; the id may be null.
+
+    ``starts`` are the places of its distinct windows, each at its first; ``asked`` the places and words that they
+    cover. What an item repeats is looked for once.
+    """
+    items = held(benchmark.select("item_id", "text"), words=word_hashes(F.col("text")))
+    items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n")).where("n > 0").distinct()
+    w = F.least(F.col("n"), F.lit(window))
+    grams = F.transform(F.sequence(F.lit(0), F.col("n") - w), lambda s: F.slice("words", s + 1, w))
+    first = items.select("item", F.posexplode(grams).alias("s", "gram")).groupBy("item", "gram").agg(F.min("s").alias("s"))
+    starts = first.groupBy(F.col("item").alias("_of")).agg(F.array_sort(F.collect_list("s")).alias("starts"))
+    kept = items.withColumn("w", w).join(starts, F.col("item") == F.col("_of"))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("w") - 1))))
+    return kept.select("item", "item_id", "words", "n", "starts", F.transform(covered, lambda i: F.struct(i.alias("i"), F.get("words", i).alias("h"))).alias("asked"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -63,14 +74,14 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
     """
     found = index.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     w = F.least(F.col("n"), F.lit(window))
-    starts = items.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("s"), w.alias("w"))
-    terms = starts.select("item", "words", "s", "w", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("w") - 1)).alias("at"))
-    terms = terms.select("*", F.get(F.col("words"), F.col("at")).alias("h")).join(found, "h", "left")
-    rare = terms.groupBy("item", "words", "s", "w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at")).alias("r")).where("r.df > 0")
+    grams = F.transform("starts", lambda s: F.struct(s.alias("s"), F.slice("words", s + 1, w).alias("gram")))
+    starts = items.select("item", w.alias("w"), F.explode(grams).alias("_g")).select("item", "w", "_g.s", "_g.gram")
+    terms = starts.select("item", "s", "w", "gram", F.posexplode("gram").alias("at", "h")).join(found, "h", "left")
+    rare = terms.groupBy("item", "s", "w", "gram").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at")).alias("r")).where("r.df > 0")
     # The last word of a window is looked up as the neighbour of the word before it.
-    at = F.when(F.col("w") == 1, F.col("r.at")).otherwise(F.least(F.col("r.at"), F.col("s") + F.col("w") - 2))
-    rare = rare.select("item", "words", "w", at.alias("at"))
-    return rare.select("item", "at", F.get(F.col("words"), F.col("at")).alias("h"), F.when(F.col("w") > 1, _short(F.get(F.col("words"), F.col("at") + 1))).alias("next")).distinct()
+    at = F.when(F.col("w") == 1, F.col("r.at")).otherwise(F.least(F.col("r.at"), F.col("w") - 2))
+    rare = rare.select("item", "s", "w", "gram", at.alias("at"))
+    return rare.select("item", (F.col("s") + F.col("at")).alias("at"), F.get(F.col("gram"), F.col("at")).alias("h"), F.when(F.col("w") > 1, _short(F.get(F.col("gram"), F.col("at") + 1))).alias("next")).distinct()
 
 
 def alignments(index: DataFrame, looked: DataFrame) -> DataFrame:
@@ -96,10 +107,11 @@ def among(index: DataFrame, found: DataFrame) -> DataFrame:
 def occurrences(index: DataFrame, found: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, th, item_id, start, end) of the maximal runs of a window's length or more in which item and document agree.
 
-    Each alignment asks for all words of its item at their shifted places; the join with the postings keeps
-    those that are there, and what stands in a row is a run.
+    Each alignment asks for the words of its item's distinct windows at their shifted places; the join with the
+    postings keeps those that are there, and what stands in a row is a run.
     """
-    asked = found.join(items, "item").select("doc", "th", "item", "item_id", "shift", F.least("n", F.lit(window)).alias("w"), F.posexplode("words").alias("i", "h"))
+    asked = found.join(items, "item").select("doc", "th", "item", "item_id", "shift", F.least("n", F.lit(window)).alias("w"), F.explode("asked").alias("_a"))
+    asked = asked.select("doc", "th", "item", "item_id", "shift", "w", F.col("_a.i").alias("i"), F.col("_a.h").alias("h"))
     there = asked.withColumn("pos", F.col("shift") + F.col("i")).join(among(index.select("doc", "th", "pos", "h"), found), ["doc", "th", "pos", "h"])
     # Of documents that are there twice the postings are too, so ranks are dense.
     order = Window.partitionBy("doc", "th", "item", "shift").orderBy("i")
@@ -114,12 +126,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     consecutive words, or all words of an item with fewer. A null or wordless text has no words, an item
     without words no windows; an empty benchmark leaves every document clean, and an empty ``docs`` gives no
     rows. Repeated rows all get their result; ids that share a window are all named. Other columns stay,
-    but those named like an added one, in any case, are replaced. Benchmark rows with a null item_id are
-    not searched, as in the SQL oracle: documents that hold their passages alone count as clean.
+    but those named like an added one, in any case, are replaced. Passages of benchmark rows with a null
+    item_id are hit like any other; there is no id to count or name. Texts and items of any length are read
+    whole, and what they repeat is looked for once.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs"]
     rows, own = boxed(docs, ["doc_id", "text"], made)
-    items = written(benchmark_items(benchmark))
+    items = written(benchmark_items(benchmark, window))
     index = build_index(docs, items.select(F.explode("words").alias("h")).distinct())
     # A written table has a known size, so that Spark can send it to the postings instead of dealing those out.
     looked = written(anchors(items, index, window))
@@ -129,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     df = df.join(by_doc, ["doc", "th"], "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
     spans = F.sort_array(F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end"))))
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("n")), lambda a, r: F.struct(F.greatest(a.at, r.end).alias("at"), (a.n + F.greatest(r.end - F.greatest(a.at, r.start), F.lit(0))).alias("n")), lambda a: a.n)
-    df = held(df, n_hit=covered, _items=F.sort_array(F.array_distinct(F.transform("runs", lambda r: r.item_id.cast("string")))))
+    df = held(df, n_hit=covered, _items=F.sort_array(F.array_distinct(F.array_compact(F.transform("runs", lambda r: r.item_id.cast("string"))))))
     return unboxed(
         df,
         own,

@@ -134,7 +134,7 @@ def _hits(rank: int, rule: secret_scan.Rule) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
-WITH items AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark),
 starts AS (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM items WHERE len(ws) > 0),
 windows AS (SELECT DISTINCT item_id, k, array_to_string(ws[s : s + k - 1], ' ') AS gram FROM starts),
 docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
@@ -142,7 +142,7 @@ places AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM doc
 grams AS (SELECT doc_id, k, s, array_to_string(ws[s : s + k - 1], ' ') AS gram FROM places),
 hits AS (SELECT doc_id, s, grams.k AS k, item_id FROM grams JOIN windows ON windows.gram = grams.gram AND windows.k = grams.k),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words ON words.doc_id = docs.doc_id LEFT JOIN named ON named.doc_id = docs.doc_id""",
     "benchmark_proximity": f"""
