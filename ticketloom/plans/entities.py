@@ -88,8 +88,8 @@ TEXT_THREADS = """tthreads AS (SELECT conv_id, turn AS pos, CASE role WHEN 'user
   turn % 3 = 0 AS has_file, conv_id * 100 + turn AS file_id, 'file' || turn || '.pdf' AS filename, length(text) AS size FROM conversations)"""
 
 
-#: How texts open: two words, and up to three.
-_TWO, _THREE = r"^([\p{L}\p{N}]+) ([\p{L}\p{N}]+)", r"^([\p{L}\p{N}]+ [\p{L}\p{N}]+(?: [\p{L}\p{N}]+)?)"
+#: The two words that a text opens with.
+_TWO = r"^([\p{L}\p{N}]+) ([\p{L}\p{N}]+)"
 
 
 def openers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +103,26 @@ OPENERS = rf"""openers AS (SELECT conv_id, first, last, lower(first || '.' || la
   FROM (SELECT conv_id, regexp_extract(text, '{_TWO}', 1) AS first, regexp_extract(text, '{_TWO}', 2) AS last FROM conversations WHERE turn = 0) WHERE first <> '')"""
 
 
+#: Two and three words of which the first has a capital.
+_NAME_TWO, _NAME_THREE = r"\p{Lu}\p{L}+ \p{L}+", r"\p{Lu}\p{L}+ \p{L}+ \p{L}+"
+
+
 def spoken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of two and three words, as turns open with them."""
-    t = table(spark, sf_dir, "conversations")
-    two, three = F.concat_ws(" ", F.regexp_extract("text", _TWO, 1), F.regexp_extract("text", _TWO, 2)), F.regexp_extract("text", _THREE, 1)
-    return t.select(F.trim(F.when(F.col("turn") % 2 == 0, two).otherwise(three)).alias("name")).where("name <> ''").distinct()
+    """Names of two and three words, as the benchmark's texts have them; documents and turns repeat some."""
+    t = table(spark, sf_dir, "benchmark")
+    said = F.when(F.col("item_id") % 2 == 0, F.regexp_extract_all("text", F.lit(_NAME_TWO), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_NAME_THREE), F.lit(0)))
+    return t.select(F.explode(said).alias("name")).distinct()
+
+
+SPOKEN_NAMES = f"spoken AS (SELECT DISTINCT name FROM (SELECT unnest(CASE WHEN item_id % 2 = 0 THEN regexp_extract_all(text, '{_NAME_TWO}') ELSE regexp_extract_all(text, '{_NAME_THREE}') END) AS name FROM benchmark))"
+
+
+def turn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These names, and those of the persons that conversations open with."""
+    return spoken_names(spark, sf_dir).union(openers(spark, sf_dir).select(F.concat_ws(" ", "first", "last").alias("name"))).distinct()
 
 
-SPOKEN_NAMES = rf"""spoken AS (SELECT DISTINCT name FROM (SELECT trim(CASE WHEN turn % 2 = 0 THEN regexp_extract(text, '{_TWO}', 1) || ' ' || regexp_extract(text, '{_TWO}', 2) ELSE regexp_extract(text, '{_THREE}', 1) END) AS name FROM conversations) WHERE name <> '')"""
+TURN_NAMES = f"{OPENERS}, {SPOKEN_NAMES.replace('spoken AS', 'said AS')}, spoken AS (SELECT name FROM said UNION SELECT first || ' ' || last FROM openers)"
 
 
 def timed_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

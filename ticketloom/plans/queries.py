@@ -827,10 +827,10 @@ def _known_sql(text: str, key: str, first: str | None = None, last: str | None =
     return text
 
 
-def found_sql(table: str, key: str, column: str) -> str:
+def found_sql(table: str, key: str, column: str, spoken: str = e.SPOKEN_NAMES) -> str:
     """Common table expressions up to ``kept``: the spans (s, e, t) of spoken names in each text, from the left, the longest first."""
     word = names.WORD.replace("'", "''")
-    return rf"""{e.SPOKEN_NAMES}, cut AS (SELECT {key}, regexp_split_to_array({column}, '{word}') AS gaps, regexp_extract_all({column}, '{word}') AS found FROM {table}),
+    return rf"""{spoken}, cut AS (SELECT {key}, regexp_split_to_array({column}, '{word}') AS gaps, regexp_extract_all({column}, '{word}') AS found FROM {table}),
 w0 AS (SELECT {key}, unnest(found) AS w, unnest(gaps[1 : len(found)]) AS g, generate_subscripts(found, 1) AS i FROM cut),
 w AS (SELECT *, CAST(sum(length(g) + length(w)) OVER (PARTITION BY {key} ORDER BY i) AS INTEGER) AS e, regexp_full_match(g, '\s+') AS glued FROM w0),
 near AS (SELECT {key}, e - length(w) AS s, e, w, lead(w) OVER o AS w2, lead(e) OVER o AS e2, lead(glued) OVER o AS g2, lead(w, 2) OVER o AS w3, lead(e, 2) OVER o AS e3, lead(glued, 2) OVER o AS g3 FROM w WINDOW o AS (PARTITION BY {key} ORDER BY i)),
@@ -855,7 +855,7 @@ def _messages_sql() -> str:
     step = f"CASE WHEN {skip} THEN a ELSE {{'t': {swapped}, 'put': list_append(a.put, {name[0]} || ' ' || {name[1]}), 'keep': a.keep}} END"
     none = "CAST([] AS VARCHAR[])"
     said = f"list_transform(list_distinct_in_order, lambda x: {{'t': x, 'put': {none}, 'keep': {none}}})"
-    return _rules_sql(f"""(WITH {e.OPENERS}, {found_sql("conversations", "conv_id, turn", "text")},
+    return _rules_sql(f"""(WITH {found_sql("conversations", "conv_id, turn", "text", e.TURN_NAMES)},
 named AS (SELECT conv_id, turn, list_transform(list_filter(spans, lambda x, i: NOT list_contains(list_transform(spans[1 : i - 1], lambda y: y.t), x.t)), lambda x: x.t) AS list_distinct_in_order FROM kept),
 known AS (SELECT m.conv_id, m.turn, {t} AS t, CASE WHEN c.conv_id IS NULL THEN {none} ELSE {put} END AS put, CASE WHEN a.conv_id IS NULL THEN {none} ELSE {kept} END AS keep
   FROM conversations m LEFT JOIN openers c ON c.conv_id = m.conv_id LEFT JOIN openers a ON a.conv_id = m.conv_id + 1)
@@ -877,7 +877,7 @@ def _opened_conversations(spark: SparkSession, sf: str) -> DataFrame:
 def redact_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of all conversations: persons of each conversation, names of a table found in the texts, then the rules, in one job."""
     threads = e.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lit(None).cast(redaction.IDENTITY).alias("author"))
-    return redaction.redact_threads(threads, _opened_conversations(spark, sf), e.spoken_names(spark, sf), "customers", "text", ("conv_id", "turn")).select("conv_id", "turn", "text")
+    return redaction.redact_threads(threads, _opened_conversations(spark, sf), e.turn_names(spark, sf), "customers", "text", ("conv_id", "turn")).select("conv_id", "turn", "text")
 
 
 @query(_rules_sql("conversations", "conv_id, turn", "text"))
@@ -1002,10 +1002,10 @@ def gazetteer_names(spark: SparkSession, sf: str) -> DataFrame:
     return names.gazetteer_names(e.table(spark, sf, "documents"), e.spoken_names(spark, sf))
 
 
-@query(f"WITH {found_sql('conversations', 'conv_id, turn', 'text')} SELECT conv_id, turn, x.s AS start, x.e AS \"end\", x.t AS text FROM (SELECT conv_id, turn, unnest(spans) AS x FROM kept)")
+@query(f"WITH {found_sql('conversations', 'conv_id, turn', 'text', e.TURN_NAMES)} SELECT conv_id, turn, x.s AS start, x.e AS \"end\", x.t AS text FROM (SELECT conv_id, turn, unnest(spans) AS x FROM kept)")
 def names_in_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Names of a table in all turns: a hash join of the words of names and texts."""
-    return names.names_in_texts(e.table(spark, sf, "conversations"), e.spoken_names(spark, sf), ("conv_id", "turn"))
+    return names.names_in_texts(e.table(spark, sf, "conversations"), e.turn_names(spark, sf), ("conv_id", "turn"))
 
 
 @query(f"""WITH {found_sql('documents', 'doc_id', 'text')} SELECT doc_id, x.s AS start, x.e AS "end", substr(text, x.s + 1, x.e - x.s) AS text, CAST(1.0 AS DOUBLE) AS score FROM (SELECT doc_id, unnest(spans) AS x FROM kept) JOIN documents USING (doc_id)""")
