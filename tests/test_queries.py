@@ -48,3 +48,14 @@ def test_every_query_has_an_oracle():
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "agent", "email", "active", "pending", "closed"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_oracle_is_empty():
+    """Rows on both sides, so that an equal result shows something."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    at = SF.replace("sf0.001", "sf0.01")
+    for f in os.listdir(at):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{at}/{f}'")
+    empty = [name for name, sql in queries.ORACLE_SQL.items() if not con.sql(sql).limit(1).fetchall()]
+    assert not empty

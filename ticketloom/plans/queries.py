@@ -360,13 +360,13 @@ def shown_values(spark: SparkSession, sf: str) -> DataFrame:
 
 def _plain_view(resource: str, columns: list[tuple[str, str]]) -> None:
     """A plain view over customers whose fields say what they are."""
-    value = {"id": ("c_custkey", F.col("c_custkey")), "siteId": ("c_nationkey", F.col("c_nationkey")), "order": ("c_custkey % 7", F.col("c_custkey") % 7)}
-    sql = ", ".join(f"{value[c][0] if c in value else chr(39) + c + chr(39) + ' || c_custkey'} AS \"{shown}\"" for c, shown in columns)
+    value = {"id": "c_custkey", "siteId": "c_nationkey", "order": "c_custkey % 7"}
+    sql = ", ".join(f"{value[c] if c in value else chr(39) + c + chr(39) + ' || c_custkey'} AS \"{shown}\"" for c, shown in columns)
 
     @query(f"SELECT {sql} FROM customer", f"view_{resource}")
     def shown(spark: SparkSession, sf: str) -> DataFrame:
         key = F.col("c_custkey").cast("string")
-        fields = [value[c][1].alias(c) if c in value else F.concat(F.lit(c), key).alias(c) for c, _ in columns]
+        fields = [F.expr(value[c]).alias(c) if c in value else F.concat(F.lit(c), key).alias(c) for c, _ in columns]
         return views.view(e.table(spark, sf, "customer").select(*fields, F.lit("hidden").alias("_links")), resource)
 
 
