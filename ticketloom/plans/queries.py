@@ -1020,18 +1020,19 @@ def detect_names(spark: SparkSession, sf: str) -> DataFrame:
 @query(rf"""WITH words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL), sizes AS (SELECT id, sum(tf) AS len FROM tf GROUP BY id),
 stats AS (SELECT count(*) AS n, avg(len) AS mean FROM sizes), idf AS (SELECT term, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
-{e.OPENERS.replace("turn = 0)", "turn = 0 AND (conv_id % 100 = 0 OR conv_id % 100 = 1))")}, asked AS (SELECT conv_id AS q, lower(first) AS term, CASE WHEN conv_id % 200 = 0 THEN 'must' ELSE 'should' END AS need FROM openers WHERE conv_id % 100 = 0 UNION ALL SELECT conv_id, lower(last), 'should' FROM openers WHERE conv_id % 100 = 0 UNION ALL SELECT conv_id - 1, lower(last), 'not' FROM openers WHERE conv_id % 100 = 1),
+opening AS (SELECT item_id AS q, regexp_extract(text, '{e._TWO}', 1) AS first, regexp_extract(text, '{e._TWO}', 2) AS last FROM benchmark),
+asked AS (SELECT q, lower(first) AS term, CASE WHEN q % 2 = 0 THEN 'must' ELSE 'should' END AS need FROM opening WHERE first <> '' UNION ALL SELECT q, lower(last), 'should' FROM opening WHERE first <> '' UNION ALL SELECT q - 1, lower(last), 'not' FROM opening WHERE first <> '' AND q % 5 = 1),
 terms AS (SELECT q, term, min(CASE need WHEN 'not' THEN 0 WHEN 'must' THEN 1 ELSE 2 END) AS need FROM asked GROUP BY q, term), wanted AS (SELECT q, count(*) FILTER (need = 1) AS n FROM terms GROUP BY q),
 hits AS (SELECT q, id, need, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM terms JOIN tf USING (term) JOIN sizes USING (id) JOIN idf USING (term), stats),
 sums AS (SELECT q, id, sum(score) AS score FROM hits JOIN wanted USING (q) GROUP BY q, id, n HAVING count(*) FILTER (need = 0) = 0 AND count(*) FILTER (need = 1) = n),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS r FROM sums)
 SELECT q AS query_id, id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE r <= 10""")
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten best documents for the opening words of each hundredth conversation, without those that have a word of the next one's."""
+    """The ten best documents for the opening words of each benchmark text, for some without those that have a word of the next one's."""
     index = search.build_index(e.table(spark, sf, "documents"), "doc_id", "text")
-    o, q = e.openers(spark, sf), F.col("conv_id")
-    some = o.where(q % 100 == 0)
-    asked = some.select(q.alias("query_id"), F.col("first").alias("term"), F.when(q % 200 == 0, "must").otherwise("should").alias("need")).union(some.select(q, "last", F.lit("should"))).union(o.where(q % 100 == 1).select(q - 1, "last", F.lit("not")))
+    first, last = (F.regexp_extract("text", e._TWO, i) for i in (1, 2))
+    o, q = e.table(spark, sf, "benchmark").select("item_id", first.alias("first"), last.alias("last")).where("first <> ''"), F.col("item_id")
+    asked = o.select(q.alias("query_id"), F.col("first").alias("term"), F.when(q % 2 == 0, "must").otherwise("should").alias("need")).union(o.select(q, "last", F.lit("should"))).union(o.where(q % 5 == 1).select(q - 1, "last", F.lit("not")))
     return search.search(index, asked, 10)
 
 
