@@ -74,7 +74,9 @@ def search(index: Index, queries: DataFrame, k: int = 25) -> DataFrame:
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
     adds = adds.withColumns({"nth": F.row_number().over(by_bound), "rest": F.sum("bound").over(by_bound.rowsBetween(0, Window.unboundedFollowing))})
     postings = index.weighed()
-    first = postings.join(adds.where("nth = 1").select("query_id", "term", "idf"), "term").select("query_id", (F.col("idf") * F.col("weight")).alias("score"))
+    out = index.postings.join(known.where("need = 'not'").select("query_id", "term"), "term").select(F.col("query_id").alias("_q"), F.col("id").alias("_i"))
+    allowed = lambda df: df.join(out, (F.col("query_id") == F.col("_q")) & F.col("id").eqNullSafe(F.col("_i")), "left_anti")
+    first = allowed(postings.join(adds.where("nth = 1").select("query_id", "term", "idf"), "term")).select("query_id", (F.col("idf") * F.col("weight")).alias("score"))
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
     # With must terms a document needs them all, and with the first term alone it may lack some, so only the other queries have a bound.
     best = best.join(musts, "query_id", "left_anti")
@@ -83,7 +85,6 @@ def search(index: Index, queries: DataFrame, k: int = 25) -> DataFrame:
     hits = postings.join(adds, "term").select("query_id", "id", "need", "essential", (F.col("idf") * F.col("weight")).alias("score"))
     summed = hits.groupBy("query_id", "id").agg(F.sum("score").alias("score"), F.max("essential").alias("essential"), F.count_if(F.col("need") == "must").alias("has"))
     found = summed.join(musts, "query_id", "left").where(F.col("essential") & (F.col("has") == F.coalesce("n_must", F.lit(0))))
-    out = index.postings.join(known.where("need = 'not'").select("query_id", "term"), "term").select(F.col("query_id").alias("_q"), F.col("id").alias("_i"))
-    found = found.join(out, (F.col("query_id") == F.col("_q")) & F.col("id").eqNullSafe(F.col("_i")), "left_anti")
+    found = allowed(found)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
