@@ -67,7 +67,8 @@ def person_key(first: Column | str, last: Column | str, email: Column | str, pho
 def fake_person(key: Column | str, secret: str = "") -> Column:
     """struct(first, last, email) for a key."""
     h = hash_hex(F.concat(F.lit("person|"), _c(key)), secret)
-    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), hash_byte(h, i) % len(names) + 1)
+    # One literal for each list, which the optimizer folds into an array; a literal for each name would make plans slow to build.
+    pick = lambda names, i: F.element_at(F.split(F.lit(",".join(names)), ","), hash_byte(h, i) % len(names) + 1)
     first, last = pick(FIRST_NAMES, 0), pick(LAST_NAMES, 1)
     # All names of the lists are one word, so their slugs are their lower case.
     email = F.concat(F.lower(first), F.lit("."), F.lower(last), F.lit("-"), F.substring(h, 5, 4), F.lit("@anon.local"))
