@@ -408,6 +408,18 @@ def test_positive_unlabelled_risk_finds_the_marker():
     assert toxicity.raw(model, "river vile") > np.log(0.7 / 0.3) > toxicity.raw(model, "river stone")
 
 
+def test_sums_over_a_table_are_those_of_its_rows(spark):
+    words = ["river", "stone", "vile"]
+    docs = rows_of(spark, None, "", "river", "vile river", "River vile", "stone " * 30_000, *["vile stone"] * 500)
+    whole, w, b = toxicity.Everywhere(docs, words, docs.count()), np.array([0.5, -1.0, 3.0]), -0.25
+    assert whole.lists.count() == 5
+    rows = toxicity.Sample([[], [], [0], [0, 2], [0, 2], [1], *[[1, 2]] * 500])
+    (loss, gradient), (found, by_word) = rows.negative(w, b), whole.negative(w, b)
+    assert abs(loss - found) < 1e-4 and np.abs(gradient - by_word).max() < 1e-4
+    scores, counts = whole.spread(w, b)
+    assert counts.sum() == 506 and np.abs(np.repeat(scores, counts.astype(int)) - np.sort(rows.scores(w, b))).max() <= 0.5 / toxicity.BINS
+
+
 def test_prior_is_bounded_by_the_words_of_positives():
     in_p, in_u = {"vile": 90, "the": 100, "rare": 4, **{f"chance{k}": 11 for k in range(9)}}, {"vile": 1000, "the": 9900, "rare": 4, **{f"chance{k}": 110 for k in range(9)}}
     assert 0.1 <= toxicity.class_prior({k: n for k, n in in_p.items() if "chance" not in k}, 100, in_u, 10_000) <= 0.13
@@ -416,7 +428,7 @@ def test_prior_is_bounded_by_the_words_of_positives():
 
 def test_a_cut_that_finds_next_to_nothing_is_worth_nothing():
     """Few positives score higher than any unlabelled row; the cut still goes where most positives are."""
-    model = toxicity.calibrated(toxicity.ToxicityModel({}, 0.0), np.r_[np.full(4, 9.0), np.full(96, 3.0)], np.r_[np.full(100, 3.0), np.zeros(900)], 0.1)
+    model = toxicity.calibrated(toxicity.ToxicityModel({}, 0.0), np.r_[np.full(4, 9.0), np.full(96, 3.0)], np.array([3.0, 0.0]), np.array([100, 900]), 0.1)
     assert 0 < np.log(0.7 / 0.3) - model.bias < 3
 
 
