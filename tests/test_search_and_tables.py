@@ -123,6 +123,16 @@ def test_status_history(spark):
     assert changes.open_by_day(history.where("false")).count() == 0
 
 
+def test_status_history_of_ties(spark):
+    """Changes of one time and place in the log count in the order of their statuses, in whatever order they are read."""
+    day = timedelta(days=1)
+    log = [(1, "closed", T0, 1), (1, "active", T0, 1), (1, "pending", T0 + day, 2), (2, "pending", T0, 1), (2, None, T0, 1), (2, "closed", T0, 1)]
+    for rows in (log, log[::-1]):
+        df = spark.createDataFrame(rows, "id int, status string, at timestamp_ntz, seq int").coalesce(1)
+        got = sorted((r.id, r.status, r.start, r.end or T0) for r in changes.status_history(df).collect())
+        assert got == [(1, "closed", T0, T0 + day), (1, "pending", T0 + day, T0), (2, "pending", T0, T0)]
+
+
 def test_redirect_chains(spark):
     """A chain of a thousand hops, loops, what leads into them, other sites, repeats and nulls."""
     chain = [("a", f"u{i}", f"u{i + 1}") for i in range(1000)]

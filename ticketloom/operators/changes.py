@@ -55,10 +55,11 @@ def delete(snapshot: DataFrame, ids: DataFrame) -> DataFrame:
 def status_history(log: DataFrame) -> DataFrame:
     """(id, status, start, end): the time that each id was in each status, from a log (id, status, at, seq).
 
-    Changes count in the order of at, then seq; equal statuses in a row are one interval; the last has no end.
+    Changes count in the order of at, then seq, then status, nulls first, so that no order is left to chance;
+    equal statuses in a row are one interval; the last has no end.
     Intervals may be empty, where a status is left at the time that it was entered; these are left out.
     """
-    order = Window.partitionBy("id").orderBy("at", "seq")
+    order = Window.partitionBy("id").orderBy("at", "seq", "status")
     fresh = log.withColumn("_before", F.lag(F.struct("status")).over(order)).where(F.col("_before").isNull() | ~F.col("_before.status").eqNullSafe(F.col("status")))
     held = fresh.select("id", "status", F.col("at").alias("start"), F.lead("at").over(order).alias("end"))
     return held.where(F.col("end").isNull() | (F.col("start") < F.col("end")))

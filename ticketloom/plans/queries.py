@@ -1040,8 +1040,8 @@ def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LOG = "log AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN 'closed' WHEN 'A' THEN 'pending' ELSE 'active' END AS status, l_shipdate AS ts, l_linenumber AS seq FROM lineitem)"
-_HISTORY = f"""{_LOG}, fresh AS (SELECT * FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY ts, seq) AS before FROM log) WHERE before IS DISTINCT FROM status),
-history AS (SELECT * FROM (SELECT id, status, ts AS start, lead(ts) OVER (PARTITION BY id ORDER BY ts, seq) AS "end" FROM fresh) WHERE "end" IS NULL OR start < "end")"""
+_HISTORY = f"""{_LOG}, fresh AS (SELECT * FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY ts NULLS FIRST, seq NULLS FIRST, status NULLS FIRST) AS before FROM log) WHERE before IS DISTINCT FROM status),
+history AS (SELECT * FROM (SELECT id, status, ts AS start, lead(ts) OVER (PARTITION BY id ORDER BY ts NULLS FIRST, seq NULLS FIRST, status NULLS FIRST) AS "end" FROM fresh) WHERE "end" IS NULL OR start < "end")"""
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
