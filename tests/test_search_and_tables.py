@@ -133,6 +133,16 @@ def test_status_history_of_ties(spark):
         assert got == [(1, "closed", T0, T0 + day), (1, "pending", T0 + day, T0), (2, "pending", T0, T0)]
 
 
+def test_open_by_day_of_ties(spark):
+    """Days don't depend on the order in which changes of one time and place in the log are read."""
+    day = timedelta(days=1)
+    log = [(i, s, T0 + d * day, 1) for i in range(20) for d in range(3) for s in ("active", "pending", "closed")]
+    for rows in (log, log[::-1]):
+        history = changes.status_history(spark.createDataFrame(rows, "id int, status string, at timestamp_ntz, seq int").coalesce(1))
+        got = [(r.day, r.opened, r.closed, r.open) for r in changes.open_by_day(history).orderBy("day").collect()]
+        assert got == [((T0 + d * day).date(), 20, 0 if d == 0 else 20, 20) for d in range(3)]
+
+
 def test_redirect_chains(spark):
     """A chain of a thousand hops, loops, what leads into them, other sites, repeats and nulls."""
     chain = [("a", f"u{i}", f"u{i + 1}") for i in range(1000)]
