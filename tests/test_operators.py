@@ -372,3 +372,13 @@ def test_json_of_unknown_schema(spark):
     assert found[3:7] == ["Alice", 7, None, None] and found[7] == {} and found[8] == {"v": notice, "odd key.`x": []}
     assert redaction.redact_json(spark.createDataFrame([("{}",), (None,)], "raw string"), "raw", "all").collect()[0].raw == "{}"
     assert redaction.redact_json(spark.createDataFrame([], "raw string"), "raw", "all").count() == 0
+
+
+def test_records_of_one_part_are_dealt_out(spark):
+    """A file that one task reads is redacted by many; before, its records stayed with that task."""
+    rows = spark.range(0, 2000, 1, 1).select("id", F.concat(F.lit("call "), F.col("id")).alias("note"), F.lit("mail a@example.com").alias("text"))
+    none = lambda texts: F.transform(texts, lambda t: F.array().cast("array<string>"))
+    raw = rows.select("id", F.to_json(F.struct("note", "text")).alias("raw"))
+    for out in (redaction.redact_struct(rows, "all", detect=none), redaction.redact_json(raw, "raw", "all", detect=none)):
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1000 and sum(sizes) == 2000

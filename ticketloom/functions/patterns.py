@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions.pseudonyms import only_digits, token
-from ticketloom.functions.scalars import _c
+from ticketloom.functions.scalars import _bound, _c
 
 # Which text is replaced depends on these patterns and on their order.
 RULES: list[tuple[str, str]] = [
@@ -103,13 +103,13 @@ _MARK = "\ue000\ue001"
 def rewritten(c: Column | str, pattern: str, put: Callable[[Column], Column]) -> Column:
     """Every match, left to right and without overlap, replaced by ``put(match)``; the pattern must not match emptiness.
 
-    Matches are marked in one pass and cut out at the marks.
+    Matches are marked in one pass and cut out at the marks; a text without any is done then.
     """
     c = _c(c)
-    cut = F.split(F.regexp_replace(c, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), _MARK, -1)
-    once = F.transform(cut, lambda part, i: F.when(i % 2 == 1, put(part)).otherwise(part))
+    parts = lambda marked: F.transform(F.split(marked, _MARK, -1), lambda part, i: F.when(i % 2 == 1, put(part)).otherwise(part))
+    once = _bound(F.regexp_replace(c, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), lambda m: F.when(F.contains(m, F.lit(_MARK)), F.array_join(parts(m), "")).otherwise(m))
     twice = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, put(m))))
-    return F.array_join(F.when(F.contains(c, F.lit(_MARK)), twice).otherwise(once), "")
+    return F.when(F.contains(c, F.lit(_MARK)), F.array_join(twice, "")).otherwise(once)
 
 
 def rules_on_each(texts: Column, rules: list[Rule] | None = None, secret: str = "") -> Column:

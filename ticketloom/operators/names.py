@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketloom.functions.scalars import _bound
 from ticketloom.scratch import written
 
 CHUNK, MIN_CONFIDENCE = 1200, 0.7
@@ -179,11 +180,6 @@ def trie_detector(names: DataFrame, most: int = MOST_NAMES) -> Callable[[], Dete
     return lambda: NameTrie(found)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     """array<struct<word, start, end, glued>>: words with their places; ``glued`` where nothing but blanks stands between it and the word before.
 

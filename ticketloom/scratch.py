@@ -25,6 +25,15 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over ``spark.sql.shuffle.partitions`` tasks, for work that takes long for each row.
+
+    Without it the rows of a small file, or of a large one that was written as a single group of rows, are all
+    worked through by the task that reads them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table, at a fresh shared path if none is given."""
     path = path or shared_path(df.sparkSession)
