@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom import schemas
-from ticketloom.functions import predicates
+from ticketloom.functions import patterns, predicates
 from ticketloom.operators import briefing, changes, cleaning, names, redaction, relations, reports
 from ticketloom.sources import pages, sinks
 from ticketloom.streaming.redact import redact_stream
@@ -382,3 +382,16 @@ def test_records_of_one_part_are_dealt_out(spark):
     for out in (redaction.redact_struct(rows, "all", detect=none), redaction.redact_json(raw, "raw", "all", detect=none)):
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1000 and sum(sizes) == 2000
+
+
+def test_texts_of_one_part_are_dealt_out(spark):
+    """Names, words and rule hits of a file that one task reads are found by many tasks."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("call Ann Lee at 555-123-4567 "), F.col("id")).alias("text"))
+    with_names = names.names_in_texts(docs, spark.createDataFrame([("Ann Lee",)], "name string"))
+    plan = with_names._jdf.queryExecution().optimizedPlan().toString()
+    assert with_names.count() == 400 and f"Repartition {parts}, true" in plan
+    chunks = names.chunk_text(docs)
+    assert chunks.select(F.spark_partition_id()).distinct().count() == parts and chunks.count() == 400
+    hits = patterns.count_hits(spark.createDataFrame([(1, "mail a@x.com or b@x.com"), (2, "none")], "doc_id int, text string"), "text").orderBy("doc_id").collect()
+    assert [(r.rule_0, r.rule_1) for r in hits] == [(2, 0), (0, 0)]

@@ -151,3 +151,10 @@ def apply_rules(df: DataFrame, column: str, rules: list[Rule] | None = None, sec
 
         df = df.withColumn(column, F.when(rule.may_match(F.col(column)), rewritten(column, java(rule.pattern), put)).otherwise(F.col(column)))
     return df.drop(mentioned)
+
+
+def count_hits(df: DataFrame, column: str, rules: list[Rule] | None = None) -> DataFrame:
+    """``df`` without ``column``, and ``rule_0``, ``rule_1``, ...: how often each rule matches in it; a null text is tried by every rule."""
+    hits = lambda r: F.size(F.regexp_extract_all(column, F.lit(java(r.pattern)), F.lit(0)))
+    found = [F.when(r.may_match(F.col(column)) | F.col(column).isNull(), hits(r)).otherwise(0).alias(f"rule_{i}") for i, r in enumerate(DEFAULT_RULES if rules is None else rules)]
+    return df.select(*[c for c in df.columns if c != column], *found)

@@ -14,7 +14,7 @@ from ticketloom.functions import scalars as x
 from ticketloom.operators import briefing, changes, cleaning, names, redaction, relations, reports, search, views
 from ticketloom.plans import entities as e
 from ticketloom.sources import pages as page_sources
-from ticketloom.scratch import shared_path, written
+from ticketloom.scratch import dealt, shared_path, written
 from ticketloom.sources import sinks
 from ticketloom.sources.keyed import KeyedTable, load_changes
 from ticketloom.streaming import overview as overviews
@@ -798,7 +798,7 @@ def _rules_sql(table: str, key: str, column: str) -> str:
 
 @query(_rules_sql("documents", "doc_id", "text"))
 def redact_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.apply_rules(e.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return patterns.apply_rules(dealt(e.table(spark, sf, "documents").select("doc_id", "text")), "text")
 
 
 def _rule_hits_sql() -> str:
@@ -807,8 +807,7 @@ def _rule_hits_sql() -> str:
 
 @query(_rule_hits_sql())
 def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
-    d = e.table(spark, sf, "documents")
-    return d.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(patterns.java(r)), F.lit(0))).alias(f"rule_{i}") for i, (_, r) in enumerate(patterns.RULES)])
+    return patterns.count_hits(dealt(e.table(spark, sf, "documents").select("doc_id", "text")), "text")
 
 
 def _word_sql(text: str, literal: str, put: str, word: bool = True) -> str:
