@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.functions.scalars import _bound
-from ticketloom.scratch import written
+from ticketloom.scratch import dealt, written
 
 CHUNK, MIN_CONFIDENCE = 1200, 0.7
 #: Tokens that a chunk may have, and characters of the next chunk that a detector sees with it.
@@ -75,7 +75,7 @@ def chunk_text(df: DataFrame, most: int = CHUNK, most_tokens: int | None = None,
                 out = {"doc_id": batch.column("doc_id").take(pa.array(row)), "chunk_id": pa.array(nth, pa.int32()), "text": pa.array(text), "offset": pa.array(at, pa.int32())}
                 yield pa.RecordBatch.from_pydict(out | ({"seen": pa.array(seen)} if overlap else {}))
 
-    return df.select("doc_id", "text").mapInArrow(chunks, T.StructType(fields))
+    return dealt(df.select("doc_id", "text")).mapInArrow(chunks, T.StructType(fields))
 
 
 Detector = Callable[[list[str]], list[list[tuple[int, int, float]]]]
@@ -230,12 +230,12 @@ def names_in_texts(texts: DataFrame, names: DataFrame, key: tuple[str, ...] = ("
 
     ``key`` tells texts apart; texts with equal keys count as one. At each word, as many words as any name has
     are tried where the task stands that reads the text: only those that a bitmap of the names lets through
-    are dealt out, and joined to the names as lists of words, which is exact. No Python, and no text is shuffled.
+    are shuffled, and joined to the names as lists of words, which is exact. No Python; texts are dealt out once.
     Null and empty texts and names have none.
     """
     lists = written(names.where("name IS NOT NULL").select(F.regexp_extract_all("name", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0).distinct())
     sizes = sorted(r.n for r in lists.select(F.size("words").alias("n")).distinct().collect()) or [1]
-    said = texts.where(F.col(column).isNotNull()).select(*key, words_of(F.col(column)).alias("_w"))
+    said = dealt(texts.where(F.col(column).isNotNull()).select(*key, column)).select(*key, words_of(F.col(column)).alias("_w"))
     starts = F.transform("_w", lambda w, i: F.slice("_w", i + 1, F.lit(sizes[-1])))
     tried = said.select(*key, F.explode(starts).alias("next")).select(*key, "next", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size("next") >= F.col("n"))
     tried = tried.where(F.forall(F.slice("next", F.lit(2), F.col("n") - 1), lambda w: w["glued"]))
