@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.scratch import shared_path, written
+from ticketloom.scratch import dealt, shared_path, written
 
 TERM = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
@@ -44,7 +44,7 @@ def build_index(docs: DataFrame, id_column: str, *columns: str) -> Index:
     """
     path = shared_path(docs.sparkSession)
     words = F.flatten(F.array(*[terms_of(F.col(c)) for c in columns]))
-    rows = docs.select(F.col(id_column).alias("id"), words.alias("_w")).select("id", F.size("_w").alias("length"), F.posexplode("_w").alias("_at", "term"))
+    rows = dealt(docs.select(F.col(id_column).alias("id"), *columns)).select("id", words.alias("_w")).select("id", F.size("_w").alias("length"), F.posexplode("_w").alias("_at", "term"))
     counted = rows.groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max(F.col("_at") == 0).alias("lead"))
     counted = written(counted.sortWithinPartitions("term", "id"), f"{path}/postings")
     # Each document has one posting that leads.
