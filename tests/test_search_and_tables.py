@@ -196,3 +196,15 @@ def test_closed_conversations_leave_the_overview(spark):
         overview.overview_moves(stream, timedelta(days=7)).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     got = overview.overview(spark.read.schema(overview.MOVES).parquet(f"{at}/out")).first()
     assert (got.active, got.closed) == (3, 0)
+
+
+def test_overview_of_large_agents_and_few_states(spark):
+    """Ids of agents above 2^53 next to nulls come back as they were, and conversations share the states of few buckets."""
+    at, big = shared_path(spark), 2**53 + 1
+    schema = "id bigint, agent_id bigint, status string, seq bigint, at timestamp"
+    spark.createDataFrame([(i, None if i % 2 else big, "active", 1, T0) for i in range(200)], schema).coalesce(1).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+    query = overview.overview_moves(stream, buckets=8).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
+    query.awaitTermination()
+    got = {(r.agent_id, r.active) for r in overview.overview(spark.read.schema(overview.MOVES).parquet(f"{at}/out")).collect()}
+    assert got == {(None, 100), (big, 100)} and query.lastProgress.stateOperators[0].numRowsTotal == 8
