@@ -389,6 +389,29 @@ def test_quality_rank_held_out(spark):
     assert (p == y).mean() > 0.97
 
 
+def test_quality_rank_learns_from_all_labels(spark):
+    """Quantiles, gradients and the cut come from all of 5,000 labelled rows, and gradients from all their pairs."""
+    n, rng = 5000, np.random.default_rng(3)
+    x, good = rng.integers(0, 40, n), rng.random(n) < 0.6
+    docs = spark.createDataFrame([(i, "word " * int(k + 10 * g)) for i, (k, g) in enumerate(zip(x, good, strict=True))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id bigint, quality int")
+    rows = pair_rank.labelled(quality_rules.text_statistics(docs), labels)
+    cuts = pair_rank.step_cuts(rows)
+    words = x + 10 * good
+    assert {float(np.sort(words[good == g])[int(np.ceil(q * (good == g).sum())) - 1]) for g in (True, False) for q in np.linspace(0.05, 0.95, 8)} == set(cuts[0])
+    table, w = pair_rank.Labelled(rows, cuts), rng.normal(0, 1, sum(map(len, cuts)))
+    all_steps = rows.select("good", *pair_rank.FEATURES).toPandas()
+    phi = np.column_stack([all_steps[k] >= c for k, of in zip(pair_rank.FEATURES, cuts, strict=True) for c in of]).astype(float)
+    s, g = phi @ w, all_steps["good"].to_numpy()
+    wrong = 1 / (1 + np.exp(s[g][:, None] - s[~g][None, :]))
+    assert table.spread(w).sum() == n
+    assert np.abs(table.gradient(w) - (phi[~g].T @ wrong.mean(0) / (~g).sum() - phi[g].T @ wrong.mean(1) / g.sum())).max() < 0.01
+    for k in (int((~g).sum()), 1, n):
+        order = np.sort(s)
+        below, at = order[k - 1], order[min(k, n - 1)]
+        assert abs(table.cut(w, k) - ((below + at) / 2 if at - below > 1e-9 else at)) < 1e-9
+
+
 def test_classifiers_on_odd_tables(spark):
     docs = rows_of(spark, None, "", "fine words here", "long " * 20000)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
