@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force version, and its defined results for odd rows."""
 
+import os
 import collections
 import hashlib
 import re
@@ -389,6 +390,24 @@ def test_quality_rank_held_out(spark):
     assert (p == y).mean() > 0.97
 
 
+def test_near_copies_leave_few_files(spark, tmp_path, monkeypatch):
+    """On a small table with many shuffle partitions, rounds hand on few files, and tables that nothing reads any more are gone."""
+    texts = [" ".join(f"w{g}x{k}" for k in range(60)) + f" end{i}" for g in range(6) for i in range(6)]
+    before, base = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}, tmp_path
+    monkeypatch.setattr("ticketloom.llm.common.shared_dir", lambda spark: f"file://{base}/{len(os.listdir(base))}-{os.urandom(4).hex()}")
+    try:
+        for k, v in zip(before, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows_of(spark, *texts)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    low = min(got)
+    assert got == {low + i: low + i // 6 * 6 for i in range(36)}
+    tables = [[f for f in os.listdir(d) if f.endswith(".parquet")] for d in tmp_path.iterdir()]
+    assert len([t for t in tables if t]) <= 16 and sorted(map(len, tables))[len(tables) // 2] <= 8
+
+
 def test_quality_rank_learns_from_all_labels(spark):
     """Quantiles, gradients and the cut come from all of 5,000 labelled rows, and gradients from all their pairs."""
     n, rng = 5000, np.random.default_rng(3)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import boxed, forget, written
+from ticketloom.llm.common import boxed, dropped, few, forget, written
 
 WORDS, BANDS, ROWS, CENTRES, BITS, SALTS = 5, 32, 4, 64, 2048, 32
 MORE_THAN = 75  # percent
@@ -155,12 +155,14 @@ def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataF
     keyed = rare.select("class", "n", F.posexplode(F.slice("_s", F.lit(1), F.col("n") - need + 1)).alias("at", "_s")).where("_s.df > 1").select("class", "n", "at", F.col("_s.key").alias("key"))
     bits = sets.select("class", F.struct(*[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]).alias("bits"))
     keyed, labels = written(keyed.join(bits, "class")), left
+    dropped(df)
+    n = keyed.count()
     links, tested, first, centres = None, None, 0, CENTRES
     step = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
     while True:
-        known = keyed.join(labels, "class")
+        known = few(keyed.join(labels, "class"), n)
         mixed = written(known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where((F.col("_lo") != F.col("_hi")) & (F.col("_m") > first + 1)).select("key"))
-        ranked = written(_ranked(known.join(mixed, "key", "left_semi")))
+        ranked = written(few(_ranked(few(known.join(mixed, "key", "left_semi"), n), n), n))
         c = ranked.where((F.col("rank") > first) & (F.col("rank") <= first + centres)).select("key", F.col("class").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("rank").alias("_r"), F.col("at").alias("_at"), F.col("bits").alias("_b"))
         # Sizes that a partner of a centre can have, given what can be shared from here on, in steps of 5 %.
         most = F.floor(((100 + percent) * (F.col("_n") - F.col("_at")) - percent * F.col("_n")) / percent)
@@ -173,21 +175,24 @@ def _by_rare_shingles(left: DataFrame, reps: DataFrame, sets_of: Callable[[DataF
         fits = fits & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= percent * (F.col("n") + F.col("_n")))
         fits = fits & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("_n")))
         pairs = ranked.withColumn("step", step(F.col("n"))).join(c, ["key", "step"]).where((F.col("rank") > F.col("_r")) & fits).select("a", F.col("class").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = written(_confirmed(pairs, sets, percent))
+        pairs = written(few(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), n))
+        found = written(few(_confirmed(pairs, sets, percent), n))
         tested, links = (pairs, found) if links is None else (tested.union(pairs), links.union(found))
         first, centres = first + centres, 4 * centres
-        if not ranked.where(F.col("rank") > first).limit(1).count():
+        done = not ranked.where(F.col("rank") > first).limit(1).count()
+        dropped(mixed, ranked)
+        if done:
+            dropped(keyed, sets)
             return links
         # What is linked by now needs no further test. All links are gone through, so all first labels take part.
-        joined = components(left.select(F.col("label").alias("class")).distinct(), _between(links, left))
+        joined = components(left.select(F.col("label").alias("class")).distinct(), _between(links, left), n + 2 * links.count())
         labels = written(left.join(joined.select(F.col("class").alias("label"), F.col("label").alias("_new")), "label").select("class", F.col("_new").alias("label")))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Adds ``rank``, the place of a class among those of its key: first within one of ``SALTS`` parts of the key, then after the parts before."""
+def _ranked(rows: DataFrame, n: int) -> DataFrame:
+    """Adds ``rank``, the place of a class among those of its key: first within one of ``SALTS`` parts of the key, then after the parts before. ``n``: how many rows there are at most."""
     parted = rows.withColumn("_part", F.pmod(F.xxhash64("class"), F.lit(SALTS)))
-    sizes = parted.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = few(parted.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_size")), n)
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("key", "_part").orderBy("class")))
     return within.join(sizes.select("key", "_part", before.alias("_before")), ["key", "_part"]).withColumn("rank", (F.col("_before") + F.col("_rank")).cast("int")).drop("_part", "_rank", "_before")
@@ -199,16 +204,21 @@ def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
     return links.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """class and label (the smallest class reachable), by passing labels along links and jumping to a label's label."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = at = written(nodes.select("class", F.col("class").alias("label")))
+def components(nodes: DataFrame, links: DataFrame, rows: int | None = None) -> DataFrame:
+    """class and label (the smallest class reachable), by passing labels along links and jumping to a label's label.
+
+    ``rows``: about how many nodes and links there are, if that is known.
+    """
+    n = nodes.count() + 2 * links.count() if rows is None else rows
+    both = written(few(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n))
+    labels = at = written(few(nodes.select("class", F.col("class").alias("label")), n))
     while True:
-        near = both.join(labels.select(F.col("class").alias("a"), "label"), "a").groupBy(F.col("b").alias("class")).agg(F.min("label").alias("_near"))
-        passed = labels.join(near, "class", "left").select("class", F.least("label", "_near").alias("_l"), F.col("label").alias("_old"))
+        near = few(both.join(labels.select(F.col("class").alias("a"), "label"), "a"), n).groupBy(F.col("b").alias("class")).agg(F.min("label").alias("_near"))
+        passed = few(labels.join(near, "class", "left").select("class", F.least("label", "_near").alias("_l"), F.col("label").alias("_old")), n)
         jump = labels.select(F.col("class").alias("_l"), F.col("label").alias("_far"))
-        new = at = written(passed.join(jump, "_l", "left").select("class", F.least("_l", "_far").alias("label"), "_old"), at)
+        new = at = written(few(passed.join(jump, "_l", "left").select("class", F.least("_l", "_far").alias("label"), "_old"), n), at)
         if not new.where(F.col("label") != F.col("_old")).limit(1).count():
+            dropped(both)
             return new.select("class", "label")
         labels = new.select("class", "label")
 
@@ -224,22 +234,27 @@ def linked(docs: DataFrame, percent: int = MORE_THAN, words: int = WORDS) -> Dat
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = members.where((F.col("class") != F.col("centre")) & fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("class").alias("b"))
     tested = written(star.distinct())
+    size = members.count()
     nodes = members.select("class").distinct()
     reps = classes.select("class", F.col("rep.doc_id").alias("doc_id"), F.col("rep._th").alias("_th"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class")
-        return written(_confirmed(pairs, written(_sets(docs, wanted, words)), percent))
+        sets = written(_sets(docs, wanted, words))
+        found = written(_confirmed(pairs, sets, percent))
+        dropped(sets, pairs)
+        return found
 
     links = confirm(tested)
-    labels = components(nodes, links)
+    labels = components(nodes, links, size)
     # Buckets whose classes aren't all linked by now: their members are joined exactly, by rare shingles.
     known = members.select("key", "class").join(labels, "class")
     mixed = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("key")
     left = known.join(mixed, "key", "left_semi").select("class", "label").distinct()
     more = _by_rare_shingles(written(left), reps, lambda wanted: written(_sets(docs, wanted, words)), percent)
     if more.limit(1).count():
-        labels = components(nodes, written(links.union(more)))
+        both = written(links.union(more))
+        labels = components(nodes, both, size + 2 * both.count())
 
     full = classes.select("class", "low", "rep").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     # Written first, so that the join below has two plain sides, whose large groups Spark can split.
