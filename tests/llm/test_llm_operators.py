@@ -360,6 +360,30 @@ def test_suffix_dedup(spark, most, monkeypatch):
     assert suffix_dedup.remove_repeats(rows_of(spark, "x").where("false")).count() == 0
 
 
+def test_buckets_stay_whole_where_a_join_becomes_a_broadcast(spark, tmp_path):
+    """Both rows of a bucket are compared also where large buckets are taken out by a join that Spark, at run time, reads by other parts than its keys."""
+    rng = np.random.default_rng(8)
+    rows = [(b"big", b"big%d" % i, rng.bytes(5000)) for i in range(9)]
+    for k in range(40):
+        shared = rng.bytes(420)
+        rows += [(b"k%d" % k, b"%d.%d" % (k, i), rng.bytes(30) + shared + rng.bytes(5000)) for i in range(2)]
+    made = spark.createDataFrame(rows, "key binary, class binary, bytes binary").selectExpr("key", "0 AS node_lo", "360 AS node_hi", "class", "0 AS lo", "100 AS hi", "bytes")
+    made.repartition(4).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    big = rows.groupBy("key").count().where("count > 4").select("key")
+    # More than the keys' counts take, less than Spark expects of them.
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = suffix_dedup._refined(rows.join(big, "key", "left_anti")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((bytes(r["class"]), r["from"], r["to"]) for r in got) == sorted((b"%d.%d" % (k, i), -70, 350) for k in range(40) for i in range(2))
+
+
 def test_long_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
     data = np.random.default_rng(1).integers(97, 101, 7000).astype(np.uint8).tobytes()
