@@ -4,13 +4,17 @@ import os
 import collections
 import hashlib
 import re
+import sys
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticketloom.llm import chat_format, decontaminate, near_dup, packing, pair_rank, pii_spans, quality_rules, suffix_dedup, toxicity, url_filter
+from ticketloom.llm import chat_format, common, decontaminate, near_dup, packing, pair_rank, pii_spans, quality_rules, suffix_dedup, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 ODD = "doc_id bigint, text string, n_words string, spans string, score string, kept string"
@@ -158,6 +162,52 @@ def test_packing(spark):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_a_packing_worker_holds_a_bounded_cache_and_one_batch():
+    from tokenizers import Tokenizer
+
+    class Docs:  # stands for a DataFrame, so that the workers' function runs here
+        schema = T.StructType([T.StructField("text", T.StringType())])
+        drop = lambda self, *names: self
+        mapInArrow = lambda self, f, schema: f
+
+    letters = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(310_000)]
+    texts = [" ".join(letters[k : k + 1000]) for k in range(0, len(letters), 1000)]
+    texts += ["z" * 3000 + "! " + " ".join(x.capitalize() + "," for x in letters[:50]), None]
+    alive = []
+
+    def batches():
+        for k in range(0, len(texts), 100):
+            assert not any(x() is not None for x in alive)
+            b = pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 100], pa.string())})
+            alive.append(weakref.ref(b))
+            yield b
+            del b
+
+    common.forget()
+    rows = [r for out in packing.tokenized(Docs())(batches()) for r in out.select(["length", "ids_crc32"]).to_pylist()]
+    known = sys.modules["ticketloom_worker"].ids[None]
+    assert len(known) <= 300_000 and max(map(len, known)) <= 64
+    common.forget()
+    encoder = Tokenizer.from_file(packing.vocabulary_path())
+    for text, r in [*zip(texts, rows, strict=True)][-6:]:
+        ids = np.array([*encoder.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert r == {"length": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())}
+
+
+def test_packing_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "77")
+    try:
+        assert packing.pack_documents(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).count() == 1
+        assert spark.conf.get(key) == "77" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+        with pytest.raises(ValueError), common.settings(spark, packing.BATCH):
+            assert spark.conf.get(key) == "1000"
+            raise ValueError
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key)
+
+
 def check_places(rows):
     places = collections.defaultdict(list)
     for r in rows:
