@@ -319,6 +319,42 @@ def test_names_in_texts(spark):
         names.trie_detector(table, 3)
 
 
+def test_names_over_pieces_of_a_text(spark, monkeypatch):
+    """Texts are cut where words begin, at any character; names go over one or several edges, and no part of a word counts as one."""
+    rnd = random.Random(5)
+    bits = ["Ann", "Lee", "Bo", "É", "Ça😀", "Neil", "O'Neil-Smith", "x", " ", " ", " ", "  \n", "'", "-", "’", "--", ", "]
+    texts = ["".join(rnd.choice(bits) for _ in range(60)) for _ in range(40)] + [" " * 40 + "Ann" + " " * 40 + "Lee", "Ann-" * 30 + "Ann Lee", "x--" * 30 + "Lee Ann Bo", "'" * 30 + "É Ça", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for known, piece in ((KNOWN, 1), (KNOWN, 16), (["Ann", "Lee", "O'Neil-Smith"], 5), (["Ann Lee"], 3)):
+        monkeypatch.setattr(names, "PIECE", piece)
+        found = {i: [] for i in range(len(texts))}
+        for r in names.names_in_texts(df, spark.createDataFrame([(n,) for n in known], "name string")).collect():
+            found[r.doc_id].append((r.start, r.end, r.text))
+        assert {i: sorted(x) for i, x in found.items()} == {i: brute_names(t, known) for i, t in enumerate(texts)}
+
+
+def test_names_of_texts_are_looked_for_in_compiled_code(spark):
+    """From the words of a piece to what a bitmap lets through all is one compiled stage, so that no word costs an interpreted function."""
+    df = spark.createDataFrame([(1, "a Ann Lee b")], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan isn't there before it runs
+    try:
+        plan = names.gazetteer_names(df, ["Ann Lee", "Bo"])._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    words = next(i for i, x in enumerate(plan) if "Generate posexplode" in x)
+    stage = re.search(r"\*\(\d+\)", plan[words])[0]
+    above = [x for x in plan[:words] if stage in x]
+    assert len([x for x in above if "BroadcastHashJoin" in x and "Inner" in x]) == 2 and not any("lambdafunction" in x for x in above)
+
+
+def test_a_word_of_any_length(spark):
+    """A pattern that goes back over its repeats ran out of stack here, which ends the session."""
+    df = spark.createDataFrame([(1, "a-" * 50_000 + "a Ann Lee"), (2, "Ann " + "b’c" * 50_000)], "doc_id bigint, text string")
+    got = names.names_in_texts(df, spark.createDataFrame([("Ann Lee",), ("b’c" * 50_000,)], "name string")).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in got) == [(1, 100_002, 100_009), (2, 4, 150_004)]
+
+
 def test_words_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK", 4)
     texts = ["", "one", "a b, c d e", "é " * 9, "-- x'y z"]

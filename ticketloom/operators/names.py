@@ -27,7 +27,15 @@ BLOCK = 512
 PARTS, BITS = 1024, 16384
 #: Most names of a detector that holds them in memory; any number can be found by ``names_in_texts``.
 MOST_NAMES = 200_000
+#: Characters of a text that are cut into words together.
+PIECE = 4096
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+#: The same words, and what stands between two, by repeats that never go back: texts and words of any length.
+_JOINED = r"(?:['’-][\p{L}\p{N}]++)*+"
+_ONE_WORD = r"[\p{L}\p{N}]++" + _JOINED
+_GAP = r"[^\p{L}\p{N}]*+"
+#: Gaps of nothing but blanks, with an ``x`` between any two.
+_BLANKS = r"^(?:\s++[\u0085\u2028\u2029]?+(?:x|\z))*+\z"
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 LABELS = ("O", "B-PER", "I-PER", "B-LOC", "I-LOC", "B-ORG", "I-ORG")
 # Where a chunk may end if it has neither newline nor blank.
@@ -208,40 +216,73 @@ def words_of(text: Column) -> Column:
     return _bound(_bound(pairs, cut), placed)
 
 
-def _likely(tried: DataFrame, lists: DataFrame) -> DataFrame:
-    """The rows whose ``words`` may be among those of ``lists``, by a bitmap of ``PARTS * BITS`` bits, two megabytes whatever the lists.
+def _pieces(text: Column, ahead: int) -> Column:
+    """array<struct<piece, at, rest>>: a text of any length cut where words begin, each after ``PIECE`` characters, the word that these end in, and its gap.
 
-    The bitmap is sent to the rows, so nothing is dealt out; what it lets through by chance finds no partner later.
+    ``at`` is where a piece starts, ``rest`` the next ``ahead`` words with their gaps. No word goes over an edge, so
+    those of a piece are found without the others.
     """
-    part = lambda: F.pmod(F.xxhash64("words"), F.lit(PARTS))
-    bit = lambda: F.pmod(F.shiftright(F.xxhash64("words"), 10), F.lit(BITS)).cast("int")
-    set_ = lists.select(part().alias("_part"), F.shiftright(bit(), 6).alias("_long"), F.pmod(bit(), F.lit(64)).alias("_at")).distinct()
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+[\p{{L}}\p{{N}}]*+{_JOINED}{_GAP}"), F.lit(0))
+    heads = lambda p: F.transform(p, lambda x: F.regexp_extract(x, rf"^(?:{_ONE_WORD}{_GAP}){{0,{ahead}}}+", 0))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = lambda p: F.aggregate(p, zero, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    # A piece can have fewer words than are asked for; it is then in its head as a whole, and the next one's head goes on.
+    rest = lambda h, k: F.array_join(F.slice(h, k + 2, F.lit(ahead)), "")
+    item = lambda h, s: lambda x, k: F.struct(x.alias("piece"), F.get(s, k).alias("at"), rest(h, k).alias("rest"))
+    placed = lambda p: _bound(heads(p), lambda h: _bound(starts(p), lambda s: F.transform(p, item(h, s))))
+    return _bound(F.when(F.length(text) <= PIECE, F.array(text)).otherwise(cut), placed)
+
+
+def _bitmap(hashes: DataFrame) -> DataFrame:
+    """(_part, _map): a stored bitmap of the ``hash`` column in ``PARTS`` parts of ``BITS`` bits, two megabytes whatever the rows."""
+    part, bit = _place(F.col("hash"))
+    set_ = hashes.select(part.alias("_part"), F.shiftright(bit, 6).alias("_long"), F.pmod(bit, F.lit(64)).alias("_at")).distinct()
     longs = set_.groupBy("_part", "_long").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at"))).alias("_bits"))
     # The longs of a part stand in order, with zeros where no bit is set.
     every = longs.select("_part").distinct().select("_part", F.explode(F.sequence(F.lit(0), F.lit(BITS // 64 - 1))).alias("_long"))
     full = every.join(longs, ["_part", "_long"], "left").groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("_long", F.coalesce("_bits", F.lit(0).cast("bigint")).alias("_bits")))).alias("_map"))
-    maps = written(full.select("_part", F.transform("_map", lambda x: x["_bits"]).alias("_map")))
-    some = tried.withColumn("_h", part()).join(F.broadcast(maps), F.col("_h") == F.col("_part"))
-    return some.where(F.getbit(F.get("_map", F.shiftright(bit(), 6)), F.pmod(bit(), F.lit(64))) == 1).select(*tried.columns)
+    return written(full.select("_part", F.transform("_map", lambda x: x["_bits"]).alias("_map")))
+
+
+def _place(hash_: Column) -> tuple[Column, Column]:
+    return F.pmod(hash_, F.lit(PARTS)), F.pmod(F.shiftright(hash_, 10), F.lit(BITS)).cast("int")
+
+
+def _likely(tried: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose ``column``'s hash may be in a bitmap.
+
+    The bitmap is sent to the rows, so nothing is dealt out; what it lets through by chance finds no partner later.
+    """
+    part, bit = _place(F.col("_hash"))
+    some = tried.withColumn("_hash", F.xxhash64(column)).join(F.broadcast(bitmap), part == F.col("_part"))
+    return some.where(F.getbit(F.get("_map", F.shiftright(bit, 6)), F.pmod(bit, F.lit(64))) == 1).select(*tried.columns)
 
 
 def names_in_texts(texts: DataFrame, names: DataFrame, key: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """(*key, start, end, text): where names of a table (column ``name``) stand in texts, from the left, the longest first. Any number of names.
 
-    ``key`` tells texts apart; texts with equal keys count as one. At each word, as many words as any name has
-    are tried where the task stands that reads the text: only those that a bitmap of the names lets through
-    are shuffled, and joined to the names as lists of words, which is exact. No Python; texts are dealt out once.
-    Null and empty texts and names have none.
+    ``key`` tells texts apart; texts with equal keys count as one. A bitmap of the names' first words and of their
+    lists of words goes to the task that reads the text: from each word that it lets through, as many words as any
+    name has are tried, and only lists that it lets through too are shuffled, and joined to those of the names,
+    which is exact. No Python; texts are dealt out once. Null and empty texts and names have none.
     """
-    lists = written(names.where("name IS NOT NULL").select(F.regexp_extract_all("name", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0).distinct())
+    found_in = lambda x: F.regexp_extract_all(x, F.lit(_ONE_WORD), F.lit(0))
+    lists = written(names.where("name IS NOT NULL").select(found_in(F.col("name")).alias("words")).where(F.size("words") > 0).distinct())
     sizes = sorted(r.n for r in lists.select(F.size("words").alias("n")).distinct().collect()) or [1]
-    said = dealt(texts.where(F.col(column).isNotNull()).select(*key, column)).select(*key, words_of(F.col(column)).alias("_w"))
-    starts = F.transform("_w", lambda w, i: F.slice("_w", i + 1, F.lit(sizes[-1])))
-    tried = said.select(*key, F.explode(starts).alias("next")).select(*key, "next", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size("next") >= F.col("n"))
-    tried = tried.where(F.forall(F.slice("next", F.lit(2), F.col("n") - 1), lambda w: w["glued"]))
-    words = F.transform(F.slice("next", F.lit(1), F.col("n")), lambda w: w["word"])
-    tried = tried.select(*key, words.alias("words"), F.col("next")[0]["start"].alias("start"), F.get("next", F.col("n") - 1)["end"].alias("end"))
-    found = _likely(tried, lists).join(lists, "words", "left_semi").select(*key, F.struct("start", "end", F.array_join("words", " ").alias("text")).alias("span"))
+    said = dealt(texts.where(F.col(column).isNotNull()).select(*key, column)).select(*key, F.explode(_pieces(F.col(column), sizes[-1] - 1)).alias("_p"))
+    seen = F.concat("_p.piece", "_p.rest")
+    said = said.select(*key, F.col("_p.at").alias("_at"), found_in(seen).alias("_w"), F.split(seen, _ONE_WORD, -1).alias("_g"), F.size(found_in(F.col("_p.rest"))).alias("_more"))
+    bitmap = _bitmap(lists.select(F.explode(F.array(F.xxhash64(F.col("words")[0]), F.xxhash64("words"))).alias("hash")))
+    # From here to the last filter all is one compiled stage: nothing is interpreted for a word, and a piece's lists aren't copied for it.
+    first = said.select("*", F.posexplode(F.slice("_w", F.lit(1), F.size("_w") - F.col("_more"))).alias("_i", "_first"))
+    first = _likely(first, "_first", bitmap).select("*", F.explode(F.array(*map(F.lit, sizes))).alias("_n"))
+    i, n, length = F.col("_i"), F.col("_n"), lambda x: F.length(F.array_join(x, ""))
+    gaps = F.slice("_g", i + 2, n - 1)
+    tried = first.where((i + n <= F.size("_w")) & F.regexp_like(F.array_join(gaps, "x"), F.lit(_BLANKS)))
+    tried = _likely(tried.withColumn("words", F.slice("_w", i + 1, n)), "words", bitmap)
+    start = F.col("_at") + length(F.slice("_g", F.lit(1), i + 1)) + length(F.slice("_w", F.lit(1), i))
+    tried = tried.select(*key, "words", start.alias("start"), (length("words") + length(gaps)).alias("_size"))
+    found = tried.join(lists, "words", "left_semi").select(*key, F.struct("start", (F.col("start") + F.col("_size")).alias("end"), F.array_join("words", " ").alias("text")).alias("span"))
     kept = found.groupBy(*key).agg(F.collect_set("span").alias("spans")).select(*key, F.explode(without_overlap(F.col("spans"))).alias("_s"))
     return kept.select(*key, "_s.start", "_s.end", "_s.text")
 
